@@ -13,12 +13,12 @@ def effective_label(evaluation: Column, score: Column, threshold: Column) -> Col
     return F.when(score < threshold, fixed.NEUTRAL).otherwise(F.lower(evaluation))
 
 
-def errors(results: DataFrame) -> DataFrame:
-    """Counts what is wrong with each (expected, observed) row.
+def failures(results: DataFrame) -> DataFrame:
+    """Marks the (expected, observed) rows that fail.
 
     Columns: comparison (GTE, LT or EQ), threshold, label, evaluation, score
-    and optionally epsilon. A missed bound and a wrong evaluation are one
-    error each. Only a met LT bound turns the observed evaluation neutral.
+    and optionally epsilon. A row fails on a missed bound or on a wrong
+    evaluation; only a met LT bound turns the observed evaluation neutral.
     """
     score, bound = F.col("score"), F.col("threshold")
     epsilon = F.col("epsilon") if "epsilon" in results.columns else F.lit(0.01)
@@ -29,7 +29,7 @@ def errors(results: DataFrame) -> DataFrame:
     )
     observed = F.when((F.col("comparison") == "LT") & met, F.lit(fixed.NEUTRAL)).otherwise(F.lower("evaluation"))
     wrong = (F.length("label") > 0) & (observed != F.lower("label"))
-    return results.withColumn("n_errors", F.when(met, 0).otherwise(1) + F.when(wrong, 1).otherwise(0))
+    return results.withColumn("failed", F.when(met & ~wrong, 0).otherwise(1))
 
 
 def match_expected(predictions: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,8 +38,8 @@ def match_expected(predictions: DataFrame, expected: DataFrame, keys: list[str])
 
 def accuracy(results: DataFrame, by: list[str]) -> DataFrame:
     """(by…, n_expectations, accuracy); a key without results has accuracy 0."""
-    checked = errors(results)
-    n, bad = F.count("n_errors"), F.sum("n_errors")
+    checked = failures(results)
+    n, bad = F.count("failed"), F.sum("failed")
     return checked.groupBy(*by).agg(
         n.alias("n_expectations"), F.when(n > 0, 1 - bad / n).otherwise(F.lit(0.0)).alias("accuracy")
     )

@@ -128,7 +128,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     """
     fixed_keys = F.regexp_replace("response", '"answer text"', '"answer_text"')
     parsed = responses.withColumn("_p", F.from_json(fixed_keys, schemas.GRADER_RESPONSE))
-    first = F.element_at(F.map_values("_p.answers"), 1)
+    first = F.get(F.map_values("_p.answers"), F.lit(0))
     has_answer = F.coalesce(F.size("_p.answers") > 0, F.lit(False))
     parsed = parsed.withColumn("answer", F.when(has_answer, first))
     complete = F.when(F.col("answer.concepts").isNotNull(), F.size("answer.concepts") == F.col("n_concepts"))
