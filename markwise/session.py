@@ -17,6 +17,7 @@ def build_session(app: str = "markwise", cores: str = "*", **extra: str) -> Spar
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "16g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     }
     settings.update(extra)
