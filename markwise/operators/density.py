@@ -23,6 +23,7 @@ from markwise.operators.skew import salted_join
 from markwise.session import written
 
 BLOCK_ROWS = 1024
+TILE = ["hx", "hy", "nx", "ny", "left_block", "right_block"]
 
 
 def _projections(points: DataFrame, radius: float) -> DataFrame:
@@ -67,8 +68,6 @@ def tiles(points: DataFrame, group: list[str], radius: float, block_rows: int =
     )
     pairs = written(pairs, "cell_pairs")
     keep = [*group, "id", "weight", "vector"] + (["core"] if "core" in points.columns else [])
-    tile = [*group, "hx", "hy", "nx", "ny", "left_block", "right_block"]
-
     lefts = salted_join(
         placed.withColumnsRenamed({"cx": "hx", "cy": "hy"}), pairs, [*group, "hx", "hy"], "id", "inner"
     ).select(
@@ -90,7 +89,7 @@ def tiles(points: DataFrame, group: list[str], radius: float, block_rows: int =
     )
     # a block compared with itself needs its points on one side only
     rights = rights.filter("NOT (same AND left_block = right_block)")
-    columns = [*tile, "side", *keep[len(group):]]
+    columns = [*group, *TILE, "side", *keep[len(group):]]
     return lefts.select(*columns).unionByName(rights.select(*columns))
 
 
@@ -170,6 +169,38 @@ def _forest(group: list[str], radius: float):
     return run
 
 
+def _merged(points: DataFrame, group: list[str]) -> DataFrame:
+    """One row per distinct vector: its smallest id and its number of copies."""
+    return written(
+        points.groupBy(*group, "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "merged"
+    )
+
+
+def _key_schema(df: DataFrame, group: list[str]) -> str:
+    types = dict(df.dtypes)
+    return ", ".join(f"{name} {types[name]}" for name in group)
+
+
+def _merged_counts(merged: DataFrame, group: list[str], radius: float, block_rows: int) -> DataFrame:
+    return (
+        tiles(merged, group, radius, block_rows)
+        .groupBy(*group, *TILE)
+        .applyInPandas(_count_neighbours(group, radius), f"{_key_schema(merged, group)}, id bigint, n bigint")
+        .groupBy(*group, "id")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+def neighbour_counts(points: DataFrame, group: list[str], radius: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(group…, id, n): points of the group within ``radius``, itself included."""
+    points = written(points.select(*group, "id", "vector"), "points")
+    merged = _merged(points, group)
+    counts = merged.join(_merged_counts(merged, group, radius, block_rows), [*group, "id"])
+    return salted_join(points, counts.select(*group, "vector", "n"), [*group, "vector"], "id", "inner").select(
+        *group, "id", "n"
+    )
+
+
 def density_clusters(
     points: DataFrame,
     group: list[str],
@@ -183,28 +214,16 @@ def density_clusters(
     lowest numbered one. ``points``: (group…, id bigint, vector array<double>).
     """
     points = written(points.select(*group, "id", "vector"), "points")
-    merged = written(
-        points.groupBy(*group, "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "merged"
-    )
-    types = dict(merged.dtypes)
-    names = ", ".join(f"{name} {types[name]}" for name in group)
-    tile = [*group, "hx", "hy", "nx", "ny", "left_block", "right_block"]
-
-    counts = (
-        tiles(merged, group, radius, block_rows)
-        .groupBy(*tile)
-        .applyInPandas(_count_neighbours(group, radius), f"{names}, id bigint, n bigint")
-        .groupBy(*group, "id")
-        .agg(F.sum("n").alias("n"))
-    )
+    merged = _merged(points, group)
+    counts = _merged_counts(merged, group, radius, block_rows)
     marked = written(
         merged.join(counts, [*group, "id"], "left").withColumn("core", F.coalesce(F.col("n") >= min_samples, F.lit(False))),
         "marked",
     )
     links = written(
         tiles(marked, group, radius, block_rows)
-        .groupBy(*tile)
-        .applyInPandas(_forest(group, radius), f"{names}, a bigint, b bigint, border bigint"),
+        .groupBy(*group, *TILE)
+        .applyInPandas(_forest(group, radius), f"{_key_schema(merged, group)}, a bigint, b bigint, border bigint"),
         "links",
     )
     cores = marked.filter("core").select(*group, "id")
