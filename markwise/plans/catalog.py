@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from markwise.plans import catalog_joins, catalog_sources, catalog_text  # noqa: F401
+from markwise.plans import catalog_joins, catalog_sources, catalog_text, catalog_training  # noqa: F401
 from markwise.plans.registry import ORACLES, QUERIES  # noqa: F401

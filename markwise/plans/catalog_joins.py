@@ -12,7 +12,7 @@ from markwise.plans.registry import query
 from markwise.session import written
 
 
-@query("config_lookup", o.with_(o.RAW, o.EXPECT) + "SELECT r.lesson, r.e AS exp_num, r.row_id, md5(coalesce(e.ideal, '')) AS ideal, e.pos FROM "
+@query("config_lookup", o.with_(o.RAW, o.EXPECT) + "SELECT r.lesson, r.e AS exp_num, r.row_id, md5(coalesce(e.ideal, '')) AS ideal, coalesce(e.pos, -1) AS pos FROM "
        "(SELECT lesson, row_id, CASE WHEN label = 'unsure' THEN '7' ELSE exp_num END AS e FROM raw) r "
        "LEFT JOIN expect e ON r.lesson = e.lesson AND r.e = e.exp_num")
 def config_lookup(spark, sf_dir):
@@ -20,7 +20,7 @@ def config_lookup(spark, sf_dir):
     again = expectations.withColumn("pos", F.col("pos") + 10).withColumn("ideal", F.lit("a second entry of the same id"))
     rows = b.raw_training(spark, sf_dir).withColumn("exp_num", F.when(F.col("label") == "unsure", "7").otherwise(F.col("exp_num")))
     found = lookup.with_config(rows, again.unionByName(expectations), "row_id")
-    return found.select("lesson", "exp_num", "row_id", F.md5("ideal").alias("ideal"), "pos")
+    return found.select("lesson", "exp_num", "row_id", F.md5("ideal").alias("ideal"), F.coalesce("pos", F.lit(-1)).alias("pos"))
 
 
 @query("trainable_rows", o.with_(o.RAW, o.EXPECT, o.KEEP) + "SELECT lesson, exp_num, row_id, label FROM raw SEMI JOIN keep USING (lesson, exp_num)")
@@ -41,10 +41,10 @@ def vocabulary_join(spark, sf_dir):
     return known.select("doc_id", F.size("w").cast("bigint").alias("n_known"), F.md5(F.array_join("w", " ")).alias("words"))
 
 
-@query("answer_fan_out", o.with_(o.RAW, o.EXPECT, o.ASKED, o.FANNED) + "SELECT answer_id, lesson, exp_num, pos, md5(ideal) AS ideal FROM fanned")
+@query("answer_fan_out", o.with_(o.RAW, o.EXPECT, o.ASKED, o.FANNED) + "SELECT answer_id, lesson, exp_num, coalesce(pos, -1) AS pos, md5(ideal) AS ideal FROM fanned")
 def answer_fan_out(spark, sf_dir):
     rows = lookup.fan_out(b.answers(spark, sf_dir), b.expectations(spark, sf_dir))
-    return rows.select("answer_id", "lesson", "exp_num", "pos", F.md5("ideal").alias("ideal"))
+    return rows.select("answer_id", "lesson", "exp_num", F.coalesce("pos", F.lit(-1)).alias("pos"), F.md5("ideal").alias("ideal"))
 
 
 def counted_models(spark, sf_dir):

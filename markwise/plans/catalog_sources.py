@@ -128,9 +128,9 @@ def model_presence(spark, sf_dir):
        "WHERE lesson NOT IN (SELECT lang FROM documents GROUP BY lang HAVING count(*) < (SELECT count(*) / 8 FROM documents))")
 def model_removal(spark, sf_dir):
     stored = _counted_models(spark, sf_dir, 1).drop("version")
-    langs = b.table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("lesson")).agg(F.count(F.lit(1)).alias("n"))
-    total = langs.agg(F.sum("n").alias("total"))
-    small = langs.join(F.broadcast(total), F.col("n") < F.col("total") / 8).select(F.lit("lr2").alias("arch"), "lesson")
+    documents = b.table(spark, sf_dir, "documents")
+    langs = documents.groupBy(F.col("lang").alias("lesson")).agg(F.count(F.lit(1)).alias("n"))
+    small = langs.filter(F.col("n") < documents.count() / 8).select(F.lit("lr2").alias("arch"), "lesson")
     return model_store.without(stored, small)
 
 
