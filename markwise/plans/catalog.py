@@ -1,4 +1,11 @@
 """All registered queries."""
 
-from markwise.plans import catalog_joins, catalog_sources, catalog_text, catalog_training  # noqa: F401
+from markwise.plans import (  # noqa: F401
+    catalog_grader,
+    catalog_joins,
+    catalog_mining,
+    catalog_sources,
+    catalog_text,
+    catalog_training,
+)
 from markwise.plans.registry import ORACLES, QUERIES  # noqa: F401
