@@ -5,6 +5,7 @@ from markwise.plans import (  # noqa: F401
     catalog_joins,
     catalog_mining,
     catalog_sources,
+    catalog_streaming,
     catalog_text,
     catalog_training,
 )
