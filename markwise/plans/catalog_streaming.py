@@ -34,14 +34,14 @@ _COEF = "[-{bad} / {n}, 0.25, 0, 3, -2, 1.5, -{bad} / 10]"
 _SEVEN = f"""per AS (SELECT lesson, exp_num, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (label IN ('bad', 'Bad ')) AS DOUBLE) AS bad FROM raw GROUP BY ALL),
 own AS (SELECT lesson, exp_num, {_COEF.format(bad='bad', n='n')} AS coef, n / 1000 AS intercept FROM per WHERE bad >= 5),
 dflt AS (SELECT {_COEF.format(bad='sum(bad)', n='sum(n)')} AS coef, -0.125 AS intercept FROM per),
-at AS (SELECT answer_id, {o.tokens('text')} AS tokens FROM asked),
+asked_t AS (SELECT answer_id, {o.tokens('text')} AS tokens FROM asked),
 et AS (SELECT lesson, exp_num, {o.tokens('ideal')} AS it FROM expect),
 qt AS (SELECT lesson, {o.tokens('max(question)')} AS tokens FROM expect GROUP BY lesson)"""
 _WIDE = f"""wide AS (
-  SELECT f.*, at.tokens, {o.negations('at.tokens')} AS neg, coalesce({o.cosine('am.vector', 'im.vector')}, 0) AS si, {o.cosine('am.vector', 'qm.vector')} AS sq,
+  SELECT f.*, asked_t.tokens, {o.negations('asked_t.tokens')} AS neg, coalesce({o.cosine('am.vector', 'im.vector')}, 0) AS si, {o.cosine('am.vector', 'qm.vector')} AS sq,
     CASE WHEN f.good IS NULL THEN 0 ELSE {o.ratio('f.text', 'f.good')} END AS rg, CASE WHEN f.bad IS NULL THEN 0 ELSE {o.ratio('f.text', 'f.bad')} END AS rb,
     w.coef IS NOT NULL AS own_model, coalesce(w.coef, d.coef) AS coef, coalesce(w.intercept, d.intercept) AS b
-  FROM fanned f JOIN at USING (answer_id) JOIN am USING (answer_id) JOIN qm ON f.lesson = qm.lesson
+  FROM fanned f JOIN asked_t USING (answer_id) JOIN am USING (answer_id) JOIN qm ON f.lesson = qm.lesson
   LEFT JOIN im ON f.lesson = im.lesson AND f.exp_num = im.exp_num
   CROSS JOIN dflt d LEFT JOIN own w ON f.lesson = w.lesson AND f.exp_num = w.exp_num),
 decided AS (SELECT *, list_dot_product(CAST([neg, CASE WHEN neg % 2 = 0 THEN 1 ELSE 0 END, 0, si, sq, rg, rb] AS DOUBLE[]), CAST(coef AS DOUBLE[])) + b AS z FROM wide),
@@ -51,7 +51,7 @@ results AS (SELECT answer_id, exp_num, coalesce(pos, -1) AS pos, CASE WHEN z > 0
   CASE WHEN regexp_matches(text, {o.lit(_re2_plain(fixed.PROFANITY))}) THEN 'Good' ELSE 'Bad' END AS profanity FROM decided)"""
 RESULTS = o.with_(
     o.RAW, o.EXPECT, o.ASKED, o.FANNED, o.VOCAB, _SEVEN,
-    o.means("at", "answer_id", "tokens", "am"), o.means("et", "lesson, exp_num", "it", "im"), o.means("qt", "lesson", "tokens", "qm"), _WIDE)
+    o.means("asked_t", "answer_id", "tokens", "am"), o.means("et", "lesson, exp_num", "it", "im"), o.means("qt", "lesson", "tokens", "qm"), _WIDE)
 
 
 def shown(rows):
