@@ -23,8 +23,19 @@ GOOD_REGEXES = {"0": ["[Tt]h[ae]", "ung", "[0-9]{2}"], "1": ["ion", "^[A-Z]"]}
 BAD_REGEXES = {"0": ["[|]", "licen[sc]e"], "1": ["idiot|stupid|worthless", "[!]{2}", "http"]}
 
 
+# tables of whole texts, with a key to spread them by
+TEXTS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Texts stored in fewer files than there are cores are
+    spread first, as all the work on them would fall to a few tasks; a table
+    of many files is read as it lies, without a shuffle."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and len(rows.inputFiles()) < cores:
+        return rows.repartition(cores, *TEXTS[name])
+    return rows
 
 
 def raw_training(spark: SparkSession, sf_dir: str) -> DataFrame:
