@@ -85,7 +85,8 @@ def assemble(
     """
     digits = F.expr(words_to_digits_sql("text"))
     rows = answers.withColumn("tokens", text.preprocess("text")).withColumn("digits", digits)
-    rows = written(rows.withColumn("text_key", F.sha2("text", 256)), "tokens")
+    rows = rows.withColumn("text_key", F.sha2("text", 256)).withColumn("_row", F.monotonically_increasing_id())
+    rows = written(rows, "tokens")
     vocabulary = written(vocabulary.select("word", "vector"), "vocabulary")
     expectations = written(expectations, "expectations")
 
@@ -96,7 +97,7 @@ def assemble(
     alignments = word_alignment(pairs, ideals, vocabulary, "text_key", KEYS, vector_width(vocabulary))
 
     references = reference_vectors(expectations, vocabulary)
-    per_pair = pairs.select("text_key", *KEYS).join(means, "text_key")
+    per_pair = salted_join(pairs.select("text_key", *KEYS), means, ["text_key"], KEYS, "inner")
     per_pair = salted_join(per_pair, references, KEYS, "text_key", "inner").select(
         "text_key",
         *KEYS,
@@ -108,7 +109,9 @@ def assemble(
 
     flags = [c for c in expectations.columns if c.startswith("feature")]
     settings = expectations.select(*KEYS, "ideal_tokens", "good", "bad", "patterns", *flags)
-    joined = salted_join(rows, settings, KEYS, "text_key", "inner").join(per_pair, ["text_key", *KEYS])
+    # copies of one text share a pair, so both joins spread by row
+    joined = salted_join(rows, settings, KEYS, "_row", "inner")
+    joined = salted_join(joined, per_pair, ["text_key", *KEYS], "_row", "inner")
     negated = text.negation_count(F.col("tokens")) > 0
     hits = F.transform("patterns", lambda p: _pattern_hit(p, negated))
     joined = joined.withColumn("pattern_hits", hits)

@@ -65,7 +65,7 @@ def _fit_small(features: DataFrame, chosen: DataFrame, keys: list[str]) -> DataF
         return pd.DataFrame([[*key, len(y), beta[:-1].tolist(), beta[-1], accuracy]])
 
     schema = f"{_key_schema(features, keys)}, n_rows bigint, coef array<double>, intercept double, accuracy double"
-    rows = features.select(*keys, *ROW, "y", "x").join(chosen, keys, "left_semi")
+    rows = salted_join(features.select(*keys, *ROW, "y", "x"), chosen, keys, "row_id", "left_semi")
     return rows.groupBy(*keys).applyInPandas(solve, schema)
 
 
@@ -162,7 +162,7 @@ def _minimise(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     columns = state.columns
     finished = []
     for _ in range(newton.MAX_STEPS):
-        sums = _sums_at_trial(rows.join(state.select(*keys).distinct(), keys, "left_semi"), state, keys)
+        sums = _sums_at_trial(rows, state, keys)
         schema = f"{_key_schema(rows, keys)}, {_STATE}"
         state = written(
             state.join(sums, [*keys, "variant"]).select(*columns, "sums").mapInPandas(_advance, schema), "newton"
@@ -244,7 +244,7 @@ def _decisions(keys: list[str]):
 
 
 def _fit_large(features: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
-    rows = features.select(*keys, *ROW, "y", "x").join(counts.select(*keys), keys, "left_semi")
+    rows = salted_join(features.select(*keys, *ROW, "y", "x"), counts.select(*keys), keys, "row_id", "left_semi")
     width = rows.groupBy(*keys).agg((F.max(F.size("x")) + 1).alias("d"))
     fitted = written(_minimise(rows, _fresh_state(counts, keys, width), keys), "fits")
 

@@ -56,15 +56,17 @@ def default_models(models: DataFrame) -> DataFrame:
 def with_model(rows: DataFrame, models: DataFrame, spread: str = "answer_id") -> DataFrame:
     """Own model by (arch, lesson, exp_num), else the architecture's default.
 
-    There is one default per architecture, so that side is small by what it
-    is; the own-model join splits hot expectations.
+    There is one default per architecture, a few dozen numbers each, so these
+    go into the plan as values; the own-model join splits hot expectations.
     """
     own = models.select("arch", *KEYS, "coef", "intercept")
     joined = salted_join(rows, own, ["arch", *KEYS], spread)
-    joined = joined.join(F.broadcast(default_models(models)), "arch", "left")
-    return joined.withColumn("own_model", F.col("coef").isNotNull()).withColumn(
-        "intercept", F.coalesce("intercept", "default_intercept")
-    ).withColumn("coef", F.coalesce("coef", "default_coef")).drop("default_coef", "default_intercept")
+    coef, intercept = F.col("coef"), F.col("intercept")
+    for default in default_models(models).collect():
+        missing = F.col("coef").isNull() & (F.col("arch") == default.arch)
+        coef = F.when(missing, F.array(*[F.lit(float(c)) for c in default.default_coef])).otherwise(coef)
+        intercept = F.when(missing, F.lit(float(default.default_intercept))).otherwise(intercept)
+    return joined.withColumns({"own_model": F.col("coef").isNotNull(), "coef": coef, "intercept": intercept})
 
 
 def resolve_store(requested: DataFrame, local: DataFrame, deployed: DataFrame, default: DataFrame) -> DataFrame:
@@ -79,17 +81,14 @@ def resolve_store(requested: DataFrame, local: DataFrame, deployed: DataFrame, d
     stored = ranked(local, 0, "local").unionByName(ranked(deployed, 1, "deployed"))
     rest = [c for c in stored.columns if c not in ("lesson", "_place")]
     best = stored.groupBy("lesson").agg(F.min_by(F.struct(*rest), "_place").alias("m"))
-    fallback = [c for c in default.columns if c != "lesson"]
-    spare = default.select(F.lit(True).alias("_any"), F.struct(*fallback, F.lit("default").alias("origin")).alias("spare"))
-    joined = requested.withColumn("_any", F.lit(True)).join(best, "lesson", "left").join(F.broadcast(spare), "_any", "left")
+    spare = default.first().asDict() | {"origin": "default"}
+    joined = requested.join(best, "lesson", "left")
+
     def pick(name: str):
-        return F.when(F.col("m").isNotNull(), F.col(f"m.{name}")).otherwise(F.col(f"spare.{name}")).alias(name)
+        return F.when(F.col("m").isNotNull(), F.col(f"m.{name}")).otherwise(F.lit(spare[name])).alias(name)
 
-    return joined.select(
-        *requested.columns,
-        *[pick(name) for name in [*fallback, "origin"]],
-        F.col("m").isNull().alias("is_default"),
-    )
+    names = [c for c in spare if c != "lesson"]
+    return joined.select(*requested.columns, *[pick(name) for name in names], F.col("m").isNull().alias("is_default"))
 
 
 def stale_lessons(cached: DataFrame, trained: DataFrame, lessons: DataFrame) -> DataFrame:

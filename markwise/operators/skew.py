@@ -14,19 +14,20 @@ def salted_join(
     many: DataFrame,
     few: DataFrame,
     on: list[str],
-    spread: str,
+    spread: str | list[str],
     how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``many`` rows per key to ``few``, splitting each key over salts.
 
-    ``spread`` is a column of ``many`` that differs within a key. ``few`` is
+    ``spread`` names columns of ``many`` that differ within a key. ``few`` is
     repeated once per salt, so a key with a third of all rows still spreads
     over ``salts`` tasks. Only joins that keep the left side fit (inner, left,
     left_semi, left_anti). Where ``few`` is small enough by its statistics
     Catalyst broadcasts it and nothing is shuffled.
     """
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    columns = [spread] if isinstance(spread, str) else spread
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
     repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 

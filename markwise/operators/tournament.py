@@ -13,7 +13,7 @@ from markwise import fixed_values as fixed
 from markwise.operators.alignment import _vectors
 from markwise.operators.assignment import alignment_score
 from markwise.operators.embedding import known_words
-from markwise.operators.skew import rank_rows
+from markwise.operators.skew import rank_rows, salted_join
 from markwise.session import written
 
 
@@ -72,7 +72,7 @@ def representatives(
     short = sentences.filter(F.size("tokens") < fixed.REPRESENTATIVE_MAX_TOKENS)
     counts = short.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     playing = counts.filter(F.col("n") >= fixed.REPRESENTATIVE_MIN_SENTENCES)
-    short = short.join(playing.select(*keys), keys, "left_semi")
+    short = salted_join(short, playing.select(*keys), keys, "id", "left_semi")
     ranked = written(rank_rows(short.select(*keys, "place", "id", "tokens"), keys, ["place", "id"], "seat"), "seats")
     words = known_words(ranked.select(*keys, "seat", "tokens"), vocabulary, [*keys, "seat"])
     players = ranked.join(words, [*keys, "seat"])

@@ -28,12 +28,12 @@ TEXTS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Texts stored in fewer files than there are cores are
+    """A given table. Texts stored in fewer splits than there are cores are
     spread first, as all the work on them would fall to a few tasks; a table
-    of many files is read as it lies, without a shuffle."""
+    of many splits is read as it lies, without a shuffle."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXTS and len(rows.inputFiles()) < cores:
+    if name in TEXTS and rows.rdd.getNumPartitions() < cores:
         return rows.repartition(cores, *TEXTS[name])
     return rows
 

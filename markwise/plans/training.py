@@ -59,7 +59,8 @@ def cluster_sentences(said: DataFrame, vocabulary: DataFrame, radius: float = fi
     """Adds the cluster of each sentence among those of its expectation and label."""
     distinct = said.groupBy("text_key").agg(F.first("tokens").alias("tokens"))
     means = embedding.mean_vectors(distinct, vocabulary, ["text_key"])
-    points = said.select(*GROUP, F.col("sentence").alias("id"), "text_key").join(means, "text_key")
+    points = said.select(*GROUP, F.col("sentence").alias("id"), "text_key")
+    points = salted_join(points, means, ["text_key"], [*GROUP, "id"], "inner")
     clusters = density.density_clusters(points, GROUP, radius).withColumnRenamed("id", "sentence")
     return said.join(clusters, [*GROUP, "sentence"])
 
