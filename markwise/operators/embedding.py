@@ -16,8 +16,15 @@ def vector_width(vocabulary: DataFrame) -> int:
     return vocabulary.select(F.size("vector")).first()[0]
 
 
-def join_vocabulary(words: DataFrame, vocabulary: DataFrame, spread: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Inner join of (…, word) rows with the vocabulary; unknown words drop out.
+def join_vocabulary(
+    words: DataFrame,
+    vocabulary: DataFrame,
+    spread: str | list[str],
+    limit: int = BROADCAST_BYTES,
+    how: str = "inner",
+) -> DataFrame:
+    """Join (…, word) rows with the vocabulary; unknown words drop out, or keep
+    a null vector if ``how`` is left.
 
     The vocabulary is broadcast where its counted size is within ``limit``.
     Beyond that the word is the shuffle key, salted because a few words make
@@ -26,32 +33,33 @@ def join_vocabulary(words: DataFrame, vocabulary: DataFrame, spread: str, limit:
     vocabulary = vocabulary.select("word", "vector")
     size = vocabulary.agg(F.coalesce(F.sum(F.size("vector") * 8 + F.length("word") + 32), F.lit(0))).first()[0]
     if size <= limit:
-        return words.join(F.broadcast(vocabulary), "word")
-    return salted_join(words, vocabulary, ["word"], spread, "inner")
+        return words.join(F.broadcast(vocabulary), "word", how)
+    return salted_join(words, vocabulary, ["word"], spread, how)
+
+
+def _words(texts: DataFrame, key: list[str], tokens: str) -> DataFrame:
+    """(key…, word) of the distinct words; a text without words keeps one null."""
+    return texts.select(*key, F.explode_outer(F.array_distinct(tokens)).alias("word"))
 
 
 def mean_vectors(
-    texts: DataFrame, vocabulary: DataFrame, key: list[str], tokens: str = "tokens", spread: str | None = None
+    texts: DataFrame, vocabulary: DataFrame, key: list[str], tokens: str = "tokens"
 ) -> DataFrame:
     """Mean over the distinct known words of each text: (key…, n_known, vector).
 
     ``key`` is unique per row of ``texts``. Sums are fixed-width hash
-    aggregates, one per dimension, combined before the shuffle; texts without
-    a known word get the zero vector.
+    aggregates, one per dimension, combined before the shuffle, so one row per
+    text is shuffled. Texts without a known word get the zero vector.
     """
     width = vector_width(vocabulary)
-    words = texts.select(*key, F.explode(F.array_distinct(tokens)).alias("word"))
-    known = join_vocabulary(words, vocabulary, spread or key[-1])
+    known = join_vocabulary(_words(texts, key, tokens), vocabulary, key, how="left")
     sums = known.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_known"),
+        F.count("vector").alias("n_known"),
         *[F.expr(f"sum(CAST(vector[{i}] AS double)) AS s{i}") for i in range(width)],
     )
-    mean = F.expr(f"array({', '.join(f's{i} / n_known' for i in range(width))})")
-    means = sums.select(*key, "n_known", mean.alias("vector"))
     zero = F.array_repeat(F.lit(0.0), width)
-    return texts.select(*key).join(means, key, "left").select(
-        *key, F.coalesce("n_known", F.lit(0)).alias("n_known"), F.coalesce("vector", zero).alias("vector")
-    )
+    mean = F.expr(f"array({', '.join(f's{i} / n_known' for i in range(width))})")
+    return sums.select(*key, "n_known", F.when(F.col("n_known") > 0, mean).otherwise(zero).alias("vector"))
 
 
 def known_words(
@@ -59,21 +67,13 @@ def known_words(
 ) -> DataFrame:
     """(key…, known_words, known_vectors): the known distinct words of each
     text, sorted, with their vectors laid end to end."""
-    words = texts.select(*key, F.explode(F.array_distinct(tokens)).alias("word"))
-    packed = (
-        join_vocabulary(words, vocabulary, key[-1])
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("word", "vector"))).alias("known"))
-        .select(
-            *key,
-            F.col("known.word").alias("known_words"),
-            F.flatten("known.vector").cast("array<float>").alias("known_vectors"),
-        )
-    )
-    return texts.select(*key).join(packed, key, "left").select(
+    known = join_vocabulary(_words(texts, key, tokens), vocabulary, key, how="left")
+    entry = F.when(F.col("vector").isNotNull(), F.struct("word", "vector"))
+    packed = known.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("known"))
+    return packed.select(
         *key,
-        F.coalesce("known_words", F.expr("CAST(array() AS array<string>)")).alias("known_words"),
-        F.coalesce("known_vectors", F.expr("CAST(array() AS array<float>)")).alias("known_vectors"),
+        F.col("known.word").alias("known_words"),
+        F.flatten("known.vector").cast("array<float>").alias("known_vectors"),
     )
 
 
