@@ -19,7 +19,7 @@ from markwise.operators import newton
 from markwise.operators.skew import salted_join
 from markwise.session import written
 
-LOCAL_ROWS = 4096
+LOCAL_ROWS = 20_000
 ROW = ["place", "row_id"]
 
 
