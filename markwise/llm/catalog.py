@@ -1,9 +1,13 @@
 """Queries of this subpackage and the SQL they are checked against."""
 
+from markwise.llm.near_duplicates import OP6_SQL, op6_near_duplicates
 from markwise.llm.quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op6_near_duplicates": op6_near_duplicates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_near_duplicates": OP6_SQL,
+}
