@@ -3,11 +3,13 @@
 from markwise.llm.chunked_encoding import op2_byte_pair_encoding
 from markwise.llm.language_mixture import op7_language_id
 from markwise.llm.near_duplicates import OP6_SQL, op6_near_duplicates
+from markwise.llm.packing import op4_packing
 from markwise.llm.quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_pair_encoding": op2_byte_pair_encoding,
+    "op4_packing": op4_packing,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_language_id": op7_language_id,
 }
