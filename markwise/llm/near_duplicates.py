@@ -7,11 +7,12 @@ sequence per bin (optimal densification). Bands of bins give bucket keys.
 
 Copies are taken together first (equal sets are one class), so only classes
 meet in buckets. Inside a bucket no pairs are formed: every member is compared
-with a centre only, the member that shares the most buckets with others.
-Buckets whose members do not all end in one component get further centres; the
-few pairs that remain in the end are counted before they are formed, and must
-not exceed the bucket rows. Links are confirmed on the full sets, and pairs
-whose set sizes alone rule a link out are never looked at.
+with a centre only, the member that shares the most buckets with others. Links
+are confirmed on the full sets; pairs whose set sizes alone rule a link out are
+not looked at. Members that are both too far from their centre can still be
+near each other. So what hangs together by stars, confirmed or not, is a
+family, and families that the confirmed links leave in more than one component
+are compared exactly in blocks, by matrix products inside tasks.
 
 Defined results: a null, empty or blank text has an empty set and is linked
 with nothing; fewer than five words make one shingle. Rows that share an id
@@ -25,6 +26,7 @@ collisions of 64-bit hashes inside two documents.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markwise.llm.batches import add_columns, table, texts_of
+from markwise.llm.batches import add_columns, emit, table, texts_of
 from markwise.llm.words import WordHashes, mixed, shingles_of
 from markwise.operators.components import connected_components
 from markwise.session import written
@@ -44,6 +46,8 @@ TRIES = 64
 MISS = 1e-6
 #: Ids are broadcast to pick texts only if their counted bytes are within this.
 BROADCAST_BYTES = 16 << 20
+#: Bounds of a block of a family, and of the columns of a matrix.
+BLOCK_NODES, BLOCK_SHINGLES, COLUMNS_AT_ONCE = 1024, 400_000, 4096
 
 
 def banding(percent: int, bins: int = BINS, miss: float = MISS) -> tuple[int, int]:
@@ -152,38 +156,107 @@ def confirmed(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long").distinct()
 
 
-def sizes_allow(percent: int):
-    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+def star_edges(shared: DataFrame) -> DataFrame:
+    """Distinct (a, n_a, b, n_b): every bucket member b next to the bucket's centre a.
 
-
-def star_edges(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b, key): every member next to its bucket's centre.
-
-    ``members`` are (key, node, n, weight): the centre is the member with the
-    greatest weight, then the smallest id. The greatest is found by partial
-    aggregation; the join back has one row per key on its small side.
+    ``shared`` are (key, node, n, weight); the centre has the greatest weight,
+    then the smallest id. It is found by partial aggregation, and the join back
+    has one row per key on its small side.
     """
-    centres = members.groupBy("key").agg(
-        F.max(F.struct("weight", (-F.col("node")).alias("minus"), F.col("n").alias("n_a"))).alias("top")
-    )
+    top = F.max(F.struct("weight", (-F.col("node")).alias("minus"), F.col("n").alias("n_a")))
+    centres = shared.groupBy("key").agg(top.alias("top"))
     return (
-        members.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
+        shared.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
         .join(centres, "key")
-        .select("key", (-F.col("top.minus")).alias("a"), "b", F.col("top.weight").alias("weight"), F.col("top.n_a").alias("n_a"), "n_b")
-        .filter((F.col("a") != F.col("b")) & sizes_allow(percent))
+        .select((-F.col("top.minus")).alias("a"), F.col("top.n_a").alias("n_a"), "b", "n_b")
+        .filter("a <> b")
+        .distinct()
     )
 
 
-def pairs_left(open_members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that a bucket still holds."""
-    one = open_members.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    two = open_members.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    return (
-        one.join(two, "key")
-        .filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & sizes_allow(percent))
-        .select("a", "b")
-        .distinct()
+def block_links(
+    nodes: np.ndarray, roots: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int
+) -> list[tuple[int, int]]:
+    """Links that join different roots, as a forest; between blocks if there are two.
+
+    The sizes of all intersections come from one matrix product over the
+    shingles that more than one set holds.
+    """
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    _, number, n = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[n[number] > 1]
+    column = (np.cumsum(n > 1) - 1)[number[n[number] > 1]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS_AT_ONCE):
+        lo, hi = np.searchsorted(column, [start, start + COLUMNS_AT_ONCE])
+        held = np.zeros((len(sets), COLUMNS_AT_ONCE), np.float32)
+        held[owner[lo:hi], column[lo:hi] - start] = 1
+        common += held @ held.T
+    near = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    near &= roots[:, None] != roots[None, :]
+    if (blocks != blocks[0]).any():
+        near &= blocks[:, None] != blocks[None, :]
+    above: dict[int, int] = {}
+
+    def top(root: int) -> int:
+        while root in above:
+            root = above[root]
+        return root
+
+    found = []
+    for i, j in np.argwhere(np.triu(near)):
+        one, other = top(int(roots[i])), top(int(roots[j]))
+        if one != other:
+            above[one] = other
+            found.append((int(nodes[i]), int(nodes[j])))
+    return found
+
+
+def family_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links inside families that stars have not joined already.
+
+    ``members`` are (family, node, n, root). A family is cut into blocks of at
+    most about ``BLOCK_NODES`` nodes and ``BLOCK_SHINGLES`` shingles; a task
+    compares two blocks at a time, so a node is sent once per block of its
+    family and no pairs are formed outside a task's matrix.
+    """
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK_NODES, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = (
+        members.join(sizes.select("family", blocks.alias("blocks")), "family")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .join(texts, "node")
+        .select("family", "node", "root", "block", "text", other.alias("other"))
+        .select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "text")
     )
+    group = ["family", "lo", "hi"]
+    sent = placed.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+
+        def rows():
+            for batch in batches:
+                numbers = [batch.column(c).to_pylist() for c in ("family", "lo", "hi", "block", "node", "root")]
+                yield from zip(*numbers, texts_of(batch.column("text")), strict=True)
+
+        for _, own in itertools.groupby(rows(), key=lambda r: r[:3]):
+            _, _, _, block, node, root, text = zip(*own, strict=True)
+            sets = [shingles_of(t, hashes) for t in text]
+            links = block_links(np.array(node), np.array(root), np.array(block), sets, percent)
+            if links:
+                yield emit(["a", "b"], [pa.int64(), pa.int64()], links)
+
+    return sent.sortWithinPartitions(*group).mapInArrow(compare, "a long, b long")
+
+
+def roots_of(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    found = connected_components(nodes.select(F.col("node").alias("id")), edges.select("a", "b"), [])
+    return found.select(F.col("id").alias("node"), F.col("root").alias(name))
 
 
 def linked_classes(classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
@@ -194,55 +267,24 @@ def linked_classes(classes: DataFrame, documents: DataFrame, percent: int) -> Da
     rows = classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = written(rows.join(crowded, "key"), "buckets")
-    weights = shared.groupBy("node").agg(F.sum("members").alias("weight"))
-    shared = written(shared.drop("members").join(weights, "node"), "buckets")
-    nodes = written(shared.select("node").distinct(), "nodes")
-    budget = shared.count()
-    texts = texts_of_nodes(documents, nodes)
-    # a member's heaviest centre first: one comparison each settles most buckets
-    best = star_edges(shared, percent).groupBy("b").agg(
-        F.max(F.struct("weight", (-F.col("a")).alias("minus"))).alias("top")
+    nodes = written(shared.groupBy("node").agg(F.first("n").alias("n"), F.sum("members").alias("weight")), "nodes")
+    stars = written(star_edges(shared.select("key", "node", "n").join(nodes.drop("n"), "node")), "stars")
+    texts = texts_of_nodes(documents, nodes.select("node"))
+    possible = stars.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    links = written(confirmed(possible, texts, percent), "links")
+    members = (
+        nodes.select("node", "n")
+        .join(roots_of(nodes, links, "root"), "node")
+        .join(roots_of(nodes, stars, "family"), "node")
     )
-    links = written(confirmed(best.select((-F.col("top.minus")).alias("a"), "b"), texts, percent), "links")
-    tried = None
-    while True:
-        roots = written(
-            connected_components(nodes.select(F.col("node").alias("id")), links, []).select(
-                F.col("id").alias("node"), "root"
-            ),
-            "roots",
-        )
-        seen = shared.join(roots, "node")
-        mixed_keys = seen.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        left = seen.join(mixed_keys.select("key"), "key", "left_semi")
-        if tried is not None:
-            left = left.join(tried, ["key", "node"], "left_anti")
-        left = written(left, "open")
-        sizes = left.groupBy("key").count()
-        todo = sizes.agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] or 0
-        if todo <= budget:
-            break
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(
-            F.count(F.lit(1)).alias("degree")
-        )
-        ranked = left.join(degree, "node", "left").withColumn(
-            "weight", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "weight")
-        )
-        edges = written(star_edges(ranked, percent).select("key", "a", "b"), "stars")
-        new = confirmed(edges.select("a", "b").distinct(), texts, percent)
-        links = written(links.unionByName(new).distinct(), "links")
-        # a bucket whose sizes rule out all links of its centre is done with it, too
-        done = ranked.groupBy("key").agg(
-            F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")
-        ).select("key", (-F.col("top.minus")).alias("node"))
-        tried = written(done if tried is None else tried.unionByName(done), "tried")
-    if todo:
-        rest = confirmed(pairs_left(left, percent), texts, percent)
-        links = written(links.unionByName(rest).distinct(), "links")
-        roots = connected_components(nodes.select(F.col("node").alias("id")), links, []).select(
-            F.col("id").alias("node"), "root"
-        )
-    return roots
+    members = written(members, "members")
+    # a family is all that hangs together by buckets; with two nodes, the star has compared them
+    open_ = members.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("nodes"))
+    open_ = open_.filter("lo <> hi AND nodes > 2").select("family")
+    more = written(family_links(members.join(open_, "family", "left_semi"), texts, percent), "links")
+    if more.isEmpty():
+        return members.select("node", "root")
+    return roots_of(nodes, links.unionByName(more), "root")
 
 
 def near_duplicates(
