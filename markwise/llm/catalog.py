@@ -5,11 +5,13 @@ from markwise.llm.language_mixture import op7_language_id
 from markwise.llm.near_duplicates import OP6_SQL, op6_near_duplicates
 from markwise.llm.packing import op4_packing
 from markwise.llm.quality_rules import op1_quality_rules
+from markwise.llm.site_style_tree import op3_html_extraction
 from markwise.llm.weighted_fingerprints import op5_document_fingerprints
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_pair_encoding": op2_byte_pair_encoding,
+    "op3_html_extraction": op3_html_extraction,
     "op4_packing": op4_packing,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_near_duplicates": op6_near_duplicates,
