@@ -47,7 +47,7 @@ MISS = 1e-6
 #: Ids are broadcast to pick texts only if their counted bytes are within this.
 BROADCAST_BYTES = 16 << 20
 #: Bounds of a block of a family, and of the columns of a matrix.
-BLOCK_NODES, BLOCK_SHINGLES, COLUMNS_AT_ONCE = 1024, 400_000, 4096
+BLOCK_NODES, BLOCK_SHINGLES, COLUMNS_AT_ONCE = 256, 400_000, 4096
 
 
 def banding(percent: int, bins: int = BINS, miss: float = MISS) -> tuple[int, int]:
