@@ -6,6 +6,7 @@ from markwise.llm.near_duplicates import OP6_SQL, op6_near_duplicates
 from markwise.llm.packing import op4_packing
 from markwise.llm.quality_rules import op1_quality_rules
 from markwise.llm.site_style_tree import op3_html_extraction
+from markwise.llm.viterbi_counts import op10_token_counts
 from markwise.llm.warc_source import OP8_SQL, op8_warc
 from markwise.llm.weighted_fingerprints import op5_document_fingerprints
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
