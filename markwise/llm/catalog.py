@@ -2,6 +2,7 @@
 
 from markwise.llm.chunked_encoding import op2_byte_pair_encoding
 from markwise.llm.language_mixture import op7_language_id
+from markwise.llm.language_model import op9_language_model
 from markwise.llm.near_duplicates import OP6_SQL, op6_near_duplicates
 from markwise.llm.packing import op4_packing
 from markwise.llm.quality_rules import op1_quality_rules
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
+    "op9_language_model": op9_language_model,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markwise.llm.batches import ROWS_OUT, add_columns, emit, table
+from markwise.llm.batches import ROWS_OUT, add_columns, emit, stored, table
 from markwise.llm.byte_pairs import load
 from markwise.llm.chunked_encoding import vocabulary_path
-from markwise.session import fresh_path, written
+from markwise.session import written
 
 WINDOW = 2048
 END = 1
@@ -207,10 +207,7 @@ def encoded(df: DataFrame, path: str, window: int, text: str, keep: list[str]) -
 
         return work
 
-    made = add_columns(df, [text], ENCODED, make, keep)
-    path_ = fresh_path(df.sparkSession, "tokens")
-    made.write.option("compression", "zstd").parquet(path_)
-    return df.sparkSession.read.schema(made.schema).parquet(path_)
+    return stored(add_columns(df, [text], ENCODED, make, keep), "tokens")
 
 
 def pack(
