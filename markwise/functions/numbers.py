@@ -1,4 +1,4 @@
-"""Spelled-out English cardinals to digits, as one SQL expression.
+"""Spelled-out English cardinals, in any case, to digits, as one SQL expression.
 
 Runs of number words are cut out with one regular expression; texts without
 such a run pass through untouched. A run becomes one number as long as its
@@ -26,7 +26,7 @@ _GAP = r"[\s\-]+"
 _WORD = "|".join(NUMBERS)
 _LINKED = "|".join(word for word, value in NUMBERS.items() if value >= 100)
 RUN = (
-    rf"(?=[{''.join(sorted({w[0] for w in NUMBERS}))}])(?<![\p{{L}}\p{{N}}_'])(?:{_WORD})"
+    rf"(?i)(?=[{''.join(sorted({w[0] for w in NUMBERS}))}])(?<![\p{{L}}\p{{N}}_'])(?:{_WORD})"
     rf"(?:(?:{_GAP}|(?<={_LINKED}){_GAP}and{_GAP})(?:{_WORD}))*"
     r"(?![\p{L}\p{N}_'])"
 )
@@ -55,13 +55,13 @@ _STEP = f"""CASE WHEN {_FITS} THEN named_struct(
 
 
 def _converted(run: str) -> str:
-    values = f'transform(filter(split({run}, r"{_GAP}"), w -> w <> "and"), w -> {_TABLE}[w])'
-    return f"""CASE WHEN {run} = 'one' THEN {run} ELSE aggregate({values}, {_START},
+    values = f'transform(filter(split(lower({run}), r"{_GAP}"), w -> w <> "and"), w -> {_TABLE}[w])'
+    return f"""CASE WHEN lower({run}) = 'one' THEN {run} ELSE aggregate({values}, {_START},
         (s, v) -> {_STEP}, s -> array_join(concat(s.done, array({_NUMBER})), ' ')) END"""
 
 
 def words_to_digits_sql(text: str) -> str:
-    """Lower-case SQL text expression with its number words as digits."""
+    """SQL text expression with its number words as digits."""
     return f"""CASE WHEN regexp_like({text}, r"{RUN}") THEN array_join(zip_with(
         split({text}, r"{RUN}", -1), regexp_extract_all({text}, r"{RUN}", 0),
         (piece, run) -> concat(coalesce(piece, ''), coalesce({_converted('run')}, ''))), '')

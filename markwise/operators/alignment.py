@@ -83,8 +83,8 @@ def word_alignment(
     keys = [answer_key, *ideal_keys]
     easy = pairs.filter("alignment IS NOT NULL").select(*keys, "alignment")
     hard = pairs.filter("alignment IS NULL").drop("alignment")
-    # one answer text may be given for very many ideals
-    hard = salted_join(hard, answer_vectors, [answer_key], ideal_keys, "inner")
+    # the vectors are the heavy side, one row per answer: they move once, unrepeated
+    hard = hard.join(answer_vectors, answer_key)
     hard = salted_join(hard, ideal_vectors, ideal_keys, answer_key, "inner")
     types = dict(hard.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", alignment double"

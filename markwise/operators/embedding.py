@@ -97,4 +97,3 @@ def slim_embeddings(expectations: DataFrame, vocabulary: DataFrame) -> DataFrame
     return known.select("lesson", "word", vectors.rounded(F.col("vector").cast("array<double>")).alias("vector"))
 
 
-DECIMALS = fixed.EMBEDDING_DECIMALS

@@ -144,7 +144,7 @@ def _advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if first or loss <= row["loss"] + 1e-12 * abs(row["loss"]):
                 step = np.linalg.solve(hessian, gradient)
                 row.update(beta=trial, loss=loss, step=step, scale=1.0, hessian=hessian.ravel())
-                row.update(trial=trial - step, done=bool(np.abs(gradient).max() < newton.TOLERANCE * 10))
+                row.update(trial=trial - step, done=newton.converged(loss, gradient, step))
             else:
                 scale = row["scale"] / 2
                 row.update(scale=scale, trial=np.asarray(row["beta"]) - scale * np.asarray(row["step"]))
@@ -171,10 +171,12 @@ def _minimise(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
         state = state.filter("NOT done")
         if state.isEmpty():
             break
+    else:
+        raise RuntimeError(f"no optimum within {newton.MAX_STEPS} evaluations")
     result = finished[0]
     for part in finished[1:]:
         result = result.unionByName(part)
-    return result.unionByName(state)
+    return result
 
 
 def _fresh_state(counts: DataFrame, keys: list[str], width: DataFrame) -> DataFrame:

@@ -43,15 +43,3 @@ def with_speech_acts(rows: DataFrame, column: str = "text") -> DataFrame:
     return rows.withColumn("metacognitive", text.metacognitive(F.col(column))).withColumn(
         "profanity", text.profanity(F.col(column))
     )
-
-
-def nested_results(predictions: DataFrame) -> DataFrame:
-    """One row per answer: its expectation results in config order.
-
-    An answer has as many rows as its lesson has expectations, so the
-    collected array is as short as the lesson config.
-    """
-    entry = F.struct("pos", F.struct(F.col("exp_num").alias("expectation_id"), "evaluation", "score").alias("r"))
-    return predictions.groupBy("answer_id").agg(F.array_sort(F.collect_list(entry)).alias("all")).select(
-        "answer_id", F.col("all.r").alias("expectation_results")
-    )

@@ -3,7 +3,7 @@
 lesson      = documents.lang; question = the benchmark item at its position
 expectation = '0' (the answer is of quality) and '1' (the answer is not toxic)
 answers     = whole document texts with the labels of both expectations
-vocabulary  = words seen often enough, each with one of the embeddings
+vocabulary  = all words of the documents, each with one of the embeddings
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from markwise import fixed_values as fixed
 from markwise.functions import text
 
 LESSONS = ["de", "en", "es", "fr"]
-WORD_MIN_COUNT = 20
-SLIM_MIN_COUNT = 100
+# of 256 parts that words fall into by their hash, those in the slim vocabulary
+SLIM_PARTS = 64
 IDEAL_MIN_CHARS = 150
 
 GOOD_REGEXES = {"0": ["[Tt]h[ae]", "ung", "[0-9]{2}"], "1": ["ion", "^[A-Z]"]}
@@ -28,14 +28,11 @@ TEXTS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Texts stored in fewer splits than there are cores are
-    spread first, as all the work on them would fall to a few tasks; a table
-    of many splits is read as it lies, without a shuffle."""
+    """A given table, as it lies. Where texts lie in a single small file, a job
+    can ask for them to be spread first (``spark.markwise.textSplits``)."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXTS and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores, *TEXTS[name])
-    return rows
+    splits = int(spark.conf.get("spark.markwise.textSplits", "0"))
+    return rows.repartition(splits, *TEXTS[name]) if splits and name in TEXTS else rows
 
 
 def raw_training(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,21 +88,20 @@ def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word, in_slim, vector): frequent words with a vector picked by hash."""
+    """(word, in_slim, vector): every word, with a vector picked by hash."""
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     n_vectors = embeddings.count()
     words = (
         table(spark, sf_dir, "documents")
         .select(F.explode(F.expr(text.tokens_sql(text.punctuation_sql("lower(text)")))).alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= WORD_MIN_COUNT)
+        .distinct()
     )
+    part = F.conv(F.substring(F.md5("word"), 8, 2), 16, 10).cast("int")
     vec_id = F.conv(F.substring(F.md5("word"), 1, 7), 16, 10).cast("bigint") % n_vectors
     return (
         words.withColumn("vec_id", vec_id)
         .join(embeddings, "vec_id")
-        .select("word", (F.col("n") >= SLIM_MIN_COUNT).alias("in_slim"), "vector")
+        .select("word", (part < SLIM_PARTS).alias("in_slim"), "vector")
     )
 
 

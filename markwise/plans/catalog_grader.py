@@ -137,8 +137,9 @@ def model_config_extract(spark, sf_dir):
     """The exported JSON of each lesson, parsed again."""
     models = written(counted_models(spark, sf_dir), "models")
     extract = model_extract(b.expectations(spark, sf_dir), models)
-    entry = ("weights array<double>, bias double, ideal string, regex_good array<string>, regex_bad array<string>, "
+    entry = ("weights_bias array<string>, ideal string, regex_good array<string>, regex_bad array<string>, "
              "archetype_good array<string>, archetype_bad array<string>, patterns_good array<string>, patterns_bad array<string>")
     parsed = extract.select("lesson", F.explode(F.from_json("extract", f"map<string, struct<{entry.replace(' array', ': array').replace(' double', ': double').replace(' string', ': string')}>>")).alias("exp_num", "e"))
-    return parsed.select("lesson", "exp_num", F.round(F.col("e.weights")[0], 6).alias("first_weight"), F.round("e.bias", 6).alias("bias"),
+    return parsed.select("lesson", "exp_num", F.round(F.from_json(F.col("e.weights_bias")[0], "array<double>")[0], 6).alias("first_weight"),
+                         F.round(F.col("e.weights_bias")[1].cast("double"), 6).alias("bias"),
                          F.md5("e.ideal").alias("ideal"), F.array_join("e.regex_good", " ").alias("regex_good"), F.size("e.patterns_good").alias("n_patterns"))

@@ -70,14 +70,36 @@ def stored_model_evaluation(spark, sf_dir):
     return shown(evaluate(b.answers(spark, sf_dir), *tables(spark, sf_dir)))
 
 
+_UNTRAINED = (
+    RESULTS.replace("expect AS (", "given AS (", 1)
+    .replace("asked AS (", """expect AS (SELECT * FROM given UNION ALL
+  SELECT DISTINCT lesson, '7', 7, question, NULL, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM given),
+asked AS (""", 1)
+    .replace("WHERE bad >= 5)", "WHERE bad >= 5 AND exp_num = '0')", 1)
+)
+
+
+@query("untrained_evaluation", _UNTRAINED + "SELECT * FROM results")
+def untrained_evaluation(spark, sf_dir):
+    """Scores for all expectations of the config, trained or not: one has no
+    model, and one has neither a model nor an ideal nor training rows."""
+    configs, models, vocabulary = tables(spark, sf_dir)
+    bare = configs.select("lesson", "question").distinct().select(
+        "lesson", F.lit("7").alias("exp_num"), F.lit(7).alias("pos"), "question", F.lit(None).cast("string").alias("ideal"),
+        *[F.expr("CAST(array() AS array<string>)").alias(name) for name in ("good", "bad")])
+    trained = models.filter("exp_num = '0' OR lesson = 'default'")
+    both = written(configs.unionByName(bare), "configs")
+    return shown(evaluate(b.answers(spark, sf_dir), both, written(trained, "models"), vocabulary))
+
+
 @query("streaming_evaluation", RESULTS + "SELECT answer_id, exp_num, evaluation, score FROM results UNION ALL "
-       "SELECT conv_id || '-' || turn, NULL, 'rejected', NULL FROM conversations WHERE role = 'system'")
+       "SELECT conv_id || '-' || turn, NULL, 'rejected', NULL FROM conversations WHERE role <> 'user'")
 def streaming_evaluation(spark, sf_dir):
-    """The same as a stream over the turns; system turns name no lesson."""
+    """The same as a stream over the turns; only user turns name a lesson."""
     schema = b.table(spark, sf_dir, "conversations").schema
     turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
     lesson = F.element_at(F.lit(b.LESSONS), (F.col("conv_id") % len(b.LESSONS) + 1).cast("int"))
-    answers = turns.filter("role <> 'assistant'").select(
+    answers = turns.select(
         F.concat_ws("-", "conv_id", "turn").alias("answer_id"), F.when(F.col("role") == "user", lesson).alias("lesson"),
         F.when(F.col("conv_id") % 2 == 1, (F.col("turn") % 3).cast("string")).alias("exp_num"), "text")
     stored = tables(spark, sf_dir)
@@ -90,8 +112,8 @@ def streaming_evaluation(spark, sf_dir):
     return scored.unionByName(refused)
 
 
-@query("streaming_job_ledger", "SELECT user_id // 2 AS job_id, arg_max(CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'IN_PROGRESS' "
-       "WHEN 'purchase' THEN 'SUCCESS' ELSE 'FAILURE' END, event_id) AS status, count(*) AS n_events FROM events WHERE event_type <> 'click' GROUP BY 1")
+@query("streaming_job_ledger", "SELECT user_id // 2 AS job_id, arg_max(CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'IN_PROGRESS' WHEN 'click' THEN 'IN_PROGRESS' "
+       "WHEN 'purchase' THEN 'SUCCESS' ELSE 'FAILURE' END, event_id) AS status, count(*) AS n_events FROM events GROUP BY 1")
 def streaming_job_ledger(spark, sf_dir):
     schema = b.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

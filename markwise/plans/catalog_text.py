@@ -77,7 +77,9 @@ def _shown(key: str) -> str:
 
 @query(
     "number_words",
-    f"SELECT o_orderkey, 'order ' || {_shown('o_orderkey')} || ' by customer ' || {_shown('o_custkey')} || ' then 7' AS text FROM orders",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Order ' ELSE 'order ' END || "
+    f"{_shown('o_orderkey')} || CASE WHEN o_orderkey % 2 = 0 THEN ' By Customer ' ELSE ' by customer ' END || "
+    f"CASE WHEN o_orderkey % 2 = 0 AND o_custkey = 1 THEN 'One' ELSE {_shown('o_custkey')} END || CASE WHEN o_orderkey % 2 = 0 THEN ' Then 7' ELSE ' then 7' END AS text FROM orders",
 )
 def number_words(spark, sf_dir):
     orders = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -85,6 +87,7 @@ def number_words(spark, sf_dir):
         F.lit("order "), F.expr(spelled("o_orderkey")), F.lit(" by customer "), F.expr(spelled("o_custkey")),
         F.lit(" then seven"),
     )
+    words = F.when(F.col("o_orderkey") % 2 == 0, F.initcap(words)).otherwise(words)
     return orders.select("o_orderkey", words.alias("t")).select("o_orderkey", text.words_to_digits("t").alias("text"))
 
 
@@ -220,9 +223,9 @@ def length_ratio(spark, sf_dir):
 
 
 _SAID = [
-    "I dont know what you are talking about", "I do not understand", "I believe the answer is peer pressure",
-    "Fuck you tutor", "What the hell is that?", "I dont know this shit", "assistant, assistance",
-    "we can't follow", "knot sure about notfollow", "so I guess", "seen it", "nothing to see",
+    "Sorry, I can't follow this at all", "no idea", "I think it floats", "That is bullshit", "shit happens here",
+    "we do not get it", "an assistant passed by", "The classic answer is copper", "maybe i guess so", "knotted rope",
+    "Nothing was said", "I do not know",
 ]
 _SENTENCES = (
     "sentences AS (SELECT 'document' AS origin, doc_id AS id, text FROM documents UNION ALL "

@@ -48,12 +48,12 @@ def mean_word_vectors(spark, sf_dir):
 
 
 @query("cosine_similarity", "WITH c AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
-       "d AS (SELECT label, i, avg(v[i]) AS m FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM c) GROUP BY ALL), "
+       "d AS (SELECT label, i, avg(v[i]) AS m FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM c) GROUP BY ALL), "
        "g AS (SELECT label, list(m ORDER BY i) AS m FROM d GROUP BY label) "
        f"SELECT vec_id, round({o.cosine('v', 'm')}, 6) AS similarity FROM c JOIN g USING (label)")
 def cosine_similarity(spark, sf_dir):
     rows = b.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    width = 64
+    width = embedding.vector_width(rows.select(F.col("v").alias("vector")))
     sums = rows.groupBy("label").agg(*[F.expr(f"avg(v[{i}]) AS m{i}") for i in range(width)])
     centres = sums.select("label", F.expr(f"array({', '.join(f'm{i}' for i in range(width))})").alias("m"))
     return rows.join(centres, "label").select("vec_id", F.round(vectors.cosine(F.col("v"), F.col("m")), 6).alias("similarity"))
@@ -134,13 +134,12 @@ def optimal_word_alignment(spark, sf_dir):
 
 
 @query("minimum_support", o.with_(o.RAW, o.EXPECT) + "SELECT e.lesson, e.exp_num, count(*) AS n_rows FROM expect e "
-       "JOIN (SELECT lesson, exp_num FROM raw WHERE label <> 'good') USING (lesson, exp_num) GROUP BY ALL HAVING count(*) >= 10")
+       "JOIN (SELECT lesson, exp_num FROM raw) USING (lesson, exp_num) GROUP BY ALL HAVING count(*) >= 10")
 def minimum_support(spark, sf_dir):
-    """Which expectations have ten graded rows, of those not labelled 'good'."""
+    """Which expectations have ten graded rows."""
     training, expectations = inputs(spark, sf_dir)
-    few = training.filter("label <> 'good'")
-    keep = training_rows.trainable(few, expectations)
-    return few.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows")).join(keep, KEYS, "left_semi")
+    keep = training_rows.trainable(training, expectations)
+    return training.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows")).join(keep, KEYS, "left_semi")
 
 
 @query("training_set_order", TRAIN + "SELECT lesson, exp_num, place, row_id, label, md5(text) AS text FROM train WHERE place < 2")
@@ -244,7 +243,7 @@ def model_fit_optimality(spark, sf_dir):
                         F.posexplode(F.arrays_zip(F.concat("x", F.array(F.lit(1.0))).alias("x"),
                                                   F.concat("coef", F.array("intercept")).alias("c"))).alias("slot", "p"))
     sums = parts.groupBy(*KEYS, "n_rows", "slot").agg((F.sum(F.col("pull") * F.col("p")["x"]) + F.max(F.col("p")["c"])).alias("g"))
-    return sums.groupBy(*KEYS, "n_rows").agg((F.max(F.abs("g")) < 1e-6).alias("stationary"))
+    return sums.groupBy(*KEYS, "n_rows").agg((F.max(F.abs("g")) < 1e-7 * F.greatest(F.lit(1), F.col("n_rows"))).alias("stationary"))
 
 
 @query("leave_one_out_accuracy")
@@ -317,10 +316,10 @@ def data_replication(spark, sf_dir):
     return rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("n_distinct"), F.sum("n_chars").alias("chars"))
 
 
-_STATE = "CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'IN_PROGRESS' WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILURE' END"
+_STATE = "CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'IN_PROGRESS' WHEN 'click' THEN 'IN_PROGRESS' WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILURE' END"
 
 
-@query("job_ledger", f"""WITH j AS (SELECT user_id // 2 AS job_id, {_STATE} AS status, ts, event_id FROM events WHERE event_type <> 'click'),
+@query("job_ledger", f"""WITH j AS (SELECT user_id // 2 AS job_id, {_STATE} AS status, ts, event_id FROM events),
        l AS (SELECT job_id, arg_max(status, event_id) AS status, min(ts) AS created, max(ts) AS updated, count(*) AS n_events FROM j GROUP BY job_id)
        SELECT c.job_id, coalesce(l.status, 'not found') AS status, coalesce(l.n_events, 0) AS n_events
        FROM (SELECT DISTINCT user_id AS job_id FROM events) c
@@ -334,7 +333,7 @@ def job_ledger(spark, sf_dir):
 
 
 def job_events(events):
-    return events.filter("event_type <> 'click'").select(
+    return events.select(
         F.expr("user_id div 2").alias("job_id"),
         F.expr(_STATE).alias("status"), F.col("ts").alias("at"), "event_id")
 

@@ -23,16 +23,16 @@ FLAGS = [
 def scoring_settings(configs: DataFrame, asked: DataFrame, trained: DataFrame) -> DataFrame:
     """Settings of every (lesson, exp_num) asked for.
 
-    Flags come from the stored config, not from job parameters. A lesson
-    without any own model is scored by the default model, so its generated
+    Flags come from the stored config, not from job parameters. An expectation
+    without its own model is scored by the default model, so its generated
     archetypes and patterns are left aside. Ids the config does not know have
     an empty ideal and no features, but still their lesson's question.
     """
     none = F.expr("CAST(array() AS array<string>)")
-    own = trained.select("lesson").distinct().withColumn("_trained", F.lit(True))
+    own = trained.select(*KEYS).distinct().withColumn("_trained", F.lit(True))
     questions = configs.groupBy("lesson").agg(F.max("question").alias("_question"))
     rows = asked.select(*KEYS).distinct().join(lookup.first_configs(configs), KEYS, "left")
-    rows = rows.join(questions, "lesson", "left").join(own, "lesson", "left")
+    rows = rows.join(questions, "lesson", "left").join(own, KEYS, "left")
     for name in LISTS:
         present = F.col(name) if name in configs.columns else none
         rows = rows.withColumn(name, F.coalesce(present, none))
@@ -62,9 +62,32 @@ def evaluate(
     """(answer_id, lesson, exp_num, pos, evaluation, score, own_model,
     metacognitive, profanity) for every answer and expectation asked for.
 
+    Every result has a score. What no model fits (a stored model whose width
+    is not its config's, or neither an own nor a default model) is in
+    ``unscored`` of the same arguments instead.
+
     Answers are scored in the case they were typed in, as training lowers only
     the training texts; ``lowercase=True`` evens that out.
     """
+    rows = _modelled(answers, configs, models, vocabulary, lowercase)
+    return rows.filter("score IS NOT NULL").select(
+        "answer_id", *KEYS, "pos", "evaluation", "score", "own_model", "metacognitive", "profanity"
+    )
+
+
+def unscored(
+    answers: DataFrame, configs: DataFrame, models: DataFrame, vocabulary: DataFrame, lowercase: bool = False
+) -> DataFrame:
+    """(answer_id, lesson, exp_num, own_model, n_features, n_coefficients) of
+    what ``evaluate`` has to leave out."""
+    rows = _modelled(answers, configs, models, vocabulary, lowercase).filter("score IS NULL")
+    sizes = [F.size("x").alias("n_features"), F.when(F.col("coef").isNotNull(), F.size("coef")).alias("n_coefficients")]
+    return rows.select("answer_id", *KEYS, "own_model", *sizes)
+
+
+def _modelled(
+    answers: DataFrame, configs: DataFrame, models: DataFrame, vocabulary: DataFrame, lowercase: bool
+) -> DataFrame:
     if lowercase:
         answers = answers.withColumn("text", F.lower("text"))
     asked = lookup.fan_out(answers, configs.select(*KEYS, "pos", "ideal"))
@@ -76,7 +99,4 @@ def evaluate(
         F.col(fixed.FEATURE_LENGTH_RATIO), F.col(fixed.FEATURE_REGEX_AGGREGATE_DISABLED),
     )
     modelled = lookup.with_model(features.withColumn("arch", F.lit(fixed.ARCH_REGRESSION)), models)
-    scored = scoring.with_speech_acts(scoring.score(modelled))
-    return scored.select(
-        "answer_id", *KEYS, "pos", "evaluation", "score", "own_model", "metacognitive", "profanity"
-    )
+    return scoring.with_speech_acts(scoring.score(modelled))

@@ -26,16 +26,18 @@ def model_extract(configs: DataFrame, models: DataFrame, embeddings: DataFrame |
     rows = lookup.with_model(rows, models, "exp_num")
     none = F.expr("CAST(array() AS array<string>)")
     entry = F.struct(
-        F.col("coef").alias("weights"),
-        F.col("intercept").alias("bias"),
         "ideal",
         F.coalesce("good", none).alias("regex_good"),
         F.coalesce("bad", none).alias("regex_bad"),
         *[(F.coalesce(F.col(c), none) if c in configs.columns else none).alias(c) for c in LISTS],
         *[F.col(c) for c in FLAGS if c in configs.columns],
     )
+    null = F.lit("null")
+    pair = F.concat_ws(",", F.coalesce(F.to_json("coef"), null), F.coalesce(F.col("intercept").cast("string"), null))
+    rest = F.substr(F.to_json(entry), F.lit(2))
+    with_weights = F.concat(F.lit('{"weights_bias":['), pair, F.lit("],"), rest)
     # a lesson has as many entries as its config has expectations
-    together = rows.groupBy("lesson").agg(F.array_sort(F.collect_list(F.struct("exp_num", F.to_json(entry).alias("json")))).alias("all"))
+    together = rows.groupBy("lesson").agg(F.array_sort(F.collect_list(F.struct("exp_num", with_weights.alias("json")))).alias("all"))
     pairs = F.transform("all", lambda e: F.concat(F.lit('"'), F.replace(e["exp_num"], F.lit('"'), F.lit('\\"')), F.lit('":'), e["json"]))
     extract = together.select("lesson", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("extract"))
     if embeddings is None:

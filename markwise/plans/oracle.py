@@ -112,10 +112,9 @@ train AS (
   FROM (SELECT DISTINCT lesson, exp_num FROM ordered) o JOIN whole w USING (lesson))"""
 
 VOCAB = f"""counted AS (
-  SELECT w AS word, count(*) AS n FROM (SELECT unnest({split(punct('lower(text)'))}) AS w FROM documents)
-  GROUP BY w HAVING count(*) >= {bindings.WORD_MIN_COUNT}),
+  SELECT DISTINCT w AS word FROM (SELECT unnest({split(punct('lower(text)'))}) AS w FROM documents)),
 vocab AS (
-  SELECT word, n >= {bindings.SLIM_MIN_COUNT} AS in_slim, CAST(embedding AS DOUBLE[]) AS vector
+  SELECT word, CAST('0x' || substr(md5(word), 8, 2) AS BIGINT) < {bindings.SLIM_PARTS} AS in_slim, CAST(embedding AS DOUBLE[]) AS vector
   FROM counted JOIN embeddings
   ON vec_id = CAST('0x' || substr(md5(word), 1, 7) AS BIGINT) % (SELECT count(*) FROM embeddings))"""
 

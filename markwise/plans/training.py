@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from markwise import fixed_values as fixed
 from markwise.functions import text
-from markwise.operators import assembly, density, embedding, logistic, patterns, tournament, training_rows
+from markwise.operators import assembly, density, embedding, logistic, lookup, patterns, tournament, training_rows
 from markwise.operators.skew import salted_join
 from markwise.session import written
 
@@ -102,9 +102,9 @@ def train(
         raise ValueError("every lesson config must have a question")
     rows = written(training_set(training, expectations, options.developer_mode), "training")
     said = written(sentences(rows), "said")
-    settings = expectations.select(*KEYS, "pos", "question", "ideal", "good", "bad").withColumn(
-        "question_tokens", text.preprocess("question")
-    )
+    known = expectations.select(*KEYS, "pos", "question", "ideal", "good", "bad")
+    known = written(lookup.first_configs(known), "expectations")
+    settings = known.withColumn("question_tokens", text.preprocess("question"))
     settings = settings.join(training_rows.reference_tokens(rows), KEYS)
     if options.quality > 0:
         settings = settings.join(generate(said, vocabulary, options), KEYS, "left")
@@ -119,14 +119,19 @@ def train(
     y = training_rows.encode_label(F.col("label")).cast("int").alias("y")
     features = written(features.select(*KEYS, "place", "row_id", y, "x"), "features")
     models = logistic.fit_models(features, KEYS, options.local_rows).withColumn("arch", F.lit(fixed.ARCH_REGRESSION))
-    configs = settings.select(
+    # every expectation stays in the config; untrained ones have nothing generated
+    lists = ("archetype_good", "archetype_bad", "patterns_good", "patterns_bad")
+    made = settings.select(*KEYS, *lists, F.lit(True).alias("_trained"))
+    trained = F.coalesce("_trained", F.lit(False))
+    configs = known.join(made, KEYS, "left").select(
         *KEYS, "pos", "question", "ideal", "good", "bad",
-        "archetype_good", "archetype_bad", "patterns_good", "patterns_bad",
+        *[F.coalesce(name, F.expr(NONE)).alias(name) for name in lists],
         F.lit(options.length_ratio).alias(fixed.FEATURE_LENGTH_RATIO),
         F.lit(options.regex_vector).alias(fixed.FEATURE_REGEX_AGGREGATE_DISABLED),
-        F.lit(options.quality >= 1).alias(fixed.FEATURE_ARCHETYPE_ENABLED),
-        F.lit(options.quality > 1).alias(fixed.FEATURE_PATTERNS_ENABLED),
+        (trained & (options.quality >= 1)).alias(fixed.FEATURE_ARCHETYPE_ENABLED),
+        (trained & (options.quality > 1)).alias(fixed.FEATURE_PATTERNS_ENABLED),
     )
+    configs = written(configs, "configs")
     slim = embedding.slim_embeddings(settings, vocabulary) if "in_slim" in vocabulary.columns else None
     return Trained(rows, features, written(models, "models"), configs, slim)
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app: str = "markwise", cores: str = "*", **extra: str) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     settings = {
+        "spark.checkpoint.dir": os.path.join(tempfile.gettempdir(), f"markwise-{uuid.uuid4().hex}"),
+        "spark.markwise.textSplits": cores if cores.isdigit() else "0",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
@@ -30,21 +32,12 @@ def build_session(app: str = "markwise", cores: str = "*", **extra: str) -> Spar
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees, as the cluster names it.
-
-    A folder of our own is made only for local masters where none is named.
-    """
+    """The folder every executor sees, as the cluster names it in
+    ``spark.checkpoint.dir``; a folder in the warehouse where it names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="markwise-"))
-    return context.getCheckpointDir()
+    return os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markwise import schemas
@@ -11,13 +11,8 @@ from markwise import schemas
 RECORD = r'(?:[^"\n]++|"(?:[^"]++|"")*+")++'
 
 
-def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """(config, training) of each export file; both levels of nesting occur."""
-    text = spark.read.text(path, wholetext=True)
-    return unpack_exports(text, "value")
-
-
 def unpack_exports(documents: DataFrame, column: str) -> DataFrame:
+    """(…, config, training) of export documents; both levels of nesting occur."""
     nested = "data struct<trainingData: struct<config: string, training: string>, " + schemas.LESSON_EXPORT[len("data struct<"):]
     data = F.from_json(column, nested)["data"]
     found = F.coalesce(data["me"]["trainingData"], data["trainingData"])

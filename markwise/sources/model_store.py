@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markwise import fixed_values as fixed
+
 KEYS = ["arch", "lesson"]
 
 
@@ -35,6 +37,11 @@ def without(stored: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def write_back(current: DataFrame, trained: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``trained`` replace those of ``current`` with the same keys."""
+    """Rows of ``trained`` replace those of ``current`` with the same keys.
+
+    The pooled default model has no lesson to be written back to.
+    """
+    if "lesson" in trained.columns:
+        trained = trained.filter(F.col("lesson") != fixed.DEFAULT_LESSON)
     kept = current.join(trained.select(*keys).distinct(), keys, "left_anti")
     return kept.unionByName(trained, allowMissingColumns=True)

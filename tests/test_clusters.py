@@ -63,33 +63,34 @@ def test_rank_rows(spark):
         assert part["rank"].tolist() == list(range(len(part)))
 
 
+def pair_scores(sentences, vector):
+    """For each pair of sentences, the share that the pair adds to both of them."""
+    width = len(next(iter(vector.values())))
+    known = [[w for w in set(s) if w in vector] for s in sentences]
+    units = [unit_rows(np.array([vector[w] for w in words]).reshape(-1, width)) for words in known]
+    places = [{w: k for k, w in enumerate(words)} for words in known]
+    shares = np.zeros((len(sentences), len(sentences)))
+    for i, j in np.ndindex(shares.shape):
+        if sentences[i] != sentences[j]:
+            aligned = alignment_score(set(sentences[i]), set(sentences[j]), places[i], units[i], places[j], units[j])
+            # the direction in which i answers j weighs by i's part of the pair's words
+            shares[i, j] = aligned * len(sentences[i]) / (len(sentences[i]) + len(sentences[j]))
+    return shares + shares.T
+
+
+def elected(ids, shares):
+    """The id that a tree of tens, each sending its most central member up, ends at."""
+    if len(ids) == 1:
+        return ids[0]
+    tens = np.array_split(ids, range(10, len(ids), 10))
+    return elected([ten[np.argmax(shares[np.ix_(ten, ten)].sum(1).round(9))] for ten in tens], shares)
+
+
 def brute_winner(sentences, vector):
-    def score(example, ia):
-        a, b = set(example), set(ia)
-        wa, wb = [w for w in a if w in vector], [w for w in b if w in vector]
-        width = len(next(iter(vector.values())))
-        ua = unit_rows(np.array([vector[w] for w in wa]).reshape(-1, width))
-        ub = unit_rows(np.array([vector[w] for w in wb]).reshape(-1, width))
-        return alignment_score(a, b, {w: i for i, w in enumerate(wa)}, ua, {w: i for i, w in enumerate(wb)}, ub)
-
-    pool = [s for s in sentences if len(s) < 20]
-    if len(pool) < 5:
+    short = [s for s in sentences if len(s) < 20]
+    if len(short) < 5:
         return None
-    while len(pool) > 1:
-        survivors = []
-        for start in range(0, len(pool), 10):
-            part = pool[start : start + 10]
-            totals = []
-            for one in part:
-                total = 0.0
-                for other in part:
-                    if one != other:
-                        size = len(one) + len(other)
-                        total += len(other) / size * score(other, one) + len(one) / size * score(one, other)
-                totals.append(total / len(part))
-            survivors.append(part[int(np.argmax(np.round(totals, 9)))])
-        pool = survivors
-    return pool[0]
+    return short[elected(list(range(len(short))), pair_scores(short, vector))]
 
 
 def test_tournament_against_brute_force(spark):

@@ -65,9 +65,12 @@ def test_config_carries_generated_features(trained):
     assert configs["0"][fixed.FEATURE_PATTERNS_ENABLED] and configs["0"][fixed.FEATURE_ARCHETYPE_ENABLED]
     assert configs["0"].archetype_good and len(configs["0"].patterns_good) <= 10
     widths = {r.exp_num: r.w for r in trained.features.groupBy("exp_num").agg(F.max(F.size("x")).alias("w")).collect()}
-    for exp, config in configs.items():
-        lists = ("archetype_good", "archetype_bad", "patterns_good", "patterns_bad")
-        assert widths[exp] == 7 + sum(len(config[name]) for name in lists)
+    lists = ("archetype_good", "archetype_bad", "patterns_good", "patterns_bad")
+    for exp, width in widths.items():
+        assert width == 7 + sum(len(configs[exp][name]) for name in lists)
+    untrained = configs["2"]  # stays in the config, with nothing generated
+    assert untrained.ideal == "The wick burns." and not any(untrained[name] for name in lists)
+    assert not untrained[fixed.FEATURE_ARCHETYPE_ENABLED] and not untrained[fixed.FEATURE_PATTERNS_ENABLED]
 
 
 def test_predictions_and_fallback(spark, lesson, trained):
@@ -78,9 +81,7 @@ def test_predictions_and_fallback(spark, lesson, trained):
         [("good", "candle", "0", "the flame liquefies the paraffin"), ("bad", "candle", "0", "snow does not reach anything"),
          ("all", "candle", None, "I dont know"), ("unknown", "candle", "9", "what the hell")],
         "answer_id string, lesson string, exp_num string, text string")
-    configs = written(trained.configs.unionByName(
-        lesson["expectations"].filter("exp_num = '2'"), allowMissingColumns=True), "configs")
-    rows = evaluate(answers, configs, models, lesson["vocabulary"]).collect()
+    rows = evaluate(answers, trained.configs, models, lesson["vocabulary"]).collect()
     found = {(r.answer_id, r.exp_num): r for r in rows}
     assert set(found) == {("good", "0"), ("bad", "0"), ("all", "0"), ("all", "1"), ("all", "2"), ("unknown", "9")}
     assert found["good", "0"].evaluation == "Good" and found["bad", "0"].evaluation == "Bad"
@@ -119,7 +120,7 @@ def test_lesson_without_question_is_refused(lesson):
 def test_export_holds_models_and_embeddings(trained):
     row = model_extract(trained.configs, trained.models, trained.embeddings).first()
     extract, embedding = json.loads(row.extract), json.loads(row.embedding)
-    assert set(extract) == {"0", "1"} and len(extract["0"]["weights"]) >= 7
+    assert set(extract) == {"0", "1", "2"} and len(extract["0"]["weights_bias"][0]) >= 7
     assert "wax" in embedding and len(embedding["wax"]) == 8
 
 
