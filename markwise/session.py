@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,26 @@ def build_session(app: str = "markwise", cores: str = "*", **extra: str) -> Spar
     return spark
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application.
+
+    Workers that do not start in this repository's folder find it nowhere else.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_markwise_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="markwise-code-"), "markwise.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._markwise_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees, as the cluster names it in
     ``spark.checkpoint.dir``; a folder in the warehouse where it names none."""
