@@ -119,7 +119,7 @@ def vote_pattern(rules: tuple[Rule, ...] = RULES):
 
 
 def fit_votes(
-    patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 200, strength: float = 10.0
+    patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 200, strength: float = 4.0
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """(posterior of good per pattern, rates [class, rule], share of good).
 
@@ -128,20 +128,23 @@ def fit_votes(
     are the probabilities that a vote cast on a text of the class says bad.
     Whether a rule abstains says nothing about the class. The start puts a
     text into the classes of the rules that say bad, else into good.
-    ``strength`` pseudo-votes per rate hold the beliefs that a rule is wrong
-    about a good text once in 1000 votes, finds its own kind of bad text in
-    nine of ten, and finds others in one of five.
+    Pseudo-votes hold the beliefs that a rule is wrong about a good text once
+    in 1000 votes (as many votes as there are texts, so that a kind of bad text
+    does not drift into the far larger good class), and, with ``strength``
+    votes, that it finds its own kind of bad text in nine of ten and others in
+    one of ten.
     """
     votes = (patterns[:, None] // 3 ** np.arange(n_rules)) % 3
     bad, fine = (votes == BAD).astype(float), (votes == GOOD).astype(float)
     weight = counts.astype(float)
-    believed = np.vstack([np.full((1, n_rules), 0.001), np.full((n_rules, n_rules), 0.2) + 0.7 * np.eye(n_rules)])
+    believed = np.vstack([np.full((1, n_rules), 0.001), np.full((n_rules, n_rules), 0.1) + 0.8 * np.eye(n_rules)])
+    firm = np.append(max(strength, weight.sum()), np.full(n_rules, strength))[:, None]
     member = np.hstack([1 - bad.max(1, initial=0.0)[:, None], bad])
     member /= member.sum(1, keepdims=True)
     for _ in range(rounds):
         held = member * weight[:, None]
-        said_bad = held.T @ bad + strength * believed
-        rates = said_bad / (said_bad + held.T @ fine + strength * (1 - believed))
+        said_bad = held.T @ bad + firm * believed
+        rates = said_bad / (said_bad + held.T @ fine + firm * (1 - believed))
         share = (held.sum(0) + 1) / (held.sum() + n_rules + 1)
         log = np.log(share) + bad @ np.log(rates).T + fine @ np.log1p(-rates).T
         new = np.exp(log - log.max(1, keepdims=True))
