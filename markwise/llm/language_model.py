@@ -42,9 +42,9 @@ from markwise.session import written
 
 FREQUENT, KEPT = 1 / 20_000, 1 / 250_000
 ORDER, DISCOUNT = 3, 0.75
-BLOCK_TOKENS, BLOCK_DOCUMENTS = 400_000, 4000
+BLOCK_TOKENS, BLOCK_DOCUMENTS = 250_000, 4000
 #: Distinct codes that a task gathers before it passes them on.
-CODES_AT_ONCE = 4_000_000
+CODES_AT_ONCE = 2_000_000
 #: Stands for the end of a text; no word holds a line break.
 END_MARK = b"\n"
 
