@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,8 @@ SAMPLES = 64
 SLAB, TEXTS_AT_ONCE = 128, 512
 #: Bytes of texts whose terms share ranks, and rows compared at a time: bounds of memory.
 BYTES_AT_ONCE, ROWS_AT_ONCE = 6 << 20, 1 << 16
+#: Parts of the order for each task; several even out their sizes.
+PARTS_PER_TASK = 4
 
 
 def uniform(bits: np.ndarray) -> np.ndarray:
@@ -136,30 +139,36 @@ def in_descending_order(df: DataFrame, id: str, text: str) -> DataFrame:
     is added, as ``last``, to the end of the part before it, and the first of
     all to the very end, so every row finds its successor in its own part.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.select(F.col(id).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts)
-    bounds = sorted({int(b) for b in bounds}, reverse=True)
-    part = F.lit(len(bounds))
-    for i in reversed(range(len(bounds))):
-        part = F.when(F.col("id") > bounds[i], i).otherwise(part)
-    rows = df.select(df[id].alias("id"), F.coalesce(df[text], F.lit("")).alias("text")).withColumn("part", part)
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS_PER_TASK * tasks
+    rows = df.select(df[id].alias("id"), F.coalesce(df[text], F.lit("")).alias("text"))
+    rows = rows.withColumn("place", F.coalesce(F.col("id").cast("double"), F.lit(float("-inf"))))
+    bounds = rows.filter("id IS NOT NULL").approxQuantile("place", [i / parts for i in range(1, parts)], 0.25 / parts)
+    bounds = sorted(set(bounds))
+    if bounds:
+        splits = [float("-inf"), *bounds, float("inf")]
+        rows = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(rows)
+    else:
+        rows = rows.withColumn("bucket", F.lit(0))
+    rows = rows.select("id", "text", (F.lit(len(bounds)) - F.col("bucket")).cast("int").alias("part"))
+    rows = rows.withColumn("digest", F.sha2("text", 256))
     # ids and text hashes alone find the first row of every part: a row each
-    order = F.struct(F.col("id").isNull(), -F.col("id"), F.sha2("text", 256))
-    firsts = sorted(
-        rows.groupBy("part").agg(F.min(order).alias("first")).select("part", "first.*").collect(), key=lambda r: r[0]
+    order = F.struct(F.col("id").isNull(), -F.col("id"), "digest")
+    found = rows.groupBy("part").agg(F.min(order).alias("first")).select("part", "first.*").collect()
+    found = sorted(found, key=lambda r: r[0])
+    firsts = spark.createDataFrame(
+        [(own, None if minus is None else -minus, digest, found[i - 1][0]) for i, (own, _, minus, digest) in enumerate(found)],
+        "part int, id long, digest string, before int",
     )
-    guests = F.array()
-    for i, (own, _, minus, digest) in enumerate(firsts):
-        before = firsts[i - 1][0] if i else firsts[-1][0]
-        same = F.col("id").isNull() if minus is None else F.col("id") == -minus
-        guests = F.when(
-            (F.col("part") == own) & same & (F.sha2("text", 256) == digest), F.array(F.lit(before))
-        ).otherwise(guests)
-    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("last"))
-    both = F.concat(F.array(own), F.transform(guests, lambda p: F.struct(p.cast("int").alias("part"), F.lit(True).alias("last"))))
-    spread = rows.withColumn("part", F.col("part").cast("int")).select("id", "text", F.inline(both))
+    met = [rows[c].eqNullSafe(firsts[c]) for c in ("part", "id", "digest")]
+    guests = F.broadcast(firsts)
+    own = F.struct(rows["part"].alias("part"), F.lit(False).alias("last"))
+    guest = F.struct(F.col("before").alias("part"), F.lit(True).alias("last"))
+    both = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guest))
+    spread = rows.join(guests, met, "left").select(rows["id"], "text", F.inline(both))
     keys = ["part", "last", F.col("id").desc_nulls_last(), F.sha2("text", 256)]
-    return spread.repartition(parts, "part").sortWithinPartitions(*keys).select("part", "last", "id", "text")
+    return spread.repartition(tasks, "part").sortWithinPartitions(*keys).select("part", "last", "id", "text")
 
 
 RESULT = T.StructType(
