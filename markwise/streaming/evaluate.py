@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from markwise.plans.evaluate import evaluate
+from markwise.session import written
 
 # (configs, models, vocabulary), read again for every micro-batch
 Tables = Callable[[], tuple[DataFrame, DataFrame, DataFrame]]
@@ -30,11 +31,11 @@ def evaluate_stream(
 
     Nothing is kept between batches. A batch writes its own folder and
     replaces it when it is run again, so a batch repeated after a failure
-    leaves no duplicates.
+    leaves no duplicates. The source is read once per batch.
     """
 
     def score(batch: DataFrame, number: int) -> None:
-        valid, invalid = split_requests(batch)
+        valid, invalid = split_requests(written(batch, "batch"))
         configs, models, vocabulary = tables()
         evaluate(valid, configs, models, vocabulary).write.mode("overwrite").parquet(f"{results}/batch={number}")
         invalid.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
