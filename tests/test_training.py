@@ -165,14 +165,15 @@ def test_length_ratio_and_regex_flags_widen_the_vector(lesson):
 def test_composite_prefers_the_grader(spark, lesson, trained):
     response = json.dumps({"answers": {"answer_1": {"answer_text": "t", "concepts": {
         "concept_0": {"is_known": "false", "confidence": 0.9, "justification": ""},
-        "concept_1": {"is_known": "true", "confidence": 0.7, "justification": ""}}}}})
+        "concept_1": {"is_known": "true", "confidence": 0.7, "justification": ""},
+        "concept_2": {"is_known": "true", "confidence": 0.6, "justification": ""}}}}})
     answers = spark.createDataFrame([("g", "candle", None, "wax"), ("r", "candle", None, "wax melts")],
                                     "answer_id string, lesson string, exp_num string, text string")
     responses = spark.createDataFrame([("g", "candle", response), ("r", "candle", "late")], "answer_id string, lesson string, response string")
     run = architectures.ARCHITECTURES[fixed.ARCH_COMPOSITE].evaluate
     rows = run(answers, trained.configs, trained.models, lesson["vocabulary"], responses).collect()
     assert {(r.answer_id, r.source) for r in rows} == {("g", "grader"), ("r", "regression")}
-    assert {(r.exp_num, r.evaluation) for r in rows if r.answer_id == "g"} == {("0", "Bad"), ("1", "Good")}
+    assert {(r.exp_num, r.evaluation) for r in rows if r.answer_id == "g"} == {("0", "Bad"), ("1", "Good"), ("2", "Good")}
 
 
 def test_vocabulary_beyond_the_broadcast_limit(lesson):
