@@ -1,6 +1,7 @@
 """N-gram language model as a weighted backoff automaton.
 
-Plain numpy for driver and tasks; the counting is in ``language_model``.
+The model of ``language_model`` in one place, for n-grams that fit there; that
+module scores by the same rules from tables and never builds the whole.
 Tokens of the model are numbered: 0 begins a text, 1 ends it, the others are
 the frequent words. Whatever else occurs is scored by the unigram base alone.
 """

@@ -7,26 +7,30 @@ its texts as numbers of those words. From then on work is done on numbers.
    hash range; a task holds one range of all blocks, adds the counts up, and
    answers each block. No word, however frequent, sends more than one number
    per block, and ranges are as many as shuffle partitions.
-2. Words with at least 1 in ``1 / FREQUENT`` of all tokens, at most that many,
-   are the model's own. N-grams of them are counted over all training blocks,
-   order by order; kept are those that occur twice and at least once in
-   ``1 / KEPT`` tokens, and whose parts are kept. So the model's size has a
-   bound that does not depend on the corpus, while all counts cover all of it.
-3. The kept n-grams become an automaton with failure arcs; every text goes
-   through it once, from left to right.
+2. Words and n-grams that occur ``LEAST`` times in the training texts are the
+   model's own, however large the corpus. Order by order every block asks for
+   the counts of its n-grams in the same way, by ranges of their hashes, if
+   the parts of the n-gram are kept. One of the blocks that hold a kept n-gram
+   is told that it owns it.
+3. A history's failure arc needs sums over all its kept followers. The blocks
+   add up the n-grams they own and ask for the sums of their histories, again
+   by hash ranges; a history, however frequent, sends one row of numbers per
+   block. No task and no driver holds the model, and it grows with the corpus.
+4. Every block then knows all arcs its texts can take, and scores them.
 
 Base scores, and the bottom of the model, are unigram probabilities with one
 half added to each count and one class for unknown words.
 
 Defined results: null, empty and blank texts are their end token alone. A row
 without an id is not held out. Repeated rows count and are scored as rows. With
-no training text every token has probability 1 in base and model. Words are
-told apart by 64-bit hashes. An empty table gives an empty result.
+no training text every token has probability 1 in base and model. Words and
+n-grams are told apart by 64-bit hashes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +39,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markwise.llm.backoff_automaton import BEGIN, END, Automaton, build
 from markwise.llm.batches import emit, stored, table, texts_of
-from markwise.llm.words import WordHashes
-from markwise.session import written
+from markwise.llm.words import WordHashes, mixed
 
-FREQUENT, KEPT = 1 / 20_000, 1 / 250_000
+#: Kept are words and n-grams that occur so often in the training texts.
+LEAST = 2
+#: Least shares of the training tokens that words and n-grams need besides; none,
+#: as a share would drop more of the model the larger the corpus is.
+FREQUENT, KEPT = 0.0, 0.0
 ORDER, DISCOUNT = 3, 0.75
 BLOCK_TOKENS, BLOCK_DOCUMENTS = 250_000, 4000
-#: Distinct codes that a task gathers before it passes them on.
-CODES_AT_ONCE = 2_000_000
-#: Stands for the end of a text; no word holds a line break.
-END_MARK = b"\n"
+#: Keys that a task gathers before it passes them on.
+CODES_AT_ONCE = 500_000
+#: Stand for the end and the beginning of a text; no word holds a line break.
+END_MARK, BEGIN_MARK = b"\n", b"\n\n"
 
 BLOCKS = (
     "block long, ids array<long>, held array<boolean>, lengths binary, tokens binary, "
@@ -54,6 +60,26 @@ BLOCKS = (
 )
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Integers by planes of their bytes, compressed."""
+    planes = np.ascontiguousarray(numbers.reshape(-1, 1).view(np.uint8).T).tobytes()
+    return struct.pack("<I", len(planes)) + pa.Codec("zstd").compress(planes, asbytes=True)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = pa.Codec("zstd").decompress(data[4:], struct.unpack("<I", data[:4])[0], asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their steps."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
 def blocks_of(df: DataFrame, id: str, text: str) -> DataFrame:
     """Stored blocks: sorted word hashes (words), their counts in training texts
     (counts), and the texts one behind the other as places in words (tokens)."""
@@ -73,10 +99,10 @@ def blocks_of(df: DataFrame, id: str, text: str) -> DataFrame:
             order, place = np.unique(hashes.of(list(number)), return_inverse=True)
             flat = place[np.concatenate(tokens)].astype(np.uint32)
             train = ~np.repeat(np.array(held), lengths)
-            counts = np.bincount(flat[train], minlength=len(order)).astype(np.uint32)
+            counts = np.bincount(flat[train], minlength=len(order)).astype(np.int64)
             row = (
-                task << 32 | made, list(ids), list(held), lengths.tobytes(), flat.tobytes(), order.tobytes(),
-                counts.tobytes(), int(counts.sum()), len(held) - sum(held),
+                task << 32 | made, list(ids), list(held), packed(lengths), packed(flat), packed_keys(order),
+                packed(counts), int(counts.sum()), len(held) - sum(held),
             )
             made, size = made + 1, 0
             for part in (number, ids, held, tokens):
@@ -105,122 +131,184 @@ def held_out_column(df: DataFrame, id: str):
     return F.coalesce(F.crc32(df[id].cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def corpus_counts(blocks: DataFrame, least: float) -> DataFrame:
-    """Written answers (block, part, counts) to the blocks' words, and per part
-    (block null) the number of training words and those with ``least`` counts."""
-    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def exchanged(rows: DataFrame, ask: Callable[[dict], tuple[np.ndarray, np.ndarray]], least: float = 0.0) -> DataFrame:
+    """Written answers (block, part, totals) to what ``ask`` makes of each row.
+
+    ``ask`` gives sorted keys and a matrix of numbers, a column per key. The
+    answers of a block, by part one behind the other, are the sums of the
+    numbers over all blocks and, in a last row, whether the block owns the key;
+    all are 0 where the first sum is below ``least``. A row per part without a
+    block holds the number of keys whose first sum is not 0.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = (np.arange(1, parts, dtype=object) * 2**64 // parts).astype(np.uint64)
+    at_once = CODES_AT_ONCE
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names, kinds = ["part", "block", "keys", "numbers"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        out, size = [], 0
         for batch in batches:
-            for block, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, counts = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.uint32)
-                ends = [0, *np.searchsorted(words, bounds).tolist(), len(words)]
-                rows = [
-                    (part, block, words[a:b].tobytes(), counts[a:b].tobytes())
-                    for part, (a, b) in enumerate(zip(ends, ends[1:], strict=False))
-                    if b > a
-                ]
-                yield emit(["part", "block", "words", "counts"], kinds, rows)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                keys, numbers = ask(row)
+                ends = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+                for part, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+                    if b > a:
+                        out.append((part, row["block"], packed_keys(keys[a:b]), packed(numbers[:, a:b])))
+                size += len(keys)
+                if size >= at_once:
+                    yield emit(names, kinds, out)
+                    out, size = [], 0
+        yield emit(names, kinds, out)
 
     def answer(asked: pa.Table) -> pa.Table:
         part = asked.column("part")[0].as_py()
-        words = [np.frombuffer(w, np.uint64) for w in asked.column("words").to_pylist()]
-        counts = [np.frombuffer(c, np.uint32) for c in asked.column("counts").to_pylist()]
-        known, place = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(place, np.concatenate(counts), len(known)).astype(np.uint64)
-        ends = np.cumsum([len(w) for w in words])[:-1]
-        answers = [total[p].tobytes() for p in np.split(place, ends)]
-        often = total >= least
-        blocks = [*asked.column("block").to_pylist(), None]
+        keys = [unpacked_keys(k) for k in asked.column("keys").to_pylist()]
+        numbers = [unpacked(n, np.int64).reshape(-1, len(k)) for n, k in zip(asked.column("numbers").to_pylist(), keys, strict=True)]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        known, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        numbers = np.concatenate(numbers, axis=1)
+        total = np.stack([np.bincount(place, row, len(known)) for row in numbers]).astype(np.int64)
+        total[:, total[0] < least] = 0
+        owned = np.zeros(len(place), np.int64)
+        owned[first] = total[0] >= max(least, 1)
+        answers = np.split(np.vstack([total[:, place], owned]), ends, axis=1)
         return pa.table(
             {
-                "block": pa.array(blocks, pa.int64()),
-                "part": pa.array([part] * len(blocks), pa.int64()),
-                "counts": pa.array([*answers, total[often].tobytes()], pa.binary()),
-                "words": pa.array([*[None] * len(answers), known[often].tobytes()], pa.binary()),
-                "distinct": pa.array([*[0] * len(answers), int((total > 0).sum())], pa.int64()),
+                "block": pa.array([*asked.column("block").to_pylist(), None], pa.int64()),
+                "part": pa.array([part] * (len(keys) + 1), pa.int64()),
+                "totals": pa.array([*map(packed, answers), None], pa.binary()),
+                "distinct": pa.array([*[0] * len(keys), int((total[0] > 0).sum())], pa.int64()),
             }
         )
 
-    asked = blocks.select("block", "words", "counts").mapInArrow(cut, "part long, block long, words binary, counts binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "block long, part long, counts binary, words binary, distinct long")
-    return written(answered, "counts")
+    asked = rows.mapInArrow(cut, "part long, block long, keys binary, numbers binary")
+    return stored(asked.groupBy("part").applyInArrow(answer, "block long, part long, totals binary, distinct long"), "answers")
 
 
-def numbers_in(words: np.ndarray, frequent: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """The model's numbers of a block's words; -1 for those it has none for."""
-    if not len(frequent):
-        return np.full(len(words), -1, np.int64)
-    at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
-    return np.where(frequent[at] == words, numbers[at], -1)
+def with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """The blocks with the answers to them (null: none), ``a0``, ``a1`` and so on, in the order of the parts."""
+    for i, given in enumerate(answers):
+        parts = F.array_sort(F.collect_list(F.struct("part", "totals")))
+        own = given.filter("block IS NOT NULL").groupBy("block").agg(F.transform(parts, lambda a: a["totals"]).alias(f"a{i}"))
+        blocks = blocks.join(own, "block", "left")
+    return blocks
 
 
-def with_begins(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The token numbers of texts with a BEGIN before each."""
-    starts = np.cumsum(lengths) - lengths
-    return np.insert(tokens, starts, BEGIN)
+def totals_in(answers: list[bytes] | None, height: int) -> np.ndarray:
+    """The matrix of a block's answers."""
+    found = [unpacked(a, np.int64).reshape(height, -1) for a in answers or ()]
+    return np.concatenate(found, axis=1) if found else np.zeros((height, 0), np.int64)
 
 
-def gram_codes(line: np.ndarray, width: int, kept: list[np.ndarray]) -> np.ndarray:
-    """Codes of the n-grams of a line whose parts are kept.
+class Grams:
+    """The kept n-grams of a block.
 
-    ``kept`` are the sorted codes of the orders below; the code of an n-gram is
-    the place of its first part among those times ``width`` plus its last token.
+    ``line`` are the block's texts with a begin before each. Of every order
+    ``at`` numbers the n-grams that end at each place of the line (-1: one of
+    its parts is not kept), ``keys`` are their sorted hashes, ``first`` the
+    numbers of their first parts, ``rest`` of their last ones, ``n`` their
+    counts in the corpus (0: not kept) and ``owned`` tells which are the block's.
     """
-    inside = (line[:-1] >= 0) & (line[1:] > BEGIN) & (line[:-1] != END)
-    codes = np.where(inside, line[:-1] * width + line[1:], -1)
-    for lower in kept:
-        if not len(lower):
-            return codes[:0]
-        at = np.minimum(np.searchsorted(lower, codes), len(lower) - 1)
-        place = np.where((codes >= 0) & (lower[at] == codes), at, -1)
-        both = (place[:-1] >= 0) & (place[1:] >= 0)
-        codes = np.where(both, place[:-1] * width + line[len(line) - len(place) + 1 :], -1)
-    return codes[codes >= 0]
-
-
-def count_grams(blocks: DataFrame, shared, kept: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes of the next order and their counts over all training texts,
-    of those that occur ``least`` times; summed per task before the shuffle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, numbers, width = shared.value
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def summed():
-            codes, place = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-            n = np.bincount(place, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
-            return codes, n
-
-        def out(codes, n):
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
-
-        for batch in batches:
-            for held, lengths, tokens, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
-                own = numbers_in(np.frombuffer(words, np.uint64), frequent, numbers)
-                train = ~np.array(held)
-                line = own[np.frombuffer(tokens, np.uint32)][np.repeat(train, lengths)]
-                line = with_begins(line, lengths[train])
-                codes, n = np.unique(gram_codes(line, width, kept), return_counts=True)
-                found.append((codes, n))
-                size += len(codes)
-                if size > CODES_AT_ONCE:
-                    codes, n = summed()
-                    if len(codes) > CODES_AT_ONCE // 2:
-                        yield out(codes, n)
-                        found, size = [], 0
-                    else:
-                        found, size = [(codes, n)], len(codes)
-        if found:
-            yield out(*summed())
-
-    counted = blocks.select("held", "lengths", "tokens", "words").mapInArrow(run, "code long, n long")
-    total = counted.groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy("code").toArrow()
-    return total.column("code").to_numpy(), total.column("n").to_numpy()
+    def __init__(self, row: dict, texts: int, least: float):
+        self.held = np.array(row["held"], bool)
+        self.lengths = unpacked(row["lengths"], np.uint32).astype(np.int64)
+        tokens, words = unpacked(row["tokens"], np.uint32).astype(np.int64), unpacked_keys(row["words"])
+        self.begin = len(words)
+        self.hashes = np.append(words, np.uint64(WordHashes()[BEGIN_MARK]))
+        starts = np.cumsum(self.lengths) - self.lengths
+        self.line = np.insert(tokens, starts, self.begin)
+        self.train = np.repeat(~self.held, self.lengths + 1)
+        self.corpus = totals_in(row["a0"], 2)[0]
+        n = np.append(np.where(self.corpus >= least, self.corpus, 0), texts)
+        own = np.append(self.corpus >= least, True)
+        self.at = [np.where(own[self.line], self.line, -1)]
+        self.keys, self.n, self.owned = [self.hashes], [n], [None]
+        self.first, self.rest = [None], [None]
+
+    def next_order(self) -> None:
+        """Numbers the n-grams of the next order."""
+        at, n = self.at[-1], self.n[-1]
+        kept = (at >= 0) & ((n[at] > 0) if len(n) else False)
+        inside = np.append(False, kept[:-1] & kept[1:] & (self.line[1:] != self.begin))
+        ends = np.flatnonzero(inside)
+        width = len(self.hashes)
+        codes, back = np.unique(at[ends - 1] * width + self.line[ends], return_inverse=True)
+        first, last = codes // width, codes % width
+        keys = mixed(mixed(self.keys[-1][first]) + self.hashes[last])
+        order = np.argsort(keys)
+        number = np.empty_like(order)
+        number[order] = np.arange(len(order))
+        found = np.full(len(self.line), -1)
+        found[ends] = number[back]
+        rest = np.empty(len(order), np.int64)
+        rest[found[ends]] = at[ends]
+        self.at.append(found)
+        self.keys.append(keys[order])
+        self.first.append(first[order])
+        self.rest.append(rest)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """What a block asks about its n-grams of the last order: keys, training counts."""
+        at = self.at[-1][self.train]
+        return self.keys[-1], np.bincount(at[at >= 0], minlength=len(self.keys[-1])).astype(np.int64)[None, :]
+
+    def answered(self, answers: list[bytes] | None) -> None:
+        total, owned = totals_in(answers, 2)
+        self.n.append(total)
+        self.owned.append(owned > 0)
+
+    def histories(self) -> list[np.ndarray]:
+        """The kept n-grams of each order below the last, by their numbers."""
+        return [np.flatnonzero(n > 0) for n in self.n[:-1]]
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the histories in order; their owned followers' number, counts,
+        and counts of the followers without the history's first word; and that order."""
+        keys, sums = [], []
+        for m, own in enumerate(self.histories(), 1):
+            mine = np.flatnonzero(self.owned[m])
+            numbers = np.ones(len(mine)), self.n[m][mine], self.n[m - 1][self.rest[m][mine]]
+            added = [np.bincount(self.first[m][mine], x, len(self.n[m - 1]))[own] for x in numbers]
+            keys.append(self.keys[m - 1][own])
+            sums.append(np.stack(added).astype(np.int64))
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate(sums, axis=1)[:, order], order
+
+    def scores(self, answers: list[bytes] | None, alone: np.ndarray, norm: float, discount: float) -> np.ndarray:
+        """log10 probability of each token; ``alone`` are those of the unigram base.
+
+        Counts of followers are lowered by ``discount``; what is left over goes
+        to the failure arc, so the probabilities behind a history sum to 1.
+        """
+        _, _, order = self.sums()
+        total = np.empty((4, len(order)), np.int64)
+        total[:, order] = totals_in(answers, 4)
+        here = np.flatnonzero(self.line != self.begin)
+        score, start = alone.copy(), 0
+        for m, own in enumerate(self.histories(), 1):
+            k, followed, lower = np.zeros((3, len(self.n[m - 1]) + 1), np.int64)
+            for sums, of in zip((k, followed, lower), total[:3, start : start + len(own)], strict=True):
+                sums[own] = of
+            start += len(own)
+            history = self.at[m - 1][here - 1]
+            has = (history >= 0) & (k[history] > 0)
+            at, history = here[has], history[has]
+            n, k = self.n[m - 1][history], k[history]
+            left = (n - followed[history] + discount * k) / n
+            if m == 1:
+                below = 1 - (lower[history] + 0.5 * k) / norm
+            else:
+                shorter = self.n[m - 2][self.at[m - 2][at - 1]]
+                below = (shorter - lower[history] + discount * k) / shorter
+            gram = self.at[m][at]
+            seen = np.append(self.n[m], 0)[gram]
+            taken = np.log10(np.where(seen > 0, seen - discount, 1) / n)
+            failed = np.log10(np.maximum(left, 1e-12) / np.maximum(below, 1e-12))
+            score[has] = np.where(seen > 0, taken, failed + score[has])
+        return score
 
 
 def spelt(codes: np.ndarray, width: int, kept: list[np.ndarray]) -> np.ndarray:
@@ -246,63 +334,52 @@ SCORED = T.StructType(
 
 def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    spark = df.sparkSession
     blocks = blocks_of(df, id, text)
     sums = blocks.agg(F.sum("train_tokens").alias("tokens"), F.sum("train_texts").alias("texts")).first()
     total, texts = sums["tokens"] or 0, sums["texts"] or 0
-    answers = corpus_counts(blocks, max(2.0, total * FREQUENT))
-    distinct, found = 0, []
-    for row in answers.filter("block IS NULL").select("distinct", "words", "counts").toLocalIterator():
-        distinct += row["distinct"]
-        found.append((np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.uint64)))
-    end = WordHashes()[END_MARK]
-    words = np.concatenate([w for w, _ in found]) if found else np.empty(0, np.uint64)
-    counts = np.concatenate([c for _, c in found]).astype(np.int64) if found else np.empty(0, np.int64)
-    order_ = np.argsort(words)
-    frequent, counts = words[order_], counts[order_]
-    numbers = np.where(frequent == np.uint64(end), END, 0)
-    numbers[numbers != END] = np.arange(2, 2 + int((numbers != END).sum()))
-    width = 2 + len(frequent)
+    least_words, least_grams = max(LEAST, total * FREQUENT), max(LEAST, total * KEPT)
+    asked = blocks.select("block", "words", "counts")
+    answers = [exchanged(asked, lambda row: (unpacked_keys(row["words"]), unpacked(row["counts"], np.int64)[None, :]))]
+    distinct = answers[0].filter("block IS NULL").agg(F.sum("distinct")).first()[0] or 0
     norm = total + 0.5 * (distinct + 1)
-    unigram, seen = np.zeros(width), np.zeros(width, np.int64)
-    unigram[numbers], seen[numbers] = (counts + 0.5) / norm, counts
-    seen[BEGIN] = texts
-    shared = spark.sparkContext.broadcast((frequent, numbers, width))
-    kept, orders = [], []
-    for _ in range(2, order + 1):
-        codes, n = count_grams(blocks, shared, kept, max(2.0, total * KEPT))
-        orders.append((spelt(codes, width, kept), n))
-        kept.append(codes)
-        if not len(codes):
-            break
-    model = spark.sparkContext.broadcast(build(width, unigram, seen, orders, DISCOUNT))
-    answered = answers.filter("block IS NOT NULL").groupBy("block").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("part", "counts"))), lambda a: a["counts"]).alias("answers")
-    )
-    asked = blocks.select("block", "ids", "held", "lengths", "tokens", "words").join(answered, "block").drop("block")
+    texts_only = blocks.select("block", "held", "lengths", "tokens", "words")
+
+    def grams_of(row: dict, orders: int) -> Grams:
+        grams = Grams(row, texts, least_words)
+        for m in range(1, orders):
+            grams.next_order()
+            grams.answered(row[f"a{m}"])
+        return grams
+
+    def ask_for(orders: int):
+        def ask(row: dict) -> tuple[np.ndarray, np.ndarray]:
+            grams = grams_of(row, orders)
+            grams.next_order()
+            return grams.counted()
+
+        return ask
+
+    for orders in range(1, order):
+        answers.append(exchanged(with_answers(texts_only, answers), ask_for(orders), least_grams))
+    answers.append(exchanged(with_answers(texts_only, answers), lambda row: grams_of(row, order).sums()[:2]))
+    asked = with_answers(blocks.select("block", "ids", "held", "lengths", "tokens", "words"), answers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(SCORED)
-        frequent, numbers, _ = shared.value
-        automaton: Automaton = model.value
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, held, lengths, tokens, words, parts = row
-                lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
-                tokens, words = np.frombuffer(tokens, np.uint32), np.frombuffer(words, np.uint64)
-                corpus = np.frombuffer(b"".join(parts), np.uint64).astype(np.float64)
-                alone = np.log10((corpus + 0.5) / norm)
-                own = numbers_in(words, frequent, numbers)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                grams = grams_of(row, order)
+                tokens = grams.line[grams.line != grams.begin]
+                alone = np.log10((grams.corpus + 0.5) / norm)[tokens]
+                scores = grams.scores(row[f"a{order}"], alone, norm, DISCOUNT)
+                lengths = grams.lengths
                 starts = np.cumsum(lengths) - lengths
-                base = np.add.reduceat(alone[tokens], starts)
-                known = np.add.reduceat((corpus > 0)[tokens].astype(np.int64), starts)
-                scores = [
-                    automaton.score(own[tokens[a : a + n]].tolist(), alone[tokens[a : a + n]].tolist())
-                    for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)
-                ]
-                columns = [ids, held, lengths, known, np.full(len(ids), total), base, scores]
+                base, score = np.add.reduceat(alone, starts), np.add.reduceat(scores, starts)
+                known = np.add.reduceat((grams.corpus > 0)[tokens].astype(np.int64), starts)
+                columns = [row["ids"], row["held"], lengths, known, np.full(len(lengths), total), base, score]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], names=arrow.names
                 )

@@ -93,6 +93,12 @@ def test_blocks_and_pruning_change_nothing_but_the_model(spark, documents_of, mo
     compare(rows, texts, frequent=1 / 60, kept=1 / 200)
 
 
+def test_rare_words_and_ngrams_stay_however_large_the_corpus(spark, documents_of):
+    texts = sample(3) | {1000 + i: "filler " * 15000 for i in range(40)}
+    rows = score_documents(documents_of(list(texts.items())).repartition(3)).collect()
+    compare(rows, texts, frequent=0, kept=0)
+
+
 def test_probabilities_of_every_state_sum_to_one():
     unigram = np.array([0, 0.2, 0.3, 0.1, 0.05])
     bigrams = np.array([[0, 2], [0, 3], [2, 3], [2, 1], [3, 2]])
