@@ -6,8 +6,8 @@ without inflating what lies between. It inflates a record's headers first; if
 they fail a pushed-down predicate, or payloads are not asked for, the rest of
 the record stays as it is. Files are planned as ranges of ``split_bytes``; a
 range begins at the first record that starts in it. Members without the extra
-field are inflated to find their ends, and their files are read in one range
-(option ``split_bytes`` 0).
+field are inflated, in windows, to find their ends; a file that begins with
+one is planned as one range.
 
 Tasks write to files of their own below ``_tasks``; the driver moves them in
 place when all have succeeded, so lost tasks and repeated ones leave nothing.
@@ -20,7 +20,7 @@ import hashlib
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -36,7 +36,9 @@ from markwise.session import fresh_path, written
 SPLIT_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 BROADCAST_BYTES = 16 << 20
-MEMBER = b"\x1f\x8b\x08\x04"
+GZIP = b"\x1f\x8b\x08"
+MEMBER = GZIP + b"\x04"
+WINDOW_BYTES = 4 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: Columns read from headers alone, with the header each comes from.
@@ -92,15 +94,25 @@ def headers_of(lines: bytes) -> dict[str, str]:
 
 
 class Inflating:
-    """The content of a member, inflated as far as asked for."""
+    """The content of a member, inflated as far as asked for.
 
-    def __init__(self, data: memoryview, at: int):
+    ``refill`` gives the data that follow what has been given (empty: none).
+    """
+
+    def __init__(self, data: memoryview, at: int, refill: Callable[[int], bytes] = lambda passed: b""):
         self.inflate = zlib.decompressobj(31)
         self.data, self.at, self.content = data, at, bytearray()
+        self.refill, self.passed = refill, 0
 
     def more(self, step: int = 2048) -> bool:
-        if self.inflate.eof or self.at >= len(self.data):
+        if self.inflate.eof:
             return False
+        if self.at >= len(self.data):
+            data = self.refill(self.passed + len(self.data))
+            if not data:
+                return False
+            self.passed += len(self.data)
+            self.data, self.at = memoryview(data), 0
         self.content += self.inflate.decompress(self.data[self.at : self.at + step])
         self.at += step
         return True
@@ -112,11 +124,12 @@ class Inflating:
                 return -1
         return found
 
-    def end(self) -> int:
-        """Inflates all; where the next member begins."""
+    def end(self, keep: bool = True) -> int:
+        """Inflates all, to keep it or not; where the next member begins."""
         while self.more(1 << 16):
-            pass
-        return min(self.at, len(self.data)) - len(self.inflate.unused_data)
+            if not keep:
+                self.content.clear()
+        return self.passed + min(self.at, len(self.data)) - len(self.inflate.unused_data)
 
 
 def member_length(data: memoryview, at: int) -> int | None:
@@ -208,6 +221,10 @@ class WarcReader(ds.DataSourceReader):
         ranges = []
         for file in sorted(found, key=lambda f: f.path):
             step = self.split or file.size or 1
+            if file.size > step:
+                with system.open_input_file(file.path) as opened:
+                    if member_length(memoryview(opened.read(64)), 0) is None:
+                        step = file.size
             ranges += [FileRange(file.path, at, min(at + step, file.size)) for at in range(0, file.size, step)]
         return ranges or [FileRange("", 0, 0)]
 
@@ -238,23 +255,26 @@ class WarcReader(ds.DataSourceReader):
             nonlocal window, base
             if at < base or at + least > base + len(window):
                 file.seek(at)
-                window, base = file.read(max(least, 4 << 20)), at
+                window, base = file.read(max(least, WINDOW_BYTES)), at
             return memoryview(window)[at - base :]
 
-        at = partition.start
+        def following(passed: int) -> bytes:
+            file.seek(at + passed)
+            return file.read(WINDOW_BYTES)
+
+        at = self.first_member(file, partition) if partition.start else 0
         while at < partition.stop:
             data = load(at, min(64, total - at))
             length = member_length(data, 0)
-            if length is None and at == partition.start and at > 0:
-                at = self.first_member(file, partition)
-                continue
-            data = load(at, min(length or total - at, total - at))
-            content = Inflating(data[:length] if length else data, 0)
+            if length:
+                content = Inflating(load(at, min(length, total - at))[:length], 0)
+            else:
+                content = Inflating(data, 0, following)
             head_end = content.until(b"\r\n\r\n")
             row = self.row_of(content, head_end)
             if row is not None:
                 yield row
-            at += length or content.end()
+            at += length or content.end(keep=False)
 
     def first_member(self, file, partition: FileRange) -> int:
         """The first record in the range; its stop if there is none."""
@@ -262,18 +282,18 @@ class WarcReader(ds.DataSourceReader):
         while at < partition.stop:
             file.seek(at)
             data = file.read(1 << 20)
-            place = data.find(MEMBER)
+            place = data.find(GZIP)
             while 0 <= place:
                 if at + place >= partition.stop:
                     return partition.stop
                 file.seek(at + place)
                 probe = memoryview(file.read(4096))
                 try:
-                    if member_length(probe, 0) and Inflating(probe, 0).until(b"WARC/") == 0:
+                    if Inflating(probe, 0).until(b"WARC/") == 0:
                         return at + place
                 except zlib.error:
                     pass
-                place = data.find(MEMBER, place + 1)
+                place = data.find(GZIP, place + 1)
             if len(data) < 1 << 20:
                 break
             at += len(data) - overlap

@@ -6,9 +6,11 @@ import os
 import zlib
 from collections import Counter
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from markwise.llm import warc_source
 from markwise.llm.warc_source import base32_sha1, member, op8_warc, page_records, read_warc, write_warc
 
 PAGES = T.StructType(
@@ -76,6 +78,30 @@ def test_members_of_other_tools(spark, tmp_path):
     assert zlib.crc32(bytes(got[0].payload)) == zlib.crc32(b"body")
 
 
+def test_ranges_lose_no_members_of_other_tools(spark, tmp_path, monkeypatch):
+    os.makedirs(f"{tmp_path}/d")
+    bodies = {f"<urn:{i}>": os.urandom(i % 40 * 50).hex().encode() for i in range(300)}
+    records = [
+        f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: {i}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n"
+        for i, b in bodies.items()
+    ]
+    with open(f"{tmp_path}/d/plain.warc.gz", "wb") as file:
+        file.write(b"".join(map(gzip.compress, records[:150])))
+    with open(f"{tmp_path}/d/mixed.warc.gz", "wb") as file:
+        file.write(b"".join((member, gzip.compress)[n % 3 > 0](r) for n, r in enumerate(records[150:])))
+    for split in ("997", "20000", "0"):
+        got = read_warc(spark, f"file://{tmp_path}/d", split_bytes=split).select("record_id", "payload").collect()
+        assert len(got) == 300 and {r.record_id: bytes(r.payload) for r in got} == bodies, split
+        assert read_warc(spark, f"file://{tmp_path}/d", payload=False, split_bytes=split).count() == 300
+    # members longer than a window
+    monkeypatch.setattr(warc_source, "WINDOW_BYTES", 100)
+    reader = warc_source.WarcReader({"path": f"file://{tmp_path}/d"}, warc_source.schema_of(True))
+    with fs.LocalFileSystem().open_input_file(f"{tmp_path}/d/plain.warc.gz") as file:
+        size = file.size()
+        rows = list(reader.records(file, warc_source.FileRange("", 0, size)))
+    assert {r["record_id"]: r["payload"] for r in rows} == dict(list(bodies.items())[:150])
+
+
 def test_damaged_payload_is_reported(spark, tmp_path):
     bad = spark.createDataFrame([("response", "<urn:1>", "sha1:" + base32_sha1(b"other"), b"x")], "record_type string, record_id string, payload_digest string, payload binary")
     write_warc(bad, f"file://{tmp_path}/c")
