@@ -38,6 +38,10 @@ NOISE_WORDS = frozenset(
     "pagination popup promo promoted related search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "teaser toolbar widget".split()
 )
+# Parts around an article that can hold articles of their own: teasers, comments. All other
+# noise may as well be the wrapper of a whole page that is named after one of its parts.
+SEALED_TAGS = NOISE_TAGS - {"form"}
+SEALED_WORDS = frozenset("comment comments disqus footer related teaser promo promoted sponsor sponsored".split())
 HEADER_WORDS = frozenset(["header", "masthead", "banner"])
 WHOLE = frozenset("html body main article".split())
 
@@ -60,24 +64,29 @@ class Element:
     tag: str
     path: str
     role: str
+    sealed: bool = False
     children: list[str] = field(default_factory=list)
 
 
 @dataclass
 class Block:
     """``path`` begins with the role of the branch; ``siblings`` are the kinds
-    of children of the element around it, in order, runs taken together."""
+    of children of the element around it, in order, runs taken together;
+    ``sealed`` are blocks inside parts that are noise whatever they hold."""
 
     path: str
     role: str
     siblings: list[str]
     text: str
+    sealed: bool
 
 
-def role_within(outer: str, tag: str, names: set[str]) -> str:
+def role_within(outer: str, tag: str, names: set[str], sealed: bool) -> str:
+    if tag == "main" or (outer == NOISE and not sealed and (tag == "article" or (tag == "div" and "main" in names and not names & NOISE_WORDS))):
+        return ARTICLE
     if outer == NOISE or tag in NOISE_TAGS:
         return NOISE
-    if tag in ("article", "main"):
+    if tag == "article":
         return ARTICLE
     if tag not in WHOLE:
         if names & NOISE_WORDS or (outer != ARTICLE and (tag == "header" or names & HEADER_WORDS)):
@@ -98,7 +107,7 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 holder = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
                 inside = stack[max(0, stack.index(holder) - 1)]
-                blocks.append(Block(holder.role + holder.path, holder.role, inside.children, text))
+                blocks.append(Block(holder.role + holder.path, holder.role, inside.children, text, holder.sealed))
 
     def end(tags, limits=frozenset()):
         for i in range(len(stack) - 1, 0, -1):
@@ -137,7 +146,9 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCK and (not outer.children or outer.children[-1] != kind):
             outer.children.append(kind)
         path = f"{outer.path}/{kind}" if tag in BLOCK else outer.path
-        stack.append(Element(tag, path, role_within(outer.role, tag, names)))
+        role = role_within(outer.role, tag, names, outer.sealed)
+        sealed = role == NOISE and (outer.sealed or tag in SEALED_TAGS or (tag not in WHOLE and bool(names & SEALED_WORDS)))
+        stack.append(Element(tag, path, role, sealed))
     if at < len(page):
         rest = page[at:]
         cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # a tag that the page breaks off in

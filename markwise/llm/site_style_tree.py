@@ -10,15 +10,19 @@ content       1 minus the mean entropy of its texts: a text on c of m pages
 
 Importance is nine parts content and one part presentation, in 0 to 1; a node
 on one page only has 1. Elements and names that mean a part around an article
-(nav, footer, advert, ...) lower it by 1, an enclosing article or main raises
-it by 1. Branches below ``LEAST_IMPORTANCE`` are taken out of every page.
+(nav, footer, advert, ...) lower it by 1: their texts vary with the page, too,
+so entropy does not tell them. An article or main inside a part that is noise
+by its name (a wrapper named after its sidebar) or a form is none of it. In an
+article or main a branch goes only by entropy, if ``LEAST_PAGES`` pages or more
+all repeat it. Branches below ``LEAST_IMPORTANCE`` are taken out of every page.
 
 Only texts' hashes and paths are gathered, summed per task first; what goes
 back to the pages is the list of removed paths of each host.
 
 Defined results: null or empty html, and pages without text, give an empty
 text. Pages without a host in their url are one site. Where all text of a page
-lies in neutral branches of low importance (a host of copies), it stays. Equal
+lies in branches of low importance (a host of copies), that of articles and
+neutral branches stays, else that of parts that are noise by name alone. Equal
 pages give equal texts; an empty table gives an empty result.
 """
 
@@ -34,11 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from markwise.llm.batches import add_columns, emit, table
-from markwise.llm.html_blocks import ARTICLE, NEUTRAL, NOISE, Block, blocks_of
+from markwise.llm.html_blocks import ARTICLE, NOISE, Block, blocks_of
 from markwise.session import written
 
 LEAST_IMPORTANCE = 0.35
 CONTENT_PART = 0.9
+ARTICLE_RAISE, LEAST_PAGES = 0.3, 5
 NODES_AT_ONCE = 200_000
 BROADCAST_BYTES = 16 << 20
 PAGE, TEXT, LAYOUT = 0, 1, 2
@@ -91,14 +96,15 @@ def style_tree(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     content = F.greatest(F.lit(0.0), 1 - F.col("text_spread") / F.col("texts") / log_m)
     presentation = F.greatest(F.lit(0.0), 1 - F.col("layout_spread") / F.col("layouts") / log_m)
     own = F.when(F.col("pages") > 1, CONTENT_PART * content + (1 - CONTENT_PART) * presentation).otherwise(1.0)
-    role = F.when(F.startswith("path", F.lit(NOISE)), -1.0).when(F.startswith("path", F.lit(ARTICLE)), 1.0).otherwise(0.0)
+    raised = F.when(F.col("pages") < LEAST_PAGES, 1.0).otherwise(ARTICLE_RAISE)
+    role = F.when(F.startswith("path", F.lit(NOISE)), -1.0).when(F.startswith("path", F.lit(ARTICLE)), raised).otherwise(0.0)
     return merged.select("host", "path", "pages", (own + role).alias("importance"))
 
 
 def main_text(blocks: list[Block], removed: set[str]) -> str:
     kept = [b for b in blocks if b.path not in removed]
     if not kept:
-        kept = [b for b in blocks if b.role == NEUTRAL]
+        kept = [b for b in blocks if b.role != NOISE] or [b for b in blocks if not b.sealed]
     return "\n\n".join(b.text for b in kept)
 
 

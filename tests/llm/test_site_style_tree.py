@@ -48,6 +48,24 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert set(texts(spark.createDataFrame(rows, PAGES)).values()) == {"Same text."}
 
 
+def test_wrappers_named_after_their_parts_keep_the_article(spark):
+    pages = {
+        1: '<div class="content-sidebar-wrap"><main><p>Body one.</p></main><aside>side</aside></div>',
+        2: '<div id="page" class="has-sidebar"><article><p>Body two.</p><div class=share>Share</div></article></div>',
+        3: '<form action="x"><div class="has-sidebar"><p>Body three.</p></div><nav>Menu</nav></form>',
+        4: '<article><p>Body four.</p></article><section class="comments"><article>Nice!</article></section><aside><article>More</article></aside>',
+    }
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", h) for i, h in pages.items()], PAGES)
+    assert texts(df) == {1: "Body one.", 2: "Body two.", 3: "Body three.", 4: "Body four."}
+
+
+def test_what_all_articles_of_a_host_repeat_goes(spark):
+    rows = [(i, "http://h.example/", f"<article><p>Text {i}.</p><div class=x>Read our terms</div></article>") for i in range(12)]
+    assert texts(spark.createDataFrame(rows, PAGES)) == {i: f"Text {i}." for i in range(12)}
+    copies = [(i, "http://c.example/", "<article><h1>A</h1><p>Same text.</p></article>") for i in range(12)]
+    assert set(texts(spark.createDataFrame(copies, PAGES)).values()) == {"A\n\nSame text."}
+
+
 def test_given_pages_against_their_template(spark, small_dir):
     """The given pages hold one article element each; cut it out by hand."""
     want = {}
