@@ -5,6 +5,7 @@ from markwise.llm.language_mixture import op7_language_id
 from markwise.llm.language_model import op9_language_model
 from markwise.llm.near_duplicates import OP6_SQL, op6_near_duplicates
 from markwise.llm.packing import op4_packing
+from markwise.llm.periodic_runs import op12_periodic_runs
 from markwise.llm.quality_rules import op1_quality_rules
 from markwise.llm.site_style_tree import op3_html_extraction
 from markwise.llm.viterbi_counts import op10_token_counts
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language_model": op9_language_model,
     "op10_token_counts": op10_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
