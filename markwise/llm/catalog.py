@@ -8,6 +8,7 @@ from markwise.llm.packing import op4_packing
 from markwise.llm.periodic_runs import op12_periodic_runs
 from markwise.llm.quality_rules import op1_quality_rules
 from markwise.llm.site_style_tree import op3_html_extraction
+from markwise.llm.token_alignment import op13_token_alignment
 from markwise.llm.viterbi_counts import op10_token_counts
 from markwise.llm.warc_source import OP8_SQL, op8_warc
 from markwise.llm.weighted_fingerprints import op5_document_fingerprints
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_language_model": op9_language_model,
     "op10_token_counts": op10_token_counts,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {

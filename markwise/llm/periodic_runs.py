@@ -208,13 +208,19 @@ def runs(items: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found[:, 2], found[:, 0]))]
 
 
+class Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def runs_of_texts(texts: list[list[bytes]]) -> list[np.ndarray]:
     """Rows (start, length, period) per text, given as words."""
-    numbers: dict[bytes, int] = {}
+    numbers = Numbers()
     parts, starts, at = [np.array([0])], [], 1
     for words in texts:
-        for word in set(words):
-            numbers.setdefault(word, len(numbers))
         parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) + len(texts) + 1)
         parts.append(np.array([len(starts) + 1]))
         starts.append(at)
