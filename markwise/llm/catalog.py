@@ -1,6 +1,7 @@
 """Queries of this subpackage and the SQL they are checked against."""
 
 from markwise.llm.chunked_encoding import op2_byte_pair_encoding
+from markwise.llm.jaccard_join import OP11_SQL, op11_ngram_jaccard_join
 from markwise.llm.language_mixture import op7_language_id
 from markwise.llm.language_model import op9_language_model
 from markwise.llm.near_duplicates import OP6_SQL, op6_near_duplicates
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language_model": op9_language_model,
     "op10_token_counts": op10_token_counts,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_token_alignment": op13_token_alignment,
 }
@@ -31,4 +33,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op6_near_duplicates": OP6_SQL,
     "op8_warc": OP8_SQL,
+    "op11_ngram_jaccard_join": OP11_SQL,
 }
