@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,8 +144,8 @@ def unpacked_keys(high: bytes, low: bytes) -> np.ndarray:
 def shared_grams(asked: pa.Table) -> pa.Table:
     """The n-grams of a range that occur twice or more, per block, with their counts;
     rows that describe a block's owners as they are."""
-    owners_rows = asked.filter(pa.compute.is_valid(asked.column("nodes")))
-    rows = asked.filter(pa.compute.is_null(asked.column("nodes"))).select(["block", "part", "high", "low", "owners"]).to_pylist()
+    owners_rows = asked.filter(pc.is_valid(asked.column("nodes")))
+    rows = asked.filter(pc.is_null(asked.column("nodes"))).select(["block", "part", "high", "low", "owners"]).to_pylist()
     out = []
     if rows:
         keys = [unpacked_keys(r["high"], r["low"]) for r in rows]
