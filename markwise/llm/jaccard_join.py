@@ -385,13 +385,21 @@ def groups_of(links: DataFrame) -> DataFrame:
     return connected_components(nodes, links, []).select(F.col("id").alias("node"), "root")
 
 
-def linked_groups(postings: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, root) of all classes with a link, from written postings."""
+def links_by_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Written (a, b): the class of a text next to an id that has several texts."""
+    several = rows.groupBy("node").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi")
+    own = rows.select("node", "digest").join(several.select("node"), "node", "left_semi")
+    met = own.join(classes.select("digest", F.col("node").alias("a")), "digest").filter("a <> node")
+    return written(met.select("a", F.col("node").alias("b")).distinct(), "links")
+
+
+def linked_groups(postings: DataFrame, texts: DataFrame, given: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root) of all classes with a link, from written postings and given links."""
     centre = F.min(F.struct("place", "node", "n", "rest")).alias("centre")
     crowded = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members"), centre).filter("members > 1")
     crowded = written(crowded, "crowded")
     near = written(pairs_with_centres(postings, crowded, percent), "pairs")
-    links = verified(near, texts, size, percent)
+    links = verified(near, texts, size, percent).unionByName(given)
     roots = groups_of(links)
     met = salted_join(postings, crowded.select("key"), ["key"], "node", "left_semi")
     more = written(pairs_between_groups(met, roots, percent).join(near, ["a", "b"], "left_anti"), "pairs")
@@ -432,7 +440,8 @@ def jaccard_groups(
     texts = with_id.join(chosen, ["node", "digest"], "left_semi").select("node", "digest", "text")
     shared = asked_of(texts, size, part_bits).groupBy("part").applyInArrow(shared_grams, ASKED)
     found = stored(shared.groupBy("block").applyInArrow(postings_of(percent), POSTINGS), "postings")
-    roots = linked_groups(found.filter("key IS NOT NULL").drop("digest"), texts, size, percent)
+    given = links_by_id(with_id.filter("text <> ''"), classes)
+    roots = linked_groups(found.filter("key IS NOT NULL").drop("digest"), texts, given, size, percent)
     sizes = found.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("node").alias("root_node"), F.first("n").alias("size"))
     own = written(
         sizes.join(roots.select(F.col("node").alias("root_node"), "root"), "root_node", "left").select(
