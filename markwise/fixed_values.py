@@ -32,6 +32,8 @@ PATTERN_SELECT_N = 10
 GROUND_TRUTH_LIMIT = 100
 PROMPT_TOKEN_LIMIT = 4000
 JOB_TTL_DAYS = 20
+# how long an answer waits for the language-model grader
+GRADER_LIMIT = "10 seconds"
 EMBEDDING_DECIMALS = 9
 
 # --- fixed values: words that are written with a leading bar in YAML -------

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markwise import fixed_values as fixed
+from markwise.operators import grader
 from markwise.plans import bindings as b
 from markwise.plans import oracle as o
+from markwise.plans.catalog_grader import GRADED, RESPONSES, responses
 from markwise.plans.catalog_text import _re2, _re2_plain
 from markwise.plans.catalog_training import job_events, stored_vocabulary
 from markwise.plans.evaluate import evaluate
 from markwise.plans.registry import query
 from markwise.session import fresh_path, written
+from markwise.streaming.composite import composite_stream, regression_results
 from markwise.streaming.evaluate import evaluate_stream
 from markwise.streaming.ledger import ledger_stream
 
@@ -112,6 +115,56 @@ def streaming_evaluation(spark, sf_dir):
     return scored.unionByName(refused)
 
 
+# every answer is asked at a time of its own; responses come up to 20 seconds later
+_DELAY = "CAST('0x' || substr(md5(answer_id), 1, 5) AS BIGINT) % 20001"
+_COMPOSITE = RESULTS.rstrip() + f""",
+{RESPONSES},
+{GRADED},
+in_time AS (SELECT answer_id FROM kinds WHERE kind = 'whole' AND {_DELAY} <= 10000)
+SELECT answer_id, exp_num, evaluation, round(CAST(score AS DOUBLE), 6) AS score, 'grader' AS source FROM graded SEMI JOIN in_time USING (answer_id)
+UNION ALL SELECT answer_id, exp_num, evaluation, score, 'regression' FROM results ANTI JOIN in_time USING (answer_id)"""
+
+
+def timed(rows):
+    """Adds asked and came: a second per conversation and turn, a delay by the id's hash."""
+    conversation, turn = F.split_part("answer_id", F.lit("-"), F.lit(1)), F.split_part("answer_id", F.lit("-"), F.lit(2))
+    second = conversation.cast("bigint") * 60 + turn.cast("bigint")
+    delay = F.conv(F.substring(F.md5("answer_id"), 1, 5), 16, 10).cast("bigint") % 20001
+    asked = F.timestamp_seconds(F.lit(1_700_000_000) + second)
+    return rows.withColumn("asked", asked).withColumn("came", F.timestamp_millis(F.unix_millis("asked") + delay))
+
+
+def as_stream(rows, name):
+    """A table as a stream of its rows; then a row a day later lets the watermark pass them all."""
+    spark, path = rows.sparkSession, fresh_path(rows.sparkSession, name)
+    time = next(field.name for field in rows.schema if field.name in ("asked", "came"))
+    last = rows.groupBy().agg(F.max(time) + F.expr("INTERVAL 1 DAY"))
+    empty = {"string": F.lit("")}
+    closing = last.toDF(time).select(*[F.col(c) if c == time else empty.get(t, F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes])
+    rows.unionByName(closing).write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+@query("composite_stream", _COMPOSITE)
+def composite_streaming(spark, sf_dir):
+    """Regression scores of all answers joined with a stream of grader responses, half of which come too late."""
+    answers = b.answers(spark, sf_dir)
+    scores = evaluate(answers, *tables(spark, sf_dir))
+    asked = timed(answers.select("answer_id")).select("answer_id", "asked")
+    came = timed(responses(spark, sf_dir)).select("answer_id", "lesson", "came", "response", "n_concepts")
+    masks = written(grader.concept_masks(b.expectations(spark, sf_dir)), "masks")
+    joined = composite_stream(as_stream(regression_results(scores, asked), "answers"), as_stream(came, "responses"), masks)
+    path = fresh_path(spark, "composite")
+    stream = (
+        joined.writeStream.format("parquet").option("path", path)
+        .option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start()
+    )
+    stream.awaitTermination()
+    rows = spark.read.schema(joined.schema).parquet(path).filter("answer_id <> ''")
+    return rows.select("answer_id", F.explode("results").alias("r"), "source").select(
+        "answer_id", "r.exp_num", "r.evaluation", F.round("r.score", 6).alias("score"), "source")
+
+
 @query("streaming_job_ledger", "SELECT user_id // 2 AS job_id, arg_max(CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'IN_PROGRESS' WHEN 'click' THEN 'IN_PROGRESS' "
        "WHEN 'purchase' THEN 'SUCCESS' ELSE 'FAILURE' END, event_id) AS status, count(*) AS n_events FROM events GROUP BY 1")
 def streaming_job_ledger(spark, sf_dir):
