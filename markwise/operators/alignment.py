@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markwise.operators.assignment import alignment_score, unit_rows
-from markwise.operators.embedding import known_words
+from markwise.functions import vectors
+from markwise.operators.assignment import alignment_score, leftover_matrix, priced_assignment, unit_rows
+from markwise.operators.embedding import join_vocabulary, known_words
 from markwise.operators.skew import salted_join
 
 
@@ -31,31 +32,55 @@ def _vectors(column: pa.ListArray, width: int) -> list[np.ndarray]:
     return [unit_rows(flat[a:b].reshape(-1, width).astype(np.float64)) for a, b in zip(offsets, offsets[1:])]
 
 
+CERTIFICATE = (
+    "answer_words array<string>, ideal_words array<string>, partner array<int>, answer_prices array<double>, ideal_prices array<double>"
+)
+
+
+def _sides(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
+    """Arguments of ``alignment_score``, a row at a time."""
+    column = {name: batch.column(name) for name in batch.schema.names}
+    words = {n: column[n].to_pylist() for n in ("tokens", "ideal_tokens", "known_words", "ideal_known")}
+    answer_units = _vectors(column["known_vectors"], width)
+    ideal_units = _vectors(column["ideal_vectors"], width)
+    for i in range(batch.num_rows):
+        yield (
+            set(words["tokens"][i]),
+            set(words["ideal_tokens"][i]),
+            {w: k for k, w in enumerate(words["known_words"][i])},
+            answer_units[i],
+            {w: k for k, w in enumerate(words["ideal_known"][i])},
+            ideal_units[i],
+        )
+
+
 def _score_batches(width: int, keys: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = {name: batch.column(name) for name in batch.schema.names}
-            words = {n: column[n].to_pylist() for n in ("tokens", "ideal_tokens", "known_words", "ideal_known")}
-            answer_units = _vectors(column["known_vectors"], width)
-            ideal_units = _vectors(column["ideal_vectors"], width)
-            scores = [
-                alignment_score(
-                    set(words["tokens"][i]),
-                    set(words["ideal_tokens"][i]),
-                    {w: k for k, w in enumerate(words["known_words"][i])},
-                    answer_units[i],
-                    {w: k for k, w in enumerate(words["ideal_known"][i])},
-                    ideal_units[i],
-                )
-                for i in range(batch.num_rows)
-            ]
+            scores = [alignment_score(*sides) for sides in _sides(batch, width)]
             yield pa.RecordBatch.from_arrays(
-                [*[column[k] for k in keys], pa.array(scores, pa.float64())], [*keys, "alignment"]
+                [*[batch.column(k) for k in keys], pa.array(scores, pa.float64())], [*keys, "alignment"]
             )
 
     return score
 
 
+def _certify_batches(width: int, keys: list[str]):
+    def certify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        for batch in batches:
+            rows = []
+            for sides in _sides(batch, width):
+                answer, ideal, weight = leftover_matrix(*sides)
+                found = priced_assignment(weight)
+                rows.append((answer, ideal, found.partner.tolist(), found.row_price.tolist(), found.column_price.tolist()))
+            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)]
+            names = [field.split()[0] for field in CERTIFICATE.split(", ")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *made], [*keys, *names])
+
+    return certify
+
+
 def word_alignment(
     answers: DataFrame, ideals: DataFrame, vocabulary: DataFrame, answer_key: str, ideal_keys: list[str], width: int
 ) -> DataFrame:
@@ -67,6 +92,17 @@ def word_alignment(
     shuffle of the answers where the ideals are few. The pair where one side
     has nothing left over never leaves the JVM.
     """
+    keys = [answer_key, *ideal_keys]
+    easy, hard = _with_vectors(answers, ideals, vocabulary, answer_key, ideal_keys)
+    types = dict(hard.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", alignment double"
+    return easy.unionByName(hard.mapInArrow(_score_batches(width, keys), schema))
+
+
+def _with_vectors(
+    answers: DataFrame, ideals: DataFrame, vocabulary: DataFrame, answer_key: str, ideal_keys: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs settled at once, with their alignment, and the others with their vectors."""
     answer_vectors = known_words(answers.select(answer_key, "tokens").dropDuplicates([answer_key]), vocabulary, [answer_key])
     ideal_vectors = known_words(ideals, vocabulary, ideal_keys, "ideal_tokens").select(
         *ideal_keys, F.col("known_words").alias("ideal_known"), F.col("known_vectors").alias("ideal_vectors")
@@ -86,9 +122,84 @@ def word_alignment(
     # the vectors are the heavy side, one row per answer: they move once, unrepeated
     hard = hard.join(answer_vectors, answer_key)
     hard = salted_join(hard, ideal_vectors, ideal_keys, answer_key, "inner")
-    types = dict(hard.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", alignment double"
-    scored = hard.select(
+    return easy, hard.select(
         *keys, "tokens", "ideal_tokens", "known_words", "known_vectors", "ideal_known", "ideal_vectors"
-    ).mapInArrow(_score_batches(width, keys), schema)
-    return easy.unionByName(scored)
+    )
+
+
+def alignment_certificates(
+    answers: DataFrame, ideals: DataFrame, vocabulary: DataFrame, answer_key: str, ideal_keys: list[str], width: int
+) -> DataFrame:
+    """The pairs that need an assignment, each with its solution and its prices:
+    the keys, tokens, ideal_tokens and the columns ``CERTIFICATE``."""
+    keys = [answer_key, *ideal_keys, "tokens", "ideal_tokens"]
+    _, hard = _with_vectors(answers, ideals, vocabulary, answer_key, ideal_keys)
+    types = dict(hard.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", {CERTIFICATE}"
+    return hard.mapInArrow(_certify_batches(width, keys), schema)
+
+
+def similarities_to_ideals(words: DataFrame, ideals: DataFrame, vocabulary: DataFrame, ideal_keys: list[str]) -> DataFrame:
+    """(ideal_keys…, word, similar): cosines of a word to the sorted distinct words of an
+    ideal, 0 where one has no vector. ``words``: distinct (ideal_keys…, word)."""
+    vector = F.col("vector").cast("array<double>")
+    units = vocabulary.withColumn("norm", vectors.norm(vector)).select(
+        "word", F.when(F.col("norm") > 0, F.transform(vector, lambda x: x / F.col("norm"))).alias("vector")
+    )
+    own = ideals.select(*ideal_keys, F.posexplode(F.array_sort(F.array_distinct("ideal_tokens"))).alias("at", "word"))
+    known = join_vocabulary(own, units, ideal_keys, how="left")
+    matrix = known.groupBy(*ideal_keys).agg(F.array_sort(F.collect_list(F.struct("at", "vector"))).alias("matrix"))
+    told = join_vocabulary(words, units, ideal_keys, how="left")
+    both = salted_join(told, matrix, ideal_keys, "word", "inner")
+    similar = F.transform("matrix", lambda m: F.coalesce(vectors.dot(F.col("vector"), m["vector"]), F.lit(0.0)))
+    return both.select(*ideal_keys, "word", similar.alias("similar"))
+
+
+def checked_certificates(
+    certificates: DataFrame, ideals: DataFrame, vocabulary: DataFrame, answer_key: str, ideal_keys: list[str],
+    tolerance: float = 1e-6,
+) -> DataFrame:
+    """(keys, primal, dual, feasible) of certificates, by similarities that are
+    computed here, apart from the solver.
+
+    primal is the weight of the pairs, dual the sum of the prices. feasible says that the
+    pairs are as many as can be, no partner is used twice, no edge weighs more
+    than its two prices, and the longer side has no negative price. A row per
+    answer word is exploded; the words of the ideal stay in one array.
+    """
+    keys = [answer_key, *ideal_keys]
+    rows = certificates.select(
+        *keys, "ideal_words", "ideal_prices", "answer_prices",
+        F.array_sort(F.array_distinct("ideal_tokens")).alias("order"),
+        F.posexplode(F.arrays_zip(F.col("answer_words").alias("word"), F.col("answer_prices").alias("price"), F.col("partner").alias("partner"))).alias("at", "a"),
+    ).select(*keys, "ideal_words", "ideal_prices", "order", "at", "a.word", "a.price", "a.partner")
+    told = similarities_to_ideals(
+        rows.filter("word IS NOT NULL").select(*ideal_keys, "word").distinct(), ideals, vocabulary, ideal_keys
+    )
+    # words without a vector stand for zero rows; they join with nothing
+    told = told.withColumnRenamed("word", "_word")
+    same = [F.col(f"r.{k}") == F.col(f"t.{k}") for k in ideal_keys]
+    rows = rows.alias("r").join(told.alias("t"), [*same, F.col("r.word") == F.col("t._word")], "left").select("r.*", "t.similar")
+    weights = (
+        "transform(ideal_words, w -> IF(w IS NULL OR similar IS NULL, 0D, similar[CAST(array_position(order, w) AS INT) - 1]))"
+    )
+    rows = rows.withColumn("weights", F.expr(weights))
+    held = f"forall(zip_with(weights, ideal_prices, (w, p) -> w <= p + price + {tolerance}), x -> x)"
+    rows = rows.withColumn("held", F.expr(held)).withColumn("own", F.expr("IF(partner >= 0, weights[partner], 0D)"))
+    sums = rows.groupBy(*keys).agg(
+        F.sum("own").alias("primal"), F.sum("price").alias("_answer_sum"), F.first("ideal_prices").alias("_prices"),
+        F.every("held").alias("_held"), F.min("price").alias("_least"), F.count(F.lit(1)).alias("_n"),
+        F.count(F.when(F.col("partner") >= 0, 1)).alias("_pairs"),
+        F.countDistinct(F.when(F.col("partner") >= 0, F.col("partner"))).alias("_partners"),
+    )
+    n_ideal = F.size("_prices")
+    signs = (
+        F.when(F.col("_n") > n_ideal, F.col("_least") >= -tolerance)
+        .when(F.col("_n") < n_ideal, F.array_min("_prices") >= -tolerance)
+        .otherwise(True)
+    )
+    full = (F.col("_pairs") == F.least(F.col("_n"), n_ideal)) & (F.col("_partners") == F.col("_pairs"))
+    return sums.select(
+        *keys, "primal", (F.col("_answer_sum") + F.aggregate("_prices", F.lit(0.0), lambda s, p: s + p)).alias("dual"),
+        (F.col("_held") & signs & full).alias("feasible"),
+    )

@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 
+@dataclass
+class Assignment:
+    """Forced one-to-one pairs of the largest total weight, with its proof.
+
+    ``partner`` is the column of each row (-1: none). Prices of rows and columns sum to the
+    total; no edge weighs more than the prices of its ends; the prices of the
+    longer side are not negative. So no other choice of as many pairs weighs more.
+    """
+
+    total: float
+    partner: np.ndarray
+    row_price: np.ndarray
+    column_price: np.ndarray
+
+
 def best_assignment(weight: np.ndarray) -> float:
-    """Largest total weight of min(rows, columns) forced one-to-one pairs.
+    """Largest total weight of min(rows, columns) forced one-to-one pairs."""
+    if min(weight.shape) == 0:
+        return 0.0
+    if min(weight.shape) == 1:
+        return float(weight.max())
+    return priced_assignment(weight).total
 
-    Shortest augmenting paths with dual prices; each path step is one
+
+def priced_assignment(weight: np.ndarray) -> Assignment:
+    """Shortest augmenting paths with dual prices; each path step is one
     vectorised pass over the columns.
     """
     if weight.shape[0] > weight.shape[1]:
-        weight = weight.T
+        turned = priced_assignment(weight.T)
+        partner = np.full(weight.shape[0], -1)
+        partner[turned.partner] = np.arange(len(turned.partner))
+        return Assignment(turned.total, partner, turned.column_price, turned.row_price)
     rows, columns = weight.shape
     if rows == 0:
-        return 0.0
-    if rows == 1:
-        return float(weight.max())
+        return Assignment(0.0, np.empty(0, int), np.empty(0), np.zeros(columns))
     cost = weight.max() - weight
     row_price = cost.min(axis=1)
     column_price = np.zeros(columns)
@@ -58,7 +83,10 @@ def best_assignment(weight: np.ndarray) -> float:
             column = parent[column]
         owner[column] = start
     taken = np.flatnonzero(owner >= 0)
-    return float(weight[owner[taken], taken].sum())
+    partner = np.empty(rows, int)
+    partner[owner[taken]] = taken
+    total = float(weight[owner[taken], taken].sum())
+    return Assignment(total, partner, weight.max() - row_price, -column_price)
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -66,27 +94,38 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
 
 
-def alignment_score(
+def leftover_matrix(
     answer: set[str], ideal: set[str], answer_vectors: dict[str, int], answer_units: np.ndarray,
     ideal_vectors: dict[str, int], ideal_units: np.ndarray,
-) -> float:
-    """(shared words + best assignment of the others) / size of the ideal set.
+) -> tuple[list[str | None], list[str | None], np.ndarray]:
+    """What stands at the rows and columns, and their similarities.
 
     Words without a vector are similar to nothing (0): they stand in the
-    matrix as zero rows or columns, no more of them than can be matched.
+    matrix as zero rows or columns (None), no more of them than can be matched.
     """
     left, right = answer - ideal, ideal - answer
-    if not right:
-        return 1.0
-    shared = len(ideal) - len(right)
-    if not left:
-        return shared / len(ideal)
-    rows = [answer_vectors[w] for w in left if w in answer_vectors]
-    columns = [ideal_vectors[w] for w in right if w in ideal_vectors]
+    rows = [w for w in sorted(left) if w in answer_vectors]
+    columns = [w for w in sorted(right) if w in ideal_vectors]
     pairs = min(len(left), len(right))
     blank_rows = min(len(left) - len(rows), pairs)
     blank_columns = min(len(right) - len(columns), pairs)
     weight = np.zeros((len(rows) + blank_rows, len(columns) + blank_columns))
     if rows and columns:
-        weight[: len(rows), : len(columns)] = answer_units[rows] @ ideal_units[columns].T
+        units = answer_units[[answer_vectors[w] for w in rows]], ideal_units[[ideal_vectors[w] for w in columns]]
+        weight[: len(rows), : len(columns)] = units[0] @ units[1].T
+    return [*rows, *[None] * blank_rows], [*columns, *[None] * blank_columns], weight
+
+
+def alignment_score(
+    answer: set[str], ideal: set[str], answer_vectors: dict[str, int], answer_units: np.ndarray,
+    ideal_vectors: dict[str, int], ideal_units: np.ndarray,
+) -> float:
+    """(shared words + best assignment of the others) / size of the ideal set."""
+    left, right = answer - ideal, ideal - answer
+    if not right:
+        return 1.0
+    shared = len(ideal) - len(right)
+    if not left:
+        return shared / len(ideal)
+    _, _, weight = leftover_matrix(answer, ideal, answer_vectors, answer_units, ideal_vectors, ideal_units)
     return (shared + best_assignment(weight)) / len(ideal)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from markwise import fixed_values as fixed
 from markwise.functions import text, vectors
 from markwise.operators import assembly, embedding, evaluation, ledger, lookup, scoring, training_rows
-from markwise.operators.alignment import word_alignment
+from markwise.operators.alignment import alignment_certificates, checked_certificates, leftover_words, word_alignment
 from markwise.plans import bindings as b
 from markwise.plans import oracle as o
 from markwise.plans import training as t
@@ -133,6 +133,41 @@ def optimal_word_alignment(spark, sf_dir):
     return scores.select(*KEYS, "row_id", F.round("alignment", 6).alias("alignment"))
 
 
+_SIDES = (
+    "sides AS (SELECT rt.lesson, rt.exp_num, rt.row_id, list_distinct(list_filter(rt.tokens, lambda w: NOT list_contains(et.it, w))) AS l, "
+    "list_distinct(list_filter(et.it, lambda w: NOT list_contains(rt.tokens, w))) AS r, len(list_distinct(et.it)) AS n FROM rt JOIN et USING (lesson, exp_num))"
+)
+_SINGLE = (
+    "single AS (SELECT lesson, exp_num, row_id, max(" + o.cosine("a.vector", "c.vector") + ") AS best FROM "
+    "(SELECT lesson, exp_num, row_id, x, unnest(r) AS y FROM (SELECT *, unnest(l) AS x FROM sides WHERE least(len(l), len(r)) = 1)) "
+    "JOIN vocab a ON a.word = x JOIN vocab c ON c.word = y GROUP BY ALL)"
+)
+
+
+@query("alignment_certificate", o.with_(o.RAW, o.EXPECT, o.VOCAB, _PAIRS, _SIDES, _SINGLE)
+       + "SELECT lesson, exp_num, row_id, len(l) AS answer_left, len(r) AS ideal_left, true AS feasible, true AS tight, "
+       "round((n - len(r) + best) / n, 6) AS alignment FROM sides LEFT JOIN single USING (lesson, exp_num, row_id) WHERE len(l) > 0 AND len(r) > 0")
+def alignment_certificate(spark, sf_dir):
+    """Every alignment that needs an assignment is proved to be the best: Spark
+    recomputes the similarities and compares pairs with prices. Where one side
+    has one word left, the alignment itself is checked, too."""
+    training, expectations = inputs(spark, sf_dir)
+    vocabulary = stored_vocabulary(spark, sf_dir)
+    rows = training.select(*KEYS, "row_id", "text").withColumn("tokens", text.preprocess("text")).drop("text")
+    rows, ideals = written(rows, "rows"), written(expectations.select(*KEYS, text.preprocess("ideal").alias("ideal_tokens")), "ideals")
+    width = embedding.vector_width(vocabulary)
+    found = written(alignment_certificates(rows, ideals, vocabulary, "row_id", KEYS, width), "certificates")
+    checked = checked_certificates(found, ideals, vocabulary, "row_id", KEYS)
+    left = leftover_words(found).select(
+        *KEYS, "row_id", F.size("answer_left").cast("bigint").alias("answer_left"),
+        F.size("ideal_left").cast("bigint").alias("ideal_left"), "n_ideal")
+    alignment = (F.col("n_ideal") - F.col("ideal_left") + F.col("primal")) / F.col("n_ideal")
+    return left.join(checked, [*KEYS, "row_id"]).select(
+        *KEYS, "row_id", "answer_left", "ideal_left", "feasible",
+        (F.abs(F.col("primal") - F.col("dual")) < 1e-6 * F.greatest("ideal_left", "answer_left")).alias("tight"),
+        F.when(F.least("answer_left", "ideal_left") == 1, F.round(alignment, 6)).alias("alignment"))
+
+
 @query("minimum_support", o.with_(o.RAW, o.EXPECT) + "SELECT e.lesson, e.exp_num, count(*) AS n_rows FROM expect e "
        "JOIN (SELECT lesson, exp_num FROM raw) USING (lesson, exp_num) GROUP BY ALL HAVING count(*) >= 10")
 def minimum_support(spark, sf_dir):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from markwise.operators import newton
-from markwise.operators.assignment import alignment_score, best_assignment
+from markwise.operators.assignment import alignment_score, best_assignment, priced_assignment
 
 
 @pytest.mark.parametrize("rows, columns", [(1, 4), (2, 2), (3, 5), (5, 3), (6, 6), (4, 7)])
@@ -79,3 +79,18 @@ def test_fit_is_stationary_with_penalised_intercept():
 def test_single_class_fold_has_no_accuracy():
     x = np.ones((5, 2))
     assert np.isnan(newton.leave_one_out_hits(x, np.array([0.0, 1, 1, 1, 1])))
+
+
+def test_prices_prove_every_assignment():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        weight = rng.normal(size=(rng.integers(1, 9), rng.integers(1, 9))).round(int(rng.integers(0, 3)))
+        found = priced_assignment(weight)
+        paired = found.partner >= 0
+        assert paired.sum() == min(weight.shape) == len(set(found.partner[paired]))
+        assert found.total == pytest.approx(weight[np.flatnonzero(paired), found.partner[paired]].sum())
+        assert found.total == pytest.approx(found.row_price.sum() + found.column_price.sum())
+        assert (weight <= found.row_price[:, None] + found.column_price[None, :] + 1e-9).all()
+        if weight.shape[0] != weight.shape[1]:
+            longer = found.row_price if weight.shape[0] > weight.shape[1] else found.column_price
+            assert (longer >= -1e-9).all()

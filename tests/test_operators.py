@@ -151,3 +151,27 @@ def test_plans_have_no_cross_join_and_no_python_where_columns_do(spark, small_di
 
 def test_fixed_thresholds():
     assert (fixed.MIN_GRADED_ROWS, fixed.CLUSTER_MIN_SAMPLES, fixed.GROUND_TRUTH_LIMIT) == (10, 5, 100)
+
+
+def test_false_certificates_are_found(spark):
+    from markwise.operators.alignment import alignment_certificates, checked_certificates
+
+    vocabulary = spark.createDataFrame(
+        [("red", [1.0, 0.0]), ("pink", [0.9, 0.1]), ("blue", [0.0, 1.0]), ("navy", [0.2, 0.8]), ("sky", [0.4, 0.6])],
+        "word string, vector array<float>")
+    rows = spark.createDataFrame(
+        [(1, "l", ["pink", "navy", "odd"]), (2, "l", ["sky"]), (3, "l", ["odd", "sky", "navy", "pink"])], "row_id int, lesson string, tokens array<string>")
+    ideals = spark.createDataFrame([("l", ["red", "blue", "new"])], "lesson string, ideal_tokens array<string>")
+    found = alignment_certificates(rows, ideals, vocabulary, "row_id", ["lesson"], 2).cache()
+
+    def feasible(certificates):
+        checked = checked_certificates(certificates, ideals, vocabulary, "row_id", ["lesson"]).collect()
+        return {r.row_id: r.feasible and abs(r.primal - r.dual) < 1e-6 for r in checked}
+
+    assert feasible(found) == {1: True, 2: True, 3: True}
+    lowered = found.withColumn("ideal_prices", F.transform("ideal_prices", lambda p: p - 0.1))
+    assert not any(feasible(lowered).values())
+    swapped = found.withColumn("partner", F.reverse("partner"))
+    assert not feasible(swapped)[1]
+    doubled = found.withColumn("partner", F.transform("partner", lambda _: F.lit(0)))
+    assert not feasible(doubled)[1] and not feasible(doubled)[3]
