@@ -165,12 +165,26 @@ def composite_streaming(spark, sf_dir):
         "answer_id", "r.exp_num", "r.evaluation", F.round("r.score", 6).alias("score"), "source")
 
 
-@query("streaming_job_ledger", "SELECT user_id // 2 AS job_id, arg_max(CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'IN_PROGRESS' WHEN 'click' THEN 'IN_PROGRESS' "
-       "WHEN 'purchase' THEN 'SUCCESS' ELSE 'FAILURE' END, event_id) AS status, count(*) AS n_events FROM events GROUP BY 1")
+# a job's records: the first begins with its first event, the next with the first event 20 days or more later
+_LEDGER = """WITH RECURSIVE j AS (
+  SELECT user_id // 2 AS job_id, epoch_ms(ts) // 1000 AS s, event_id, ts, CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'IN_PROGRESS'
+    WHEN 'click' THEN 'IN_PROGRESS' WHEN 'purchase' THEN 'SUCCESS' ELSE 'FAILURE' END AS status FROM events),
+begun(job_id, s, k) AS (
+  SELECT job_id, min(s), 0 FROM j GROUP BY job_id
+  UNION ALL SELECT job_id, s, k + 1 FROM (
+    SELECT b.job_id, b.k, (SELECT min(j.s) FROM j WHERE j.job_id = b.job_id AND j.s >= b.s + 20 * 86400) AS s FROM begun b) WHERE s IS NOT NULL),
+owned AS (SELECT j.*, (SELECT max(b.s) FROM begun b WHERE b.job_id = j.job_id AND b.s <= j.s) AS began FROM j)
+SELECT job_id, began, arg_max(status, (ts, event_id)) AS status, count(*) AS n_events,
+  (began + 20 * 86400) * 1000 <= (SELECT max(epoch_ms(ts)) - 3600000 FROM events) OR EXISTS (SELECT 1 FROM begun b WHERE b.job_id = owned.job_id AND b.s > began) AS expired
+FROM owned GROUP BY job_id, began"""
+
+
+@query("streaming_job_ledger", _LEDGER)
 def streaming_job_ledger(spark, sf_dir):
+    """All records that jobs ever had, the last ones with what has become of them."""
     schema = b.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    updates = ledger_stream(job_events(events).withColumn("at", F.col("at").cast("timestamp")), days=365)
+    updates = ledger_stream(job_events(events).withColumn("at", F.col("at").cast("timestamp")))
     path = fresh_path(spark, "ledger")
     stream = (
         updates.writeStream.outputMode("update")
@@ -178,5 +192,6 @@ def streaming_job_ledger(spark, sf_dir):
         .option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start()
     )
     stream.awaitTermination()
-    latest = spark.read.parquet(path).filter("NOT expired").groupBy("job_id").agg(F.max_by(F.struct("status", "n_events"), "batch").alias("l"))
-    return latest.select("job_id", "l.status", "l.n_events")
+    began = F.unix_seconds("created").alias("began")
+    latest = spark.read.parquet(path).groupBy("job_id", began).agg(F.max_by(F.struct("status", "n_events", "expired"), F.struct("batch", "expired")).alias("l"))
+    return latest.select("job_id", "began", "l.status", "l.n_events", "l.expired")

@@ -6,6 +6,7 @@ import json
 import pytest
 
 from markwise.streaming.composite import composite_stream
+from markwise.streaming.ledger import ledger_stream
 
 ANSWERS = "answer_id string, asked timestamp, regression array<struct<exp_num: string, evaluation: string, score: double>>"
 RESPONSES = "answer_id string, lesson string, came timestamp, response string, n_concepts int"
@@ -64,3 +65,44 @@ def test_grader_wins_only_in_time(spark, tmp_path, feed):
     last = run()
     regressed = {(name, "regression", ("Bad", "Bad")) for name in ("late", "never", "broken", "short")}
     assert last == regressed | {("quick", "grader", ("Good", "Bad")), ("edge", "grader", ("Good", "Good"))}
+
+
+def test_ledger_records_expire_and_begin_again(spark, tmp_path, feed):
+    events, send = feed("events", "job_id bigint, status string, at timestamp, event_id bigint")
+    day = 86_400
+    updates = ledger_stream(events)
+    seen = []
+
+    def run():
+        stream = (
+            updates.writeStream.outputMode("update").foreachBatch(lambda batch, n: seen.extend(batch.collect()))
+            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        stream.awaitTermination()
+        rows = {(r.job_id, r.status, r.n_events, r.expired) for r in seen}
+        seen.clear()
+        return rows
+
+    send([(1, "QUEUED", at(0.5), 1), (1, "IN_PROGRESS", at(0.75), 2), (2, "QUEUED", at(5 * day), 3)])
+    assert run() == {(1, "IN_PROGRESS", 2, False), (2, "QUEUED", 1, False)}
+    # out of order within the batch; job 1 is told of on the last second of its life
+    send([(2, "SUCCESS", at(19 * day), 9), (2, "IN_PROGRESS", at(6 * day), 4), (1, "SUCCESS", at(20 * day - 0.25), 10)])
+    assert run() == {(1, "SUCCESS", 3, False), (2, "SUCCESS", 3, False)}
+    # the watermark passes job 1; job 2 begins again after its end, within one batch
+    send([(2, "FAILURE", at(24 * day), 11), (2, "QUEUED", at(25 * day), 12), (3, "QUEUED", at(25 * day + 7200), 13)])
+    assert run() == {(1, "SUCCESS", 3, True), (2, "FAILURE", 4, True), (2, "QUEUED", 1, False), (3, "QUEUED", 1, False)}
+    send([(4, "QUEUED", at(60 * day), 14), (1, "QUEUED", at(60 * day), 15)])
+    assert run() == {(2, "QUEUED", 1, True), (3, "QUEUED", 1, True), (4, "QUEUED", 1, False), (1, "QUEUED", 1, False)}
+
+
+def test_parts_of_a_second_are_combined():
+    import pandas as pd
+
+    from markwise.streaming.ledger import combined
+
+    rows = [(7, at(3), at(3.5), at(3.5), 2, "IN_PROGRESS", 1), (7, at(3), at(3.1), at(3.1), 1, "QUEUED", 1), (7, at(4), at(4), at(4), 3, "SUCCESS", 1)]
+    names = ["job_id", "second", "first", "at", "event_id", "status", "n"]
+    (got,) = combined(iter([pd.DataFrame(rows, columns=names)]))
+    assert [tuple(r) for r in got.itertuples(index=False)] == [
+        (7, at(3), at(3.1), at(3.5), 2, "IN_PROGRESS", 2), (7, at(4), at(4), at(4), 3, "SUCCESS", 1),
+    ]
