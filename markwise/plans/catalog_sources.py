@@ -9,7 +9,7 @@ from markwise.plans import bindings as b
 from markwise.plans import oracle as o
 from markwise.plans.registry import query
 from markwise.session import fresh_path
-from markwise.sources import lesson_config, lesson_json, model_store, training_csv
+from markwise.sources import lesson_config, lesson_json, model_store, training_csv, versions
 
 
 @query("training_csv_scan", o.with_(o.RAW) + "SELECT exp_num, label, md5(text) AS text, length(text) AS n_chars FROM raw")
@@ -101,6 +101,44 @@ def model_store_save(spark, sf_dir):
     return model_store.load(spark, path, STORED).select("arch", "lesson", "exp_num", "n", "chars", "version")
 
 
+_SHOWN = """shown AS (
+  SELECT 'models' AS kind, lesson, exp_num, n AS value FROM models
+  UNION ALL SELECT 'configs', lesson, exp_num, length(ideal) FROM expect)"""
+_READERS = """SELECT 'first' AS reader, kind, lesson, exp_num, value, 1 AS publish FROM shown
+UNION ALL SELECT 'second', kind, lesson, exp_num, CASE WHEN lesson IN ('en', 'fr') THEN 2 * value ELSE value END, CASE WHEN lesson IN ('en', 'fr') THEN 2 ELSE 1 END FROM shown
+UNION ALL SELECT 'third', kind, lesson, exp_num, CASE WHEN lesson = 'fr' THEN 2 * value ELSE value END, CASE WHEN lesson = 'fr' THEN 2 ELSE 1 END FROM shown WHERE lesson <> 'en'"""
+
+
+@query("store_versions", o.with_(o.RAW, o.EXPECT, MODELS, _SHOWN) + _READERS)
+def store_versions(spark, sf_dir):
+    """Three readers of one store: before and after two lessons are published again,
+    and after one is removed. The first keeps its version although the second publish
+    is complete when it reads; data of an unfinished publish is seen by none."""
+    root = fresh_path(spark, "store")
+    schema = "exp_num string, value bigint, publish int"
+
+    def shown(factor, publish):
+        models = _counted_models(spark, sf_dir, 1).withColumn("value", F.col("n") * factor)
+        configs = b.expectations(spark, sf_dir).select(F.lit(fixed.ARCH_REGRESSION).alias("arch"), "lesson", "exp_num", (F.length("ideal") * factor).cast("bigint").alias("value"))
+        return {k: t.select("arch", "lesson", "exp_num", "value", F.lit(publish).alias("publish")) for k, t in (("models", models), ("configs", configs))}
+
+    versions.publish(shown(1, 1), root)
+    pins = {"first": versions.pinned(spark, root)}
+    again = {k: t.filter(F.col("lesson").isin("en", "fr")) for k, t in shown(2, 2).items()}
+    versions.publish(again, root)
+    versions.write_data(shown(3, 3), root, versions.new_version())
+    pins["second"] = versions.pinned(spark, root)
+    versions.remove(again["models"].filter("lesson = 'en'"), root)
+    pins["third"] = versions.pinned(spark, root)
+    out = None
+    for reader, pin in pins.items():
+        for kind in ("models", "configs"):
+            rows = versions.load(pin, root, kind, schema).select(
+                F.lit(reader).alias("reader"), F.lit(kind).alias("kind"), "lesson", "exp_num", "value", "publish")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("lesson_export", o.with_(o.RAW, o.EXPECT) + "SELECT r.lesson, r.exp_num, count(*) AS n, sum(length(r.text)) AS chars, max(md5(e.ideal)) AS ideal "
        "FROM raw r JOIN expect e USING (lesson, exp_num) GROUP BY ALL")
 def lesson_export(spark, sf_dir):

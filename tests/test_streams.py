@@ -5,7 +5,9 @@ import json
 
 import pytest
 
+from markwise.sources import versions
 from markwise.streaming.composite import composite_stream
+from markwise.streaming.evaluate import evaluate_stream
 from markwise.streaming.ledger import ledger_stream
 
 ANSWERS = "answer_id string, asked timestamp, regression array<struct<exp_num: string, evaluation: string, score: double>>"
@@ -106,3 +108,65 @@ def test_parts_of_a_second_are_combined():
     assert [tuple(r) for r in got.itertuples(index=False)] == [
         (7, at(3), at(3.1), at(3.5), 2, "IN_PROGRESS", 2), (7, at(4), at(4), at(4), 3, "SUCCESS", 1),
     ]
+
+
+MODEL = "exp_num string, coef array<double>, intercept double"
+CONFIG = "exp_num string, pos int, question string, ideal string, good array<string>, bad array<string>"
+
+
+def test_stream_scores_with_the_models_of_its_batch(spark, tmp_path, feed):
+    root = str(tmp_path / "store")
+    vocabulary = spark.createDataFrame([("red", [1.0, 0.0]), ("blue", [0.0, 1.0])], "word string, vector array<double>")
+
+    def trained(lessons, intercept):
+        models = [("lr2", lesson, e, [0.0] * 7, intercept) for lesson, e in lessons]
+        configs = [("lr2", lesson, e, 0, "q", "red", [], []) for lesson, e in lessons if lesson != "default"]
+        versions.publish({
+            "models": spark.createDataFrame(models, f"arch string, lesson string, {MODEL}"),
+            "configs": spark.createDataFrame(configs, f"arch string, lesson string, {CONFIG}"),
+        }, root)
+
+    def make(pin):
+        models = versions.load(pin, root, "models", MODEL)
+        return versions.load(pin, root, "configs", CONFIG).drop("arch"), models, vocabulary
+
+    tables = versions.FreshTables(spark, root, make)
+    answers, ask = feed("answers", "answer_id string, lesson string, exp_num string, text string")
+
+    def run():
+        evaluate_stream(answers, tables, str(tmp_path / "r"), str(tmp_path / "x"), str(tmp_path / "state"), once=True).awaitTermination()
+        return {(r.answer_id, r.evaluation) for r in spark.read.parquet(str(tmp_path / "r")).collect()}
+
+    trained([("a", "0"), ("b", "0"), ("default", "")], -1.0)
+    ask([("a1", "a", None, "red"), ("b1", "b", None, "blue")])
+    assert run() == {("a1", "Bad"), ("b1", "Bad")}
+    trained([("a", "0")], 1.0)  # between two batches; b keeps its models
+    ask([("a2", "a", None, "red"), ("b2", "b", None, "blue")])
+    assert run() == {("a1", "Bad"), ("b1", "Bad"), ("a2", "Good"), ("b2", "Bad")}
+    assert tables.renewed == 2
+    ask([("a3", "a", None, "red")])
+    assert ("a3", "Good") in run() and tables.renewed == 2
+
+
+def test_a_reader_between_two_writes_sees_one_version(spark, tmp_path):
+    root = str(tmp_path / "store")
+    assert versions.current(spark, root).isEmpty()
+
+    def rows(lessons, n):
+        return spark.createDataFrame([("lr2", lesson, n) for lesson in lessons], "arch string, lesson string, n int")
+
+    def seen(pin, table):
+        return {(r.lesson, r.n) for r in versions.load(pin, root, table, "n int").collect()}
+
+    versions.publish({"models": rows("ab", 1), "truths": rows("ab", 1)}, root)
+    half = versions.new_version()
+    versions.write_data({"models": rows("a", 2)}, root, half)
+    before = versions.pinned(spark, root)
+    versions.write_data({"truths": rows("a", 2)}, root, half)
+    versions.write_manifest(rows("a", 2), root, half)
+    after = versions.pinned(spark, root)
+    for table in ("models", "truths"):
+        assert seen(before, table) == {("a", 1), ("b", 1)}
+        assert seen(after, table) == {("a", 2), ("b", 1)}
+    versions.remove(rows("b", 0), root)
+    assert seen(versions.pinned(spark, root), "truths") == {("a", 2)}
