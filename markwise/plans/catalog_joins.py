@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markwise.functions import text
-from markwise.operators import alignment, density, embedding, evaluation, lookup, training_rows
+from markwise.operators import alignment, density, embedding, evaluation, lookup, nearest, training_rows
 from markwise.plans import bindings as b
 from markwise.plans import oracle as o
 from markwise.plans.registry import query
@@ -103,6 +103,17 @@ def radius_neighbours(spark, sf_dir):
     return density.neighbour_counts(points, ["label"], 1.3).select("label", F.col("id").alias("vec_id"), "n")
 
 
+@query("nearest_in_radius", "WITH e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
+       "d AS (SELECT a.label, a.vec_id, b.vec_id AS other, list_distance(a.v, b.v) AS far FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id) "
+       "SELECT label, vec_id, arg_min(other, (far, other)) AS neighbour, round(min(far), 6) AS distance FROM d WHERE far <= 1.3 GROUP BY ALL")
+def nearest_in_radius(spark, sf_dir):
+    """The nearest other point of each point's label, if it lies in the radius."""
+    points = b.table(spark, sf_dir, "embeddings").select(
+        "label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return nearest.nearest_within(points, ["label"], 1.3).select(
+        "label", F.col("id").alias("vec_id"), "neighbour", F.round("distance", 6).alias("distance"))
+
+
 @query("leftover_words", o.with_(o.RAW, o.EXPECT) + "SELECT lesson, exp_num, row_id, len(list_intersect(t, i)) AS n_shared, "
        "len(list_filter(t, lambda w: NOT list_contains(i, w))) AS n_answer_left, len(list_filter(i, lambda w: NOT list_contains(t, w))) AS n_ideal_left, "
        "md5(array_to_string(list_sort(list_filter(i, lambda w: NOT list_contains(t, w))), ' ')) AS ideal_left FROM "
