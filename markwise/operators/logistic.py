@@ -79,6 +79,8 @@ _STATE = (
 
 
 _VARIANT = ["variant", "w_bad", "w_good", "trial"]
+#: Variants that leave out the rows whose ``fold`` is the number behind this.
+_FOLD = "fold:"
 
 
 def _packed(state: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -97,7 +99,10 @@ def _partial_sums(keys: list[str]):
                 x, y = _matrix(group["x"]), group["y"].to_numpy(dtype=float)
                 first = group.iloc[0]
                 for variant, w_bad, w_good, trial in zip(*[first[name] for name in _VARIANT]):
-                    loss, gradient, hessian = newton.sums(x, y, np.where(y == 1, w_good, w_bad), np.asarray(trial))
+                    weight = np.where(y == 1, w_good, w_bad)
+                    if variant.startswith(_FOLD):
+                        weight = weight * (group["fold"].to_numpy() != int(variant[len(_FOLD) :]))
+                    loss, gradient, hessian = newton.sums(x, y, weight, np.asarray(trial))
                     part = np.concatenate([[loss], gradient, hessian.ravel()])
                     totals[(*key, variant)] = totals.get((*key, variant), 0) + part
             if len(totals) > 10_000:
@@ -117,7 +122,8 @@ def _as_frame(totals: dict[tuple, np.ndarray], keys: list[str]) -> pd.DataFrame:
 def _sums_at_trial(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     packed = _packed(state, keys, _VARIANT)
     joined = salted_join(rows, packed, keys, "row_id", "inner")
-    parts = joined.select(*keys, "y", "x", *_VARIANT).mapInPandas(
+    folds = ["fold"] if "fold" in rows.columns else []
+    parts = joined.select(*keys, "y", "x", *folds, *_VARIANT).mapInPandas(
         _partial_sums(keys), f"{_key_schema(rows, keys)}, variant string, part array<double>"
     )
     cells = parts.select(*keys, "variant", F.posexplode("part").alias("cell", "value"))
@@ -148,7 +154,8 @@ def _advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 scale = row["scale"] / 2
                 row.update(scale=scale, trial=np.asarray(row["beta"]) - scale * np.asarray(row["step"]))
-                row["done"] = scale < 1e-6
+                at_best = np.asarray(row["hessian"]).reshape(d, d) @ np.asarray(row["step"])
+                row["done"] = newton.stalled(row["loss"], at_best, np.asarray(row["step"]), scale)
             out.append({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in row.items()})
         yield pd.DataFrame(out, columns=[c for c in batch.columns if c != "sums"])
 
@@ -188,19 +195,19 @@ def _fresh_state(counts: DataFrame, keys: list[str], width: DataFrame) -> DataFr
         )
 
     variants = F.array(variant("all", 0, 0), variant("out0", 1, 0), variant("out1", 0, 1))
-    return (
-        counts.join(width, keys)
-        .select(*keys, "d", F.inline(variants))
-        .filter("w_bad IS NOT NULL AND w_good IS NOT NULL")
-        .select(
-            *keys, "variant", "w_bad", "w_good",
-            F.lit(None).cast("array<double>").alias("out_x"), F.lit(None).cast("double").alias("out_y"),
-            F.lit(None).cast("double").alias("out_w"),
-            F.array_repeat(F.lit(0.0), F.col("d").cast("int")).alias("trial"),
-            F.lit(None).cast("array<double>").alias("beta"), F.lit(None).cast("double").alias("loss"),
-            F.lit(None).cast("array<double>").alias("step"), F.lit(1.0).alias("scale"),
-            F.lit(None).cast("array<double>").alias("hessian"), F.lit(False).alias("done"),
-        )
+    return _from_zero(counts.join(width, keys).select(*keys, "d", F.inline(variants)), keys)
+
+
+def _from_zero(variants: DataFrame, keys: list[str]) -> DataFrame:
+    """The state in which Newton begins, of (keys…, d, variant, w_bad, w_good)."""
+    return variants.filter("w_bad IS NOT NULL AND w_good IS NOT NULL").select(
+        *keys, "variant", "w_bad", "w_good",
+        F.lit(None).cast("array<double>").alias("out_x"), F.lit(None).cast("double").alias("out_y"),
+        F.lit(None).cast("double").alias("out_w"),
+        F.array_repeat(F.lit(0.0), F.col("d").cast("int")).alias("trial"),
+        F.lit(None).cast("array<double>").alias("beta"), F.lit(None).cast("double").alias("loss"),
+        F.lit(None).cast("array<double>").alias("step"), F.lit(1.0).alias("scale"),
+        F.lit(None).cast("array<double>").alias("hessian"), F.lit(False).alias("done"),
     )
 
 
@@ -306,3 +313,70 @@ def _fit_large(features: DataFrame, counts: DataFrame, keys: list[str]) -> DataF
             (F.col("hits") / F.col("n_rows")).alias("accuracy"),
         )
     )
+
+
+# --- many fits of the same rows in one plan ---------------------------------
+
+
+def replicated_fits(features: DataFrame, keys: list[str], factors: list[int]) -> DataFrame:
+    """(keys…, factor, n_rows, coef, intercept): the models of every row repeated ``factor`` times.
+
+    A row that is there r times pulls with r times its weight, and class balance
+    stays as it is. So no row is copied: all factors are variants of one Newton
+    plan that reads the rows once per step. Keys with one class have no model.
+    """
+    counts = written(class_counts(features, keys).filter("n_good > 0 AND n_good < n_rows"), "counts")
+    rows = salted_join(features.select(*keys, *ROW, "y", "x"), counts.select(*keys), keys, "row_id", "left_semi")
+    width = rows.groupBy(*keys).agg((F.max(F.size("x")) + 1).alias("d"))
+
+    def variant(factor: int):
+        bad = factor * F.col("n_rows") / (2 * (F.col("n_rows") - F.col("n_good")))
+        good = factor * F.col("n_rows") / (2 * F.col("n_good"))
+        return F.struct(F.lit(str(factor)).alias("variant"), bad.alias("w_bad"), good.alias("w_good"))
+
+    variants = counts.join(width, keys).select(*keys, "d", F.inline(F.array(*[variant(f) for f in factors])))
+    fitted = _minimise(rows, written(_from_zero(variants, keys), "state"), keys)
+    n = F.size("beta")
+    return fitted.join(counts, keys).select(
+        *keys, F.col("variant").cast("int").alias("factor"), "n_rows",
+        F.slice("beta", F.lit(1), n - 1).alias("coef"), F.element_at("beta", -1).alias("intercept"),
+    )
+
+
+def fold_of(folds: int, seed: int):
+    """The fold of a row, by its identity alone: the same however the rows lie."""
+    return F.pmod(F.xxhash64(F.lit(seed), *ROW), F.lit(folds)).cast("int")
+
+
+def k_fold_hits(features: DataFrame, keys: list[str], folds: int = 10, seed: int = 0) -> DataFrame:
+    """(keys…, n_rows, hits): rows that the model of the other folds gets right.
+
+    Class weights are those of the other folds. All folds are variants of one
+    Newton plan: a step reads every row once and adds it to the sums of all folds
+    but its own. ``hits`` is null where the rows outside some fold have one class only.
+    Unlike leaving out one row, the number depends on the seed.
+    """
+    marked = written(features.select(*keys, *ROW, "y", "x").withColumn("fold", fold_of(folds, seed)), "folds")
+    totals = class_counts(marked, keys)
+    own = marked.groupBy(*keys, "fold").agg(F.count(F.lit(1)).alias("out_rows"), F.sum("y").alias("out_good"))
+    width = marked.groupBy(*keys).agg((F.max(F.size("x")) + 1).alias("d"))
+    n, good = F.col("n_rows") - F.col("out_rows"), F.col("n_good") - F.col("out_good")
+    variants = own.join(totals, keys).join(width, keys).select(
+        *keys, "d", F.concat(F.lit(_FOLD), "fold").alias("variant"),
+        F.try_divide(n, 2 * (n - good)).alias("w_bad"), F.try_divide(n, 2 * good).alias("w_good"),
+    )
+    variants = written(variants, "variants")
+    one_class = variants.filter("w_bad IS NULL OR w_good IS NULL").select(*keys).distinct().withColumn("_broken", F.lit(True))
+    state = written(_from_zero(variants.join(one_class, keys, "left_anti"), keys), "state")
+    wanted = totals.select(*keys, "n_rows").join(one_class, keys, "left")
+    if state.isEmpty():
+        return wanted.select(*keys, "n_rows", F.lit(None).cast("bigint").alias("hits"))
+    fitted = _minimise(marked, state, keys).select(
+        *keys, F.substring("variant", len(_FOLD) + 1, 10).cast("int").alias("fold"), "beta"
+    )
+    joined = salted_join(marked, fitted, [*keys, "fold"], "row_id", "inner")
+    z = F.aggregate(
+        F.zip_with(F.concat("x", F.array(F.lit(1.0))), "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
+    )
+    hits = joined.groupBy(*keys).agg(F.sum(((z > 0) == (F.col("y") == 1)).cast("bigint")).alias("hits"))
+    return wanted.join(hits, keys, "left").select(*keys, "n_rows", "hits")

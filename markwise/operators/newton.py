@@ -10,6 +10,8 @@ import numpy as np
 
 #: Of the loss: how much a last full step would still have gained.
 TOLERANCE = 1e-18
+#: The same for a search that rounding brings to a stand; beyond it, it failed.
+STALLED = 1e-12
 #: Evaluations of the objective, step halvings included.
 MAX_STEPS = 100
 
@@ -41,12 +43,21 @@ def converged(loss: float, gradient: np.ndarray, step: np.ndarray) -> bool:
     return float(gradient @ step) <= TOLERANCE * (1 + abs(loss))
 
 
+def stalled(loss: float, gradient: np.ndarray, step: np.ndarray, scale: float) -> bool:
+    """Whether steps have become too short to go on; an error where the optimum is not near."""
+    if scale >= 1e-6:
+        return False
+    if float(gradient @ step) > STALLED * (1 + abs(loss)):
+        raise RuntimeError("the search for the optimum came to a stand before it")
+    return True
+
+
 def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
     beta = np.zeros(x.shape[1]) if start is None else start.copy()
     loss, gradient, hessian = penalised(beta, *sums(x, y, w, beta))
     step, scale = np.linalg.solve(hessian, gradient), 1.0
     for _ in range(MAX_STEPS):
-        if converged(loss, gradient, step) or scale < 1e-6:
+        if converged(loss, gradient, step) or stalled(loss, gradient, step, scale):
             return beta
         trial = beta - scale * step
         values = penalised(trial, *sums(x, y, w, trial))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from markwise import fixed_values as fixed
 from markwise.functions import text, vectors
-from markwise.operators import assembly, embedding, evaluation, ledger, lookup, scoring, training_rows
+from markwise.operators import assembly, embedding, evaluation, ledger, logistic, lookup, scoring, training_rows
 from markwise.operators.alignment import alignment_certificates, checked_certificates, leftover_words, word_alignment
 from markwise.plans import bindings as b
 from markwise.plans import oracle as o
@@ -268,7 +268,7 @@ def model_fit_optimality(spark, sf_dir):
     The gradient is summed by Spark from the feature rows and the published
     coefficients, apart from the solver.
     """
-    trained = _trained(spark, sf_dir, 0)
+    trained = _trained(spark, sf_dir, fixed.TRAIN_QUALITY)
     classes = trained.features.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_good"))
     rows = lookup.salted_join(trained.features, trained.models.join(classes, KEYS), KEYS, "row_id", "inner")
     z = scoring.decision(F.col("x"), F.col("coef"), F.col("intercept"))
@@ -283,7 +283,7 @@ def model_fit_optimality(spark, sf_dir):
 
 @query("leave_one_out_accuracy")
 def leave_one_out_accuracy(spark, sf_dir):
-    models = _trained(spark, sf_dir, 0).models
+    models = _trained(spark, sf_dir, fixed.TRAIN_QUALITY).models
     return models.select(*KEYS, "n_rows", F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -299,13 +299,13 @@ def train_all_lessons(spark, sf_dir):
 
 
 @query("train_quality_switch", TRAIN + "SELECT lesson, exp_num, q AS quality, 7 AS n_base, q >= 1 AS archetypes, q > 1 AS patterns "
-       "FROM (SELECT DISTINCT lesson, exp_num FROM train), (SELECT unnest([0, 1]) AS q)")
+       "FROM (SELECT DISTINCT lesson, exp_num FROM train), (SELECT unnest([0, 1, 2]) AS q)")
 def train_quality_switch(spark, sf_dir):
-    """Feature widths and stored flags at qualities 0 and 1."""
+    """Feature widths and stored flags at qualities 0, 1 and 2."""
     out = None
-    for quality in (0, 1):
+    for quality in (0, 1, 2):
         trained = _trained(spark, sf_dir, quality)
-        extra = F.size("archetype_good") + F.size("archetype_bad")
+        extra = F.size("archetype_good") + F.size("archetype_bad") + F.size("patterns_good") + F.size("patterns_bad")
         width = trained.features.groupBy(*KEYS).agg(F.max(F.size("x")).alias("w"))
         part = trained.configs.join(width, KEYS).select(
             *KEYS, F.lit(quality).alias("quality"), (F.col("w") - extra).alias("n_base"),
@@ -314,6 +314,29 @@ def train_quality_switch(spark, sf_dir):
     return out
 
 
+@query("replication_experiment", TRAIN + "SELECT lesson, exp_num, factor, max(factor) * count(*) AS n_rows, true AS loss_falls, true AS confidence_rises "
+       "FROM train, (SELECT unnest([1, 2, 4, 8]) AS factor) GROUP BY ALL HAVING count(DISTINCT label) = 2")
+def replication_experiment(spark, sf_dir):
+    """Training on every row 1, 2, 4 and 8 times: loss and confidence by factor."""
+    features = _trained(spark, sf_dir, fixed.TRAIN_QUALITY).features
+    found = written(evaluation.replication_experiment(features, KEYS, [1, 2, 4, 8]), "replication")
+    before = found.select(*KEYS, (F.col("factor") * 2).alias("factor"), F.col("loss").alias("loss_before"), F.col("confidence").alias("confidence_before"))
+    both = found.join(before, [*KEYS, "factor"], "left")
+    return both.select(
+        *KEYS, "factor", "n_rows",
+        F.coalesce(F.col("loss") <= F.col("loss_before") + 1e-9, F.lit(True)).alias("loss_falls"),
+        F.coalesce(F.col("confidence") >= F.col("confidence_before") - 1e-9, F.lit(True)).alias("confidence_rises"))
+
+
+@query("k_fold_accuracy")
+def k_fold_accuracy(spark, sf_dir):
+    """Accuracy over ten seeded folds, next to that of leaving out one row."""
+    trained = _trained(spark, sf_dir, fixed.TRAIN_QUALITY)
+    found = logistic.k_fold_hits(trained.features, KEYS, 10)
+    rows = trained.models.select(*KEYS, F.round("accuracy", 6).alias("leave_one_out")).join(found, KEYS)
+    return rows.select(*KEYS, "n_rows", F.round(F.col("hits") / F.col("n_rows"), 6).alias("accuracy"), "leave_one_out")
+
+
 @query("default_model_training")
 def default_model_training(spark, sf_dir):
     training, expectations = inputs(spark, sf_dir)
@@ -401,7 +424,7 @@ def answer_decision(spark, sf_dir):
     return scored.select("answer_id", "exp_num", "evaluation", F.round("score", 6).alias("score"))
 
 
-def evaluated(spark, sf_dir, quality=0):
+def evaluated(spark, sf_dir, quality=fixed.TRAIN_QUALITY):
     training, expectations = inputs(spark, sf_dir)
     vocabulary = stored_vocabulary(spark, sf_dir)
     trained = t.train(training, expectations, vocabulary, t.TrainingOptions(quality=quality))

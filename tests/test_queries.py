@@ -11,7 +11,7 @@ from check import TABLES, normal
 SF = "/root/testdata/sf0.001"
 SQL = oracle_sql()
 # plans that train models; check.py compares them
-HEAVY = {"train_quality_switch", "model_fit_optimality"}
+HEAVY = {"train_quality_switch", "model_fit_optimality", "replication_experiment"}
 LLM = {name for name in SQL if re.match(r"op\d+_", name)}  # tests/llm
 
 
