@@ -59,7 +59,7 @@ BRANCHES = 32
 BROADCAST_BYTES, BYTES_PER_KEY = 128 << 20, 24
 #: Distinct pairs that a task holds before it passes them on.
 PAIRS_HELD = 1 << 20
-#: Characters that are tokenised, and tokens that are aligned, at a time.
+#: Characters that are tokenised, and bytes of packed ids that are aligned, at a time.
 AT_ONCE = 1 << 20
 
 
@@ -105,16 +105,23 @@ def slices(items: list, bound: int) -> Iterator[list]:
         yield some
 
 
+def kinds_of(a: BytePairs, b: Pieces) -> tuple[str, str]:
+    """The numbers that the ids of each side are packed in, of 16 or 32 bits, little-endian."""
+    one, other = ("<u2" if len(side.vocabulary) <= 1 << 16 else "<u4" for side in (a, b))
+    return one, other
+
+
 def tokens_of(texts: list[str | None], a: BytePairs, b: Pieces) -> list[tuple[bytes, bytes]]:
-    """Ids of both sides per text, as little-endian 32-bit numbers."""
+    """Packed ids of both sides per text. Those of A always spell the text; B's may not."""
     found = []
+    kind_a, kind_b = kinds_of(a, b)
     for some in slices([t or "" for t in texts], AT_ONCE):
         for text, ids_b in zip(some, b.encode(some), strict=True):
-            spelt = f" {text}".encode()
-            ids_a = a.encode(" " + text) if text else []
-            if not text or a.decode(ids_a) != spelt or b.decode(ids_b) != spelt:
-                ids_a = ids_b = []
-            found.append((np.array(ids_a, "<u4").tobytes(), np.array(ids_b, "<u4").tobytes()))
+            spelt = f" {text}"
+            if text and b.decode(ids_b) == spelt.encode():
+                found.append((a.encode_array(spelt).astype(kind_a).tobytes(), np.array(ids_b, kind_b).tobytes()))
+            else:
+                found.append((b"", b""))
     return found
 
 
@@ -132,17 +139,26 @@ class Alignment:
         return self.b[self.shared_b].astype(np.uint64) << np.uint64(32) | self.a[self.shared_a]
 
 
-def align(ids_a: bytes, ids_b: bytes, length_a: np.ndarray, length_b: np.ndarray) -> Alignment:
-    a, b = np.frombuffer(ids_a, "<u4"), np.frombuffer(ids_b, "<u4")
-    if not len(a):
-        none = np.zeros(0, bool)
-        return Alignment(a, b, none, none)
-    end_a, end_b = np.cumsum(length_a[a]), np.cumsum(length_b[b])
-    place = np.searchsorted(end_b, end_a)
-    shared_a = end_b[np.minimum(place, len(b) - 1)] == end_a
-    shared_b = np.zeros(len(b), bool)
-    shared_b[place[shared_a]] = True
-    return Alignment(a, b, shared_a, shared_b)
+class Aligner:
+    """Aligns packed ids by the lengths of their tokens in bytes."""
+
+    def __init__(self, path_a: str, path_b: str):
+        a, b = load(path_a), load_pieces(path_b)
+        self.kinds = kinds_of(a, b)
+        self.sizes = len(a.vocabulary), len(b.vocabulary)
+        self.length_a, self.length_b = lengths(a.vocabulary), lengths(b.vocabulary)
+
+    def align(self, ids_a: bytes, ids_b: bytes) -> Alignment:
+        a, b = np.frombuffer(ids_a, self.kinds[0]), np.frombuffer(ids_b, self.kinds[1])
+        if not len(a):
+            none = np.zeros(0, bool)
+            return Alignment(a, b, none, none)
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        place = np.searchsorted(end_b, end_a)
+        shared_a = end_b[np.minimum(place, len(b) - 1)] == end_a
+        shared_b = np.zeros(len(b), bool)
+        shared_b[place[shared_a]] = True
+        return Alignment(a, b, shared_a, shared_b)
 
 
 class Writer:
@@ -150,7 +166,10 @@ class Writer:
 
     def __init__(self, n_a: int, n_b: int):
         self.n_a = n_a
-        self.spelt = [f"{i}{mark}".encode() for n, last in ((n_a, "|"), (n_b, ";")) for i in range(n) for mark in (",", last)]
+        # of one width, filled up with zero bytes
+        self.spelt = np.array(
+            [f"{i}{mark}".encode() for n, last in ((n_a, "|"), (n_b, ";")) for i in range(n) for mark in (",", last)]
+        )
 
     def write(self, found: Alignment) -> bytes:
         if not len(found.a):
@@ -159,9 +178,9 @@ class Writer:
         group_b = np.cumsum(found.shared_b) - found.shared_b
         ends_a, ends_b = np.flatnonzero(found.shared_a) + 1, np.flatnonzero(found.shared_b) + 1
         codes = np.empty(len(found.a) + len(found.b), np.int64)
-        codes[np.arange(len(found.a)) + np.append(0, ends_b)[group_a]] = 2 * found.a + found.shared_a
+        codes[np.arange(len(found.a)) + np.append(0, ends_b)[group_a]] = 2 * found.a.astype(np.int64) + found.shared_a
         codes[np.arange(len(found.b)) + ends_a[group_b]] = 2 * (self.n_a + found.b.astype(np.int64)) + found.shared_b
-        return b"".join(map(self.spelt.__getitem__, codes.tolist()))[:-1]
+        return self.spelt[codes].tobytes().translate(None, b"\0")[:-1]
 
 
 IDS = T.StructType([T.StructField("ids_a", T.BinaryType()), T.StructField("ids_b", T.BinaryType())])
@@ -183,13 +202,13 @@ def tokenised(df: DataFrame, path_a: str, path_b: str, text: str, keep: list[str
 
 
 def alignments(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[list[Alignment]]:
-    length_a, length_b = lengths(load(path_a).vocabulary), lengths(load_pieces(path_b).vocabulary)
+    aligner = Aligner(path_a, path_b)
     for batch in batches:
         ones, others = batch.column("ids_a").to_pylist(), batch.column("ids_b").to_pylist()
         at = 0
-        for some in slices(ones, 4 * AT_ONCE):
+        for some in slices(ones, AT_ONCE):
             sides = zip(some, others[at : at + len(some)], strict=True)
-            yield [align(one, other, length_a, length_b) for one, other in sides]
+            yield [aligner.align(one, other) for one, other in sides]
             at += len(some)
 
 
@@ -328,19 +347,18 @@ def looked_up(
     names = [field.name for field in outputs]
 
     def make():
-        a, b = load(path_a).vocabulary, load_pieces(path_b).vocabulary
-        length_a, length_b = lengths(a), lengths(b)
-        writer = Writer(len(a), len(b)) if "groups_sha256" in names else None
+        aligner = Aligner(path_a, path_b)
+        writer = Writer(*aligner.sizes) if "groups_sha256" in names else None
         shards, counts = looked.value if looked else (None, None)
         if shards:
-            best = np.zeros(len(b), np.int64)
+            best = np.zeros(aligner.sizes[1], np.int64)
             np.maximum.at(best, (shards.keys >> np.uint64(32)).astype(np.int64), counts)
 
         def work(ids_a, ids_b, n_best, count_sum):
             rows = []
             columns = (ids_a, ids_b, n_best, count_sum)
             for one, other, before, sum_before in zip(*[c.to_pylist() for c in columns], strict=True):
-                found = align(one, other, length_a, length_b)
+                found = aligner.align(one, other)
                 row = {"n_best": before, "count_sum": sum_before}
                 if shards and len(found.a):
                     keys = found.keys()
