@@ -65,6 +65,36 @@ def lesson_config_scan(spark, sf_dir):
         F.col("featureRegexAggregateDisabled").alias("aggregate_disabled"))
 
 
+def _yaml(column):
+    """A text as a quoted YAML scalar on one line."""
+    return F.concat(F.lit("\""), F.replace(F.replace(F.regexp_replace(column, r"\s+", " "), F.lit("\\"), F.lit("\\\\")), F.lit("\""), F.lit("\\\"")), F.lit("\""))
+
+
+@query("lesson_yaml_scan", o.with_(o.RAW, o.EXPECT) + "SELECT lesson, pos, exp_num, md5(trim(regexp_replace(ideal, '\\s+', ' ', 'g'))) AS ideal, array_to_string(good, ' ') AS good, "
+       "exp_num = '1' AS length_ratio, '{\"by\":[\"on\",' || pos || ']}' AS note, length(regexp_replace(ideal, '\\s+', ' ', 'g')) AS ideal_chars, 2 AS n_extras FROM expect")
+def lesson_yaml_scan(spark, sf_dir):
+    """Configs as YAML files, with features under names that have no column; they are
+    read, written as JSON, and read again."""
+    item = F.concat(
+        F.lit("- expectationId: '"), F.col("exp_num"), F.lit("'\n  ideal: "), _yaml("ideal"),
+        F.lit("\n  features:\n    good:\n"), F.array_join(F.transform("good", lambda g: F.concat(F.lit("    - "), _yaml(g))), "\n"),
+        F.lit("\n    featureLengthRatio: "), F.when(F.col("exp_num") == "1", "yes").otherwise("no"),
+        F.lit("\n    note:\n      by: ['on', "), F.col("pos").cast("string"), F.lit("]\n    ideal: "), _yaml("ideal"))
+    files = b.expectations(spark, sf_dir).groupBy("lesson").agg(
+        F.max("question").alias("question"), F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))).alias("items"))
+    content = F.concat(F.lit("question: "), _yaml("question"), F.lit("\nexpectations:\n"), F.array_join("items.item", "\n"))
+    path, again = fresh_path(spark, "yaml"), fresh_path(spark, "json")
+    files.select("lesson", content.alias("config")).write.partitionBy("lesson").text(path)
+    first = lesson_config.explode_config(lesson_config.read_configs(spark, path, yaml=True), ["lesson"])
+    lesson_config.config_json(first).write.partitionBy("lesson").text(again)
+    rows = lesson_config.explode_config(lesson_config.read_configs(spark, again), ["lesson"])
+    return rows.select(
+        "lesson", "pos", "exp_num", F.md5(F.trim("ideal")).alias("ideal"), F.array_join("good", " ").alias("good"),
+        F.col("featureLengthRatio").alias("length_ratio"), F.col("extras")["note"].alias("note"),
+        F.length(F.from_json(F.concat(F.lit('{"v":'), F.col("extras")["ideal"], F.lit("}")), "v string")["v"]).alias("ideal_chars"),
+        F.size("extras").alias("n_extras"))
+
+
 @query("word_vector_scan", o.with_(o.VOCAB) + "SELECT word, in_slim, round(list_sum(vector), 6) AS total, len(vector) AS width FROM vocab")
 def word_vector_scan(spark, sf_dir):
     total = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v)

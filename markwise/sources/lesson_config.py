@@ -20,6 +20,8 @@ FLAGS = [
     "featureDbScanClustersPatternsEnabled",
 ]
 
+_NO_EXTRAS = "CAST(map() AS map<string,string>)"
+
 
 def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     try:
@@ -44,10 +46,27 @@ def configs_from_yaml(configs: DataFrame) -> DataFrame:
     return configs.mapInPandas(_yaml_to_json, configs.schema)
 
 
+def _extras(expectation: str) -> Column:
+    """The features that have no column, each as its JSON."""
+    known = ", ".join(f"'{name}'" for name in [*LISTS, *FLAGS])
+    features = f"variant_get({expectation}, '$.features', 'map<string,variant>')"
+    return F.expr(
+        f"coalesce(transform_values(map_filter({features}, (k, v) -> k NOT IN ({known})), (k, v) -> to_json(v)), "
+        f"{_NO_EXTRAS})"
+    )
+
+
 def explode_config(configs: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep…, question, pos, exp_num, ideal, lists…, flags…), values unescaped."""
-    parsed = configs.select(*keep, F.from_json("config", schemas.LESSON_CONFIG).alias("c"))
-    rows = parsed.select(*keep, F.col("c.question").alias("question"), F.posexplode("c.expectations").alias("pos", "e"))
+    """(keep…, question, pos, exp_num, ideal, lists…, flags…, extras), values unescaped.
+
+    Features under other names are kept as they came: ``extras`` maps a name
+    to its JSON, and ``config_json`` writes it back.
+    """
+    variant = F.variant_get(F.try_parse_json("config"), "$.expectations", "array<variant>")
+    parsed = configs.select(*keep, F.from_json("config", schemas.LESSON_CONFIG).alias("c"), variant.alias("v"))
+    both = F.arrays_zip(F.col("c.expectations").alias("e"), F.col("v").alias("v"))
+    rows = parsed.select(*keep, F.col("c.question").alias("question"), F.posexplode(both).alias("pos", "b"))
+    rows = rows.select(*keep, "question", "pos", F.col("b.e").alias("e"), F.col("b.v").alias("v"))
     empty = F.expr("CAST(array() AS array<string>)")
     return rows.select(
         *keep,
@@ -57,7 +76,18 @@ def explode_config(configs: DataFrame, keep: list[str]) -> DataFrame:
         F.coalesce("e.ideal", F.lit("")).alias("ideal"),
         *[unescape_features(F.coalesce(f"e.features.{name}", empty)).alias(name) for name in LISTS],
         *[flag(F.col(f"e.features.{name}")).alias(name) for name in FLAGS],
+        _extras("v").alias("extras"),
+    )
+
+
+def _with_extras(features: Column, extras: Column) -> Column:
+    """The JSON of an object with more members; the added ones are JSON already."""
+    members = F.transform(
+        F.array_sort(F.map_entries(extras)),
+        lambda m: F.concat(F.regexp_extract(F.to_json(F.struct(m["key"].alias("k"))), r'^\{"k":(.*)\}$', 1), F.lit(":"), m["value"]),
     )
+    inner = F.regexp_extract(F.to_json(features), r"(?s)^\{(.*)\}$", 1)
+    return F.concat(F.lit("{"), F.array_join(F.concat(F.array(inner), members), ","), F.lit("}"))
 
 
 def config_json(expectations: DataFrame) -> DataFrame:
@@ -68,12 +98,16 @@ def config_json(expectations: DataFrame) -> DataFrame:
         for name in LISTS
     ]
     flags = [(F.col(name) if name in expectations.columns else F.lit(False)).alias(name) for name in FLAGS]
+    extras = F.coalesce(F.col("extras"), F.expr(_NO_EXTRAS)) if "extras" in expectations.columns else F.expr(_NO_EXTRAS)
+    features = _with_extras(F.struct(*lists, *flags), extras)
     entry: Column = F.struct(
-        "pos", F.struct(F.col("exp_num").alias("expectation_id"), "ideal", F.struct(*lists, *flags).alias("features")).alias("e")
+        "pos", F.struct(F.col("exp_num").alias("expectation_id"), "ideal", features.alias("features")).alias("e")
     )
     together = expectations.groupBy("lesson").agg(
         F.max("question").alias("question"), F.array_sort(F.collect_list(entry)).alias("entries")
     )
-    return together.select(
-        "lesson", F.to_json(F.struct("question", F.col("entries.e").alias("expectations"))).alias("config")
+    written_out = F.transform(
+        "entries.e",
+        lambda e: F.struct(e["expectation_id"].alias("expectation_id"), e["ideal"].alias("ideal"), F.parse_json(e["features"]).alias("features")),
     )
+    return together.select("lesson", F.to_json(F.struct("question", written_out.alias("expectations"))).alias("config"))

@@ -175,3 +175,24 @@ def test_false_certificates_are_found(spark):
     assert not feasible(swapped)[1]
     doubled = found.withColumn("partner", F.transform("partner", lambda _: F.lit(0)))
     assert not feasible(doubled)[1] and not feasible(doubled)[3]
+
+
+def test_unknown_features_are_kept_through_yaml_and_json(spark):
+    config = """
+question: what?
+expectations:
+- expectation_id: a
+  ideal: an ideal
+  features:
+    good: ['|on', x]
+    featureLengthRatio: true
+    ideal: "with \\"quotes\\", and: colons"
+    weights: {b: [1, 2.5], "a key": null}
+- expectation_id: b
+"""
+    rows = spark.createDataFrame([("l", config)], "lesson string, config string")
+    first = lesson_config.explode_config(lesson_config.configs_from_yaml(rows), ["lesson"])
+    for table in (first, lesson_config.explode_config(lesson_config.config_json(first), ["lesson"])):
+        a, b = table.orderBy("pos").collect()
+        assert (a.good, a.featureLengthRatio, b.extras, b.good, b.exp_num) == (["on", "x"], True, {}, [], "b")
+        assert a.extras == {"ideal": '"with \\"quotes\\", and: colons"', "weights": '{"a key":null,"b":[1,2.5]}'}
