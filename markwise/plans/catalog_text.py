@@ -91,6 +91,33 @@ def number_words(spark, sf_dir):
     return orders.select("o_orderkey", words.alias("t")).select("o_orderkey", text.words_to_digits("t").alias("text"))
 
 
+_DENOMINATORS = ["half", "thirds", "quarters", "fifths", "sixths", "sevenths", "eighths", "ninths", "tenths"]
+
+
+def _ordinal_spelled(n: str) -> str:
+    """Spark SQL: a number as the words of its ordinal."""
+    irregular = "map('one', 'first', 'two', 'second', 'three', 'third', 'five', 'fifth', 'eight', 'eighth', 'nine', 'ninth', 'twelve', 'twelfth')"
+    last = f"regexp_extract({spelled(n)}, '([a-z]+)$', 1)"
+    return (f"concat(regexp_replace({spelled(n)}, '[a-z]+$', ''), coalesce({irregular}[{last}], "
+            f"CASE WHEN {last} LIKE '%ty' THEN regexp_replace({last}, 'y$', 'ieth') ELSE concat({last}, 'th') END))")
+
+
+@query("number_word_kinds",
+       "SELECT o_orderkey, 'the ' || CASE o_orderkey WHEN 0 THEN 'zeroth' WHEN 1 THEN 'first' WHEN 2 THEN 'second' WHEN 3 THEN 'third' ELSE o_orderkey || "
+       "CASE WHEN o_orderkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN o_orderkey % 10 = 1 THEN 'st' WHEN o_orderkey % 10 = 2 THEN 'nd' WHEN o_orderkey % 10 = 3 THEN 'rd' ELSE 'th' END END || "
+       "' costs ' || o_custkey || '.' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || ' or ' || o_custkey || '/' || (o_orderkey % 9 + 2) || ' more' AS text FROM orders")
+def number_word_kinds(spark, sf_dir):
+    """Ordinals, decimals and fractions spelled out, and back again."""
+    orders = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    digits = "transform(split(lpad(CAST(o_orderkey % 1000 AS string), 3, '0'), ''), d -> array('zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine')[CAST(d AS int)])"
+    parts = "array(" + ", ".join(f"'{w}'" for w in _DENOMINATORS) + ")"
+    words = F.concat(
+        F.lit("the "), F.expr(_ordinal_spelled("o_orderkey")), F.lit(" costs "), F.expr(spelled("o_custkey")), F.lit(" point "),
+        F.expr(f"array_join({digits}, ' ')"), F.lit(" or "), F.expr(spelled("o_custkey")), F.lit(" "),
+        F.expr(f"{parts}[CAST(o_orderkey % 9 AS int)]"), F.lit(" more"))
+    return orders.select("o_orderkey", words.alias("t")).select("o_orderkey", text.words_to_digits("t").alias("text"))
+
+
 @query("tokenise", f"SELECT doc_id, len(t) AS n, {o.joined('t')} AS tokens FROM "
        f"(SELECT doc_id, {o.split(o.punct('lower(text)'))} AS t {DOCS})")
 def tokenise(spark, sf_dir):

@@ -37,6 +37,26 @@ def test_preprocess(spark, sentence, tokens):
         ("bone tent often", "bone tent often"),
         ("nineteen hundred", "19 100"),
         ("seven, or eight", "7, or 8"),
+        ("the twenty first of nine", "the 21st of 9"),
+        ("first", "first"),
+        ("Second and third", "Second and third"),
+        ("the fifth, the twelfth", "the 5th, the 12th"),
+        ("one hundred and eleventh", "111th"),
+        ("two thousandth try", "2000th try"),
+        ("ninety-second", "92nd"),
+        ("three second one", "3 second 1"),
+        ("three point one four", "3.14"),
+        ("zero point zero five percent", "0.05 percent"),
+        ("twelve point five and six", "12.5 and 6"),
+        ("the point one makes", "the point one makes"),
+        ("one point made", "one point made"),
+        ("two thirds of three quarters", "2/3 of 3/4"),
+        ("one half", "1/2"),
+        ("half of the quarters", "half of the quarters"),
+        ("one two fifths", "1 2/5"),
+        ("fifth halves", "5th halves"),
+        ("twenty one hundredths", "21/100"),
+        ("tenthly fourthold", "tenthly fourthold"),
     ],
 )
 def test_number_words(spark, words, digits):
