@@ -11,7 +11,7 @@ from markwise.plans import oracle as o
 from markwise.plans.catalog_grader import GRADED, RESPONSES, responses
 from markwise.plans.catalog_text import _re2, _re2_plain
 from markwise.plans.catalog_training import job_events, stored_vocabulary
-from markwise.plans.evaluate import evaluate
+from markwise.plans.evaluate import Store, evaluate, evaluate_resolved
 from markwise.plans.registry import query
 from markwise.session import fresh_path, written
 from markwise.streaming.composite import composite_stream, regression_results
@@ -95,6 +95,24 @@ def untrained_evaluation(spark, sf_dir):
     return shown(evaluate(b.answers(spark, sf_dir), both, written(trained, "models"), vocabulary))
 
 
+_RESOLVED = RESULTS.replace(
+    "n / 1000 AS intercept FROM per WHERE bad >= 5", "n / CASE lesson WHEN 'es' THEN 500 ELSE 1000 END AS intercept FROM per WHERE bad >= 5 AND lesson <> 'de'")
+
+
+@query("resolved_evaluation", _RESOLVED + "SELECT * FROM results")
+def resolved_evaluation(spark, sf_dir):
+    """Lessons scored from where their models are: two from the local store, one that only the
+    deployed store has, and one without models by the default model."""
+    configs, models, vocabulary = tables(spark, sf_dir)
+
+    def store(lessons, times):
+        own = models.filter(F.col("lesson").isin(lessons)).withColumn("intercept", F.col("intercept") * times)
+        return Store(configs.filter(F.col("lesson").isin(lessons)), own)
+
+    rows = evaluate_resolved(b.answers(spark, sf_dir), configs, store(["en", "fr"], 1), store(["fr", "es"], 2), models, vocabulary)
+    return shown(rows)
+
+
 @query("streaming_evaluation", RESULTS + "SELECT answer_id, exp_num, evaluation, score FROM results UNION ALL "
        "SELECT conv_id || '-' || turn, NULL, 'rejected', NULL FROM conversations WHERE role <> 'user'")
 def streaming_evaluation(spark, sf_dir):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from markwise import fixed_values as fixed
 from markwise.functions import text
 from markwise.functions.config_values import flag
 from markwise.operators import assembly, lookup, scoring
+from markwise.session import written
 
 KEYS = ["lesson", "exp_num"]
 LISTS = ["good", "bad", "archetype_good", "archetype_bad", "patterns_good", "patterns_bad"]
@@ -56,6 +60,48 @@ def scoring_settings(configs: DataFrame, asked: DataFrame, trained: DataFrame) -
     )
 
 
+@dataclass
+class Store:
+    """What a place holds of trained lessons."""
+
+    configs: DataFrame
+    models: DataFrame
+
+
+def resolved_tables(
+    answers: DataFrame, configs: DataFrame, local: Store, deployed: Store, default_models: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(configs, models) to score the answers' lessons with, a lesson from one place as a whole.
+
+    A lesson with models in the local store is taken from there, else from the deployed one. A
+    lesson that neither has models of keeps its plain config (``configs``), without
+    anything generated, and is scored by the default model.
+    """
+    requested = answers.select("lesson").distinct()
+    default = requested.sparkSession.range(1).select(F.lit("default").alias("place"))
+    places = {name: store.models.filter(F.col("lesson") != fixed.DEFAULT_LESSON).select("lesson").distinct()
+              .withColumn("place", F.lit(name)) for name, store in (("local", local), ("deployed", deployed))}
+    origin = written(lookup.resolve_store(requested, places["local"], places["deployed"], default), "origin")
+
+    def of(rows: DataFrame, place: str) -> DataFrame:
+        return rows.join(origin.filter(F.col("place") == place).select("lesson"), "lesson", "left_semi")
+
+    generated = [c for c in configs.columns if c in LISTS[2:] or c in FLAGS[2:]]
+    own = [of(local.configs, "local"), of(deployed.configs, "deployed"), of(configs.drop(*generated), "default")]
+    models = of(local.models, "local").unionByName(of(deployed.models, "deployed"), allowMissingColumns=True)
+    models = models.unionByName(default_models.filter(F.col("lesson") == fixed.DEFAULT_LESSON), allowMissingColumns=True)
+    return reduce(lambda a, c: a.unionByName(c, allowMissingColumns=True), own), models
+
+
+def evaluate_resolved(
+    answers: DataFrame, configs: DataFrame, local: Store, deployed: Store, default_models: DataFrame,
+    vocabulary: DataFrame, lowercase: bool = False,
+) -> DataFrame:
+    """``evaluate`` with what ``resolved_tables`` finds for each lesson."""
+    found, models = resolved_tables(answers, configs, local, deployed, default_models)
+    return evaluate(answers, written(found, "configs"), written(models, "models"), vocabulary, lowercase)
+
+
 def evaluate(
     answers: DataFrame, configs: DataFrame, models: DataFrame, vocabulary: DataFrame, lowercase: bool = False
 ) -> DataFrame:

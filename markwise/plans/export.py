@@ -38,7 +38,8 @@ def model_extract(configs: DataFrame, models: DataFrame, embeddings: DataFrame |
     with_weights = F.concat(F.lit('{"weights_bias":['), pair, F.lit("],"), rest)
     # a lesson has as many entries as its config has expectations
     together = rows.groupBy("lesson").agg(F.array_sort(F.collect_list(F.struct("exp_num", with_weights.alias("json")))).alias("all"))
-    pairs = F.transform("all", lambda e: F.concat(F.lit('"'), F.replace(e["exp_num"], F.lit('"'), F.lit('\\"')), F.lit('":'), e["json"]))
+    quoted = lambda id_: F.regexp_extract(F.to_json(F.struct(id_.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+    pairs = F.transform("all", lambda e: F.concat(quoted(e["exp_num"]), F.lit(":"), e["json"]))
     extract = together.select("lesson", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("extract"))
     if embeddings is None:
         return extract
