@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,36 +11,59 @@ from markwise.streaming.evaluate import split_requests
 GROUP = "lesson string, exp_num string, label string, pattern string, score double"
 
 
-@pytest.mark.parametrize(
-    "scores, cutoff, kept",
-    [
-        ({"square": 0.7, "rectangle": 0.90, "like + rectangle": 0.98, "like + square": 0.6}, 0.6,
-         ["like + rectangle", "rectangle", "square"]),
-        ({"uniform": 0.8, "burn": 0.5, "candles + burn + uniform": 0.75}, 0.7, ["candles + burn + uniform", "uniform"]),
-    ],
-)
-def test_deduplication_vectors(spark, scores, cutoff, kept):
-    scored = spark.createDataFrame([("l", "0", "good", p, s) for p, s in scores.items()], GROUP)
-    assert sorted(r.pattern for r in patterns.deduplicate(scored, cutoff).collect()) == kept
-
-
-def test_chi_squared_selection_vector(spark):
-    names = ["37 + 40", "37", "sides + closer", "1 + ratio", "difference + length"]
-    said = [
-        ("37 by 40 is the answer", 1), ("37 x 40 rectangele looks more like square", 1),
-        ("rectangle with sides length closer to each other", 1),
-        ("more difference in sides length make it look like a square", 0),
-        ("rectangle with sides ratio close to 1 looks like a square", 1),
-        ("if difference in sides length is less then it is a square", 1),
-        ("lesser difference in side length make it a square", 1), ("37 x 40 does not look like a square", 0),
-        ("the one with bigger sides", 0), ("37 feet by 40 feet", 1),
-    ]
+WORDS = ["anchor", "boat", "coast", "deck", "ebb", "flood", "[NEG]"]
+
+
+def some_patterns(rng, n):
+    pairs = [f"{a} + {b}" for a in WORDS for b in WORDS if a < b]
+    return sorted(rng.sample([*WORDS, *pairs], n))
+
+
+def plain_deduplicated(scores, cutoff):
+    """The rule, pattern by pattern in alphabetical order."""
+    seen, kept = {}, []
+    for pattern in sorted(scores):
+        if scores[pattern] > cutoff:
+            if not any(seen.get(word, -1) >= scores[pattern] for word in pattern.split(" + ")):
+                kept.append(pattern)
+            seen[pattern] = scores[pattern]
+    return kept
+
+
+def test_deduplication_is_the_rule(spark):
+    rng = random.Random(2)
+    groups = {str(g): {p: rng.randint(3, 10) / 10 for p in some_patterns(rng, 12)} for g in range(12)}
+    scored = spark.createDataFrame([("l", g, "good", p, s) for g, own in groups.items() for p, s in own.items()], GROUP)
+    got = patterns.deduplicate(scored, 0.55).collect()
+    for g, own in groups.items():
+        assert sorted(r.pattern for r in got if r.exp_num == g) == plain_deduplicated(own, 0.55)
+
+
+def plain_chi_squared(hits, labels):
+    share = {c: labels.count(c) / len(labels) for c in (0, 1)}
+    total = sum(hits)
+    if not total:
+        return -1.0
+    return sum((sum(h for h, y in zip(hits, labels, strict=True) if y == c) - share[c] * total) ** 2 / (share[c] * total) for c in (0, 1))
+
+
+def test_selection_is_by_chi_squared(spark):
+    rng = random.Random(6)
+    said = [([w for w in WORDS[:6] if rng.random() < 0.4] + ["not"] * rng.randint(0, 1), rng.randint(0, 1)) for _ in range(15)]
+    labels = [y for _, y in said]
+    names = some_patterns(rng, 11)
     sentences = spark.createDataFrame(
-        [("l", "0", i, y, s.split()) for i, (s, y) in enumerate(said)],
-        "lesson string, exp_num string, sentence bigint, y int, tokens array<string>")
+        [("l", "0", i, y, s) for i, (s, y) in enumerate(said)], "lesson string, exp_num string, sentence bigint, y int, tokens array<string>")
     found = spark.createDataFrame([("l", "0", "good", p) for p in names], "lesson string, exp_num string, label string, pattern string")
-    support = patterns.pattern_support(found, sentences).withColumn("n_good", F.lit(7)).withColumn("n_bad", F.lit(3))
-    assert {r.pattern for r in patterns.select_best(support, 4).collect()} == set(names[:4])
+    support = patterns.pattern_support(found, sentences).withColumn("n_good", F.lit(sum(labels))).withColumn("n_bad", F.lit(15 - sum(labels)))
+
+    def hit(pattern, tokens):
+        return all(("not" if word == "[NEG]" else word) in tokens for word in pattern.split(" + "))
+
+    ranked = sorted(names, key=lambda p: (round(plain_chi_squared([int(hit(p, s)) for s, _ in said], labels), 9), p), reverse=True)
+    for n in (1, 4, 7):
+        assert {r.pattern for r in patterns.select_best(support, n).collect()} == set(ranked[:n])
+    assert patterns.select_best(support, 11).count() == 11
 
 
 def test_salted_join_keeps_left_rows(spark):
