@@ -5,15 +5,20 @@ abstains where the text is too short for it. The votes of a text form a
 pattern; only the counts of the patterns (at most 3 ** rules of them, whatever
 the number of documents) reach the driver, where expectation-maximisation
 estimates each rule's accuracies without labels. The posterior
-of a pattern is the quality probability of all texts that show it.
+of a pattern is the quality probability of all texts that show it. Nothing in
+the estimate depends on the number of texts: a rule that no other supports
+loses its weight on a large table as on a small one.
 
 Null, empty or blank text: no words, all rules abstain, the posterior is the
-one of the all-abstaining pattern. Repeated rows each get the same result; the
+one of the all-abstaining pattern. Very long texts are read whole, in memory that is
+linear in their words. A column of the table named like a result gives way to
+it. Repeated rows each get the same result; the
 order of rows has no influence. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +31,12 @@ from markwise.session import written
 
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
+SYMBOL_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]*[#*$%&|<>][^ \t\n\r\x0b\x0c]*")
 ABSTAIN, BAD, GOOD = 0, 1, 2
+#: Words from which windows are compared as numbers instead of tuples.
+MANY_WORDS = 20_000
+#: Least rates of bad votes on a bad text, of the rule it is named after and of each other rule.
+OWN, OTHERS = 0.5, 0.1
 
 
 @dataclass(frozen=True)
@@ -44,6 +54,7 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols / word_chars", "n_words", 5, 0.002, 0.03),
+    Rule("marked words", "n_symbol_words / n_words", "n_words", 5, 0.01, 0.1),
     Rule("shouting", "n_upper_words / n_words", "n_words", 8, 0.05, 0.15),
     Rule("exclamations", "n_exclamations / n_words", "n_words", 8, 0.05, 0.2),
     Rule("repeated windows", "n_repeat_words / n_words", "n_words", 12, 0.05, 0.5),
@@ -53,21 +64,25 @@ RULES = (
 )
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MORE = ["n_lines", "n_upper_words", "n_exclamations", "n_stutters", "n_distinct"]
+MORE = ["n_symbol_words", "n_lines", "n_upper_words", "n_exclamations", "n_stutters", "n_distinct"]
 STATISTICS = T.StructType([T.StructField(name, T.LongType()) for name in COUNTS + MORE])
 
 
 def repeat_words(words: list[bytes]) -> int:
     """Words inside 3-word windows that the text has twice or more."""
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) == len(windows):
-        return 0
-    number: dict[tuple, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in windows), np.int64, len(windows))
-    again = np.bincount(ids)[ids] > 1
+    if len(words) < MANY_WORDS:
+        windows = list(zip(words, words[1:], words[2:], strict=False))
+        if len(set(windows)) == len(windows):
+            return 0
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    codes = ids
+    for shift in (1, 2):
+        _, codes = np.unique(codes[:-1] * len(number) + ids[shift:], return_inverse=True)
+    again = np.bincount(codes)[codes] > 1
     inside = np.zeros(len(words), bool)
     for shift in range(3):
-        inside[shift : shift + len(windows)] |= again
+        inside[shift : shift + len(codes)] |= again
     return int(inside.sum())
 
 
@@ -76,12 +91,14 @@ def statistics_of(text: bytes | None) -> tuple[int, ...]:
     words = text.split()
     solid = text.translate(None, SPACES)
     lines = [line for line in text.split(b"\n") if line.strip()]
+    n_symbols = len(solid) - len(solid.translate(None, SYMBOLS))
     return (
         len(words),
         len(solid.decode("utf-8", "replace")),
-        len(solid) - len(solid.translate(None, SYMBOLS)),
+        n_symbols,
         len(lines) - len(set(lines)),
         repeat_words(words),
+        sum(1 for _ in SYMBOL_WORD.finditer(text)) if n_symbols else 0,
         len(lines),
         sum(map(bytes.isupper, words)),
         text.count(b"!"),
@@ -119,7 +136,7 @@ def vote_pattern(rules: tuple[Rule, ...] = RULES):
 
 
 def fit_votes(
-    patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 200, strength: float = 4.0
+    patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 500, strength: float = 4.0
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """(posterior of good per pattern, rates [class, rule], share of good).
 
@@ -128,23 +145,26 @@ def fit_votes(
     are the probabilities that a vote cast on a text of the class says bad.
     Whether a rule abstains says nothing about the class. The start puts a
     text into the classes of the rules that say bad, else into good.
-    Pseudo-votes hold the beliefs that a rule is wrong about a good text once
-    in 1000 votes (as many votes as there are texts, so that a kind of bad text
-    does not drift into the far larger good class), and, with ``strength``
-    votes, that it finds its own kind of bad text in nine of ten and others in
-    one of ten.
+
+    Votes alone cannot tell a rule's false alarms from a kind of bad text that
+    no other rule ever notices. ``OWN`` and ``OTHERS`` settle it: on a bad
+    text the rule it is named after says bad in half of the votes or more, and
+    every other rule in a tenth or more. So false alarms, which no other rule
+    supports, leave their class round by round, and the rule counts for less.
+    ``strength`` pseudo-votes keep rates of rules without votes at the beliefs.
     """
     votes = (patterns[:, None] // 3 ** np.arange(n_rules)) % 3
     bad, fine = (votes == BAD).astype(float), (votes == GOOD).astype(float)
     weight = counts.astype(float)
-    believed = np.vstack([np.full((1, n_rules), 0.001), np.full((n_rules, n_rules), 0.1) + 0.8 * np.eye(n_rules)])
-    firm = np.append(max(strength, weight.sum()), np.full(n_rules, strength))[:, None]
+    own = np.eye(n_rules, dtype=bool)
+    believed = np.vstack([np.full((1, n_rules), 0.001), np.where(own, 0.9, OTHERS)])
+    floor = np.vstack([np.zeros((1, n_rules)), np.where(own, OWN, OTHERS)])
     member = np.hstack([1 - bad.max(1, initial=0.0)[:, None], bad])
     member /= member.sum(1, keepdims=True)
     for _ in range(rounds):
         held = member * weight[:, None]
-        said_bad = held.T @ bad + firm * believed
-        rates = said_bad / (said_bad + held.T @ fine + firm * (1 - believed))
+        said_bad = held.T @ bad + strength * believed
+        rates = np.maximum(said_bad / (said_bad + held.T @ fine + strength * (1 - believed)), floor)
         share = (held.sum(0) + 1) / (held.sum() + n_rules + 1)
         log = np.log(share) + bad @ np.log(rates).T + fine @ np.log1p(-rates).T
         new = np.exp(log - log.max(1, keepdims=True))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 
+import markwise.llm.quality_rules as module
 from markwise.llm.batches import table
 from markwise.llm.quality_rules import (
     RULES,
@@ -83,3 +84,86 @@ def test_nulls_repeats_clashing_columns_and_empty_table(spark, documents_of):
     assert {r.n_words for r in rows if r.doc_id is None} == {60}
     assert quality_rules(df.limit(0)).count() == 0
     assert text_statistics(df).select(vote_pattern(RULES[:2])).count() == 4
+
+
+def plain_em(votes, rounds=500, strength=4.0):
+    """The mixture text by text, with loops instead of counted patterns."""
+    n_rules = len(votes[0])
+    member = []
+    for v in votes:
+        said = [float(x == 1) for x in v]
+        start = [float(not any(said)), *said]
+        member.append([m / sum(start) for m in start])
+    for _ in range(rounds):
+        rates, share = [], []
+        for c in range(n_rules + 1):
+            row = []
+            for r in range(n_rules):
+                belief = 0.001 if c == 0 else 0.9 if c == r + 1 else module.OTHERS
+                least = 0.0 if c == 0 else module.OWN if c == r + 1 else module.OTHERS
+                said_bad = strength * belief + sum(m[c] for m, v in zip(member, votes) if v[r] == 1)
+                said_good = strength * (1 - belief) + sum(m[c] for m, v in zip(member, votes) if v[r] == 2)
+                row.append(max(least, said_bad / (said_bad + said_good)))
+            rates.append(row)
+            share.append((sum(m[c] for m in member) + 1) / (len(votes) + n_rules + 1))
+        before, member = member, []
+        for v in votes:
+            like = []
+            for c in range(n_rules + 1):
+                p = share[c]
+                for r in range(n_rules):
+                    p *= {0: 1.0, 1: rates[c][r], 2: 1 - rates[c][r]}[v[r]]
+                like.append(p)
+            member.append([p / sum(like) for p in like])
+        if max(abs(a - b) for x, y in zip(before, member) for a, b in zip(x, y)) < 1e-9:
+            break
+    return [m[0] for m in member], rates, share[0]
+
+
+def test_em_over_patterns_equals_em_over_texts():
+    rng = np.random.default_rng(5)
+    votes = rng.choice(3, (200, 4), p=[0.2, 0.15, 0.65])
+    codes = (votes * 3 ** np.arange(4)).sum(1)
+    patterns, counts = np.unique(codes, return_counts=True)
+    good, rates, share = fit_votes(patterns, counts, 4)
+    want, want_rates, want_share = plain_em(votes.tolist())
+    got = dict(zip(patterns.tolist(), good.tolist()))
+    assert np.allclose([got[c] for c in codes.tolist()], want, atol=1e-6)
+    assert np.allclose(rates, want_rates, atol=1e-6) and abs(share - want_share) < 1e-6
+
+
+def test_a_rule_that_errs_alone_loses_its_weight_at_every_size():
+    n_rules = len(RULES)
+    for n, errs in ((1000, 0.05), (100_000, 0.05), (100_000, 0.2), (10_000, 0.01)):
+        rng = np.random.default_rng(n)
+        kind = rng.choice(4, n, p=[0.88, 0.04, 0.04, 0.04])  # 0 good, else junk that three rules notice
+        chance = np.full((4, n_rules), 0.002)
+        chance[0, 0] = errs
+        for k in (1, 2, 3):
+            chance[k, [2 * k - 1, 2 * k, 7]] = 0.95
+        votes = np.where(rng.random((n, n_rules)) < chance[kind], 1, 2)
+        codes = (votes * 3 ** np.arange(n_rules)).sum(1)
+        patterns, counts = np.unique(codes, return_counts=True)
+        good, rates, _ = fit_votes(patterns, counts, n_rules)
+        kept = good[np.searchsorted(patterns, codes)] >= 0.5
+        accused = (kind == 0) & (votes[:, 0] == 1)
+        assert kept[accused].mean() >= 0.95 and kept[kind == 0].mean() > 0.99, (n, errs)
+        assert (~kept[kind > 0]).mean() >= 0.95, (n, errs)
+        assert abs(rates[0, 0] - (votes[kind == 0, 0] == 1).mean()) < 0.02
+
+
+def test_long_texts_count_windows_alike(monkeypatch):
+    rng = random.Random(8)
+    words = [rng.choice([b"a", b"b", b"c", b"dd", b"e5"]) for _ in range(400)]
+    want = module.repeat_words(words)
+    monkeypatch.setattr(module, "MANY_WORDS", 0)
+    assert module.repeat_words(words) == want == brute(b" ".join(words).decode())[4]
+    assert [module.repeat_words([b"x"] * n) for n in range(5)] == [0, 0, 0, 0, 4]
+
+
+def test_a_line_of_marks_does_not_condemn_a_text(spark, documents_of):
+    plain = [(i, " ".join(f"w{(i * 7 + j) % 97}x{j}" for j in range(80))) for i in range(200)]
+    ruled = [(1000 + i, t + "\n" + "*" * 40) for i, t in plain[:10]]
+    marked = [(2000 + i, " ".join(w + "&&&" for w in t.split())) for i, t in plain[:10]]
+    rows = quality_rules(documents_of(plain + ruled + marked), keep=["doc_id"]).collect()
+    assert {r.doc_id for r in rows if r.p_good < 0.5} == {i for i, _ in marked}
