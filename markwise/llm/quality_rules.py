@@ -54,7 +54,7 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols / word_chars", "n_words", 5, 0.002, 0.03),
-    Rule("marked words", "n_symbol_words / n_words", "n_words", 5, 0.01, 0.1),
+    Rule("marked words", "n_symbol_words / n_words", "n_words", 5, 0.03, 0.1),
     Rule("shouting", "n_upper_words / n_words", "n_words", 8, 0.05, 0.15),
     Rule("exclamations", "n_exclamations / n_words", "n_words", 8, 0.05, 0.2),
     Rule("repeated windows", "n_repeat_words / n_words", "n_words", 12, 0.05, 0.5),
