@@ -1,9 +1,9 @@
 """N-gram language model as a weighted backoff automaton.
 
-The model of ``language_model`` in one place, for n-grams that fit there; that
-module scores by the same rules from tables and never builds the whole.
-Tokens of the model are numbered: 0 begins a text, 1 ends it, the others are
-the frequent words. Whatever else occurs is scored by the unigram base alone.
+``language_model`` lays out the part of the model that a block of texts can
+reach as such an automaton and walks it once over each text. ``build`` makes a
+whole small model from counted n-grams. Tokens of the model are numbered;
+what the model has no number or no arc for is scored by the unigram base alone.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ class Automaton:
     ``arcs`` maps state * width + token to (log10 probability, next state),
     ``fail`` and ``backoff`` are the failure arcs with their log10 weights,
     ``weight_to_root`` sums them along the way down, and ``start[token]`` is
-    the state behind a token that was scored in state 0.
+    the state behind a token that was scored in state 0; ``begin`` is the
+    token before a text.
     """
 
     width: int
@@ -31,13 +32,14 @@ class Automaton:
     backoff: list[float]
     weight_to_root: list[float]
     start: list[int]
+    begin: int = BEGIN
 
     def score(self, tokens: list[int], base: list[float]) -> float:
         """log10 probability of a text; ``tokens`` are -1 where the model has
         none, ``base`` holds the log10 unigram probability of every token."""
         width, find, fail, backoff = self.width, self.arcs.get, self.fail, self.backoff
         to_root, start = self.weight_to_root, self.start
-        state, total = start[BEGIN], 0.0
+        state, total = start[self.begin], 0.0
         for token, alone in zip(tokens, base, strict=True):
             if token < 0:
                 total += to_root[state] + alone

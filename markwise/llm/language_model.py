@@ -6,7 +6,7 @@ its texts as numbers of those words. From then on work is done on numbers.
 1. Every block asks for the corpus counts of its words. Its words are cut by
    hash range; a task holds one range of all blocks, adds the counts up, and
    answers each block. No word, however frequent, sends more than one number
-   per block, and ranges are as many as shuffle partitions.
+   per block, and the number of ranges grows with the counted tokens.
 2. Words and n-grams that occur ``LEAST`` times in the training texts are the
    model's own, however large the corpus. Order by order every block asks for
    the counts of its n-grams in the same way, by ranges of their hashes, if
@@ -16,7 +16,12 @@ its texts as numbers of those words. From then on work is done on numbers.
    add up the n-grams they own and ask for the sums of their histories, again
    by hash ranges; a history, however frequent, sends one row of numbers per
    block. No task and no driver holds the model, and it grows with the corpus.
-4. Every block then knows all arcs its texts can take, and scores them.
+4. Every block then knows all arcs its texts can take. It lays them out as a
+   weighted automaton with failure arcs (``backoff_automaton``) and walks it once
+   over each text, carrying the state.
+
+Blocks and the answers to them lie in tables bucketed by block, so an answer is
+shuffled once and a text never.
 
 Base scores, and the bottom of the model, are unigram probabilities with one
 half added to each count and one class for unknown words.
@@ -30,6 +35,7 @@ n-grams are told apart by 64-bit hashes. An empty table gives an empty result.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,8 +45,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markwise.llm.batches import emit, stored, table, texts_of
+from markwise.llm.backoff_automaton import Automaton
+from markwise.llm.batches import emit, table, texts_of
 from markwise.llm.words import WordHashes, mixed
+from markwise.session import fresh_path
 
 #: Kept are words and n-grams that occur so often in the training texts.
 LEAST = 2
@@ -51,6 +59,8 @@ ORDER, DISCOUNT = 3, 0.75
 BLOCK_TOKENS, BLOCK_DOCUMENTS = 250_000, 4000
 #: Keys that a task gathers before it passes them on.
 CODES_AT_ONCE = 500_000
+#: Training tokens per range of hashes, about; more tokens make more ranges.
+RANGE_TOKENS = 4_000_000
 #: Stand for the end and the beginning of a text; no word holds a line break.
 END_MARK, BEGIN_MARK = b"\n", b"\n\n"
 
@@ -80,6 +90,21 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
+def bucketed(df: DataFrame, name: str) -> DataFrame:
+    """Like ``stored``, bucketed by block, so that joins on it shuffle nothing.
+
+    The catalog is told of the table only to have it read with its buckets.
+    """
+    spark = df.sparkSession
+    known = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.write.option("compression", "zstd").option("path", fresh_path(spark, name)).format("parquet")
+    rows.bucketBy(buckets, "block").sortBy("block").saveAsTable(known)
+    found = spark.table(known)
+    spark.sql(f"DROP TABLE {known}")
+    return found
+
+
 def blocks_of(df: DataFrame, id: str, text: str) -> DataFrame:
     """Stored blocks: sorted word hashes (words), their counts in training texts
     (counts), and the texts one behind the other as places in words (tokens)."""
@@ -124,23 +149,25 @@ def blocks_of(df: DataFrame, id: str, text: str) -> DataFrame:
         if ids:
             yield block()
 
-    return stored(sent.mapInArrow(run, BLOCKS), "blocks")
+    return bucketed(sent.mapInArrow(run, BLOCKS), "blocks")
 
 
 def held_out_column(df: DataFrame, id: str):
     return F.coalesce(F.crc32(df[id].cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def exchanged(rows: DataFrame, ask: Callable[[dict], tuple[np.ndarray, np.ndarray]], least: float = 0.0) -> DataFrame:
-    """Written answers (block, part, totals) to what ``ask`` makes of each row.
+def exchanged(
+    rows: DataFrame, ask: Callable[[dict], tuple[np.ndarray, np.ndarray]], parts: int, least: float = 0.0
+) -> DataFrame:
+    """Written answers (block, totals, distinct) to what ``ask`` makes of each row.
 
     ``ask`` gives sorted keys and a matrix of numbers, a column per key. The
-    answers of a block, by part one behind the other, are the sums of the
-    numbers over all blocks and, in a last row, whether the block owns the key;
-    all are 0 where the first sum is below ``least``. A row per part without a
-    block holds the number of keys whose first sum is not 0.
+    answers of a block, by range of hashes (``parts`` of them) one behind the
+    other, are the sums of the numbers over all blocks and, in a last row,
+    whether the block owns the key; all are 0 where the first sum is below
+    ``least``. A row without a block holds the number of keys whose first sum is
+    not 0.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = (np.arange(1, parts, dtype=object) * 2**64 // parts).astype(np.uint64)
     at_once = CODES_AT_ONCE
 
@@ -183,15 +210,18 @@ def exchanged(rows: DataFrame, ask: Callable[[dict], tuple[np.ndarray, np.ndarra
         )
 
     asked = rows.mapInArrow(cut, "part long, block long, keys binary, numbers binary")
-    return stored(asked.groupBy("part").applyInArrow(answer, "block long, part long, totals binary, distinct long"), "answers")
+    given = asked.groupBy("part").applyInArrow(answer, "block long, part long, totals binary, distinct long")
+    in_order = F.array_sort(F.collect_list(F.struct("part", "totals")))
+    by_block = given.groupBy("block").agg(
+        F.transform(in_order, lambda a: a["totals"]).alias("totals"), F.sum("distinct").alias("distinct")
+    )
+    return bucketed(by_block, "answers")
 
 
 def with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    """The blocks with the answers to them (null: none), ``a0``, ``a1`` and so on, in the order of the parts."""
+    """The blocks with the answers to them (null: none), ``a0``, ``a1`` and so on."""
     for i, given in enumerate(answers):
-        parts = F.array_sort(F.collect_list(F.struct("part", "totals")))
-        own = given.filter("block IS NOT NULL").groupBy("block").agg(F.transform(parts, lambda a: a["totals"]).alias(f"a{i}"))
-        blocks = blocks.join(own, "block", "left")
+        blocks = blocks.join(given.select("block", F.col("totals").alias(f"a{i}")), "block", "left")
     return blocks
 
 
@@ -277,38 +307,70 @@ class Grams:
         order = np.argsort(keys, kind="stable")
         return keys[order], np.concatenate(sums, axis=1)[:, order], order
 
-    def scores(self, answers: list[bytes] | None, alone: np.ndarray, norm: float, discount: float) -> np.ndarray:
-        """log10 probability of each token; ``alone`` are those of the unigram base.
+    def automaton(self, answers: list[bytes] | None, norm: float, discount: float) -> Automaton:
+        """What the block's texts can reach of the model.
 
-        Counts of followers are lowered by ``discount``; what is left over goes
-        to the failure arc, so the probabilities behind a history sum to 1.
+        States are the histories that kept n-grams follow. Counts of followers
+        are lowered by ``discount``; what is left over goes to the failure arc,
+        so the probabilities behind a history sum to 1.
         """
         _, _, order = self.sums()
         total = np.empty((4, len(order)), np.int64)
         total[:, order] = totals_in(answers, 4)
-        here = np.flatnonzero(self.line != self.begin)
-        score, start = alone.copy(), 0
+        width, done, made = len(self.hashes), 0, 1
+        state: list[np.ndarray] = []  # of each n-gram; 0 where nothing follows it
+        fail, backoff = [np.zeros(1, np.int64)], [np.zeros(1)]
         for m, own in enumerate(self.histories(), 1):
-            k, followed, lower = np.zeros((3, len(self.n[m - 1]) + 1), np.int64)
-            for sums, of in zip((k, followed, lower), total[:3, start : start + len(own)], strict=True):
-                sums[own] = of
-            start += len(own)
-            history = self.at[m - 1][here - 1]
-            has = (history >= 0) & (k[history] > 0)
-            at, history = here[has], history[has]
-            n, k = self.n[m - 1][history], k[history]
-            left = (n - followed[history] + discount * k) / n
+            k, followed, lower = total[:3, done : done + len(own)]
+            done += len(own)
+            used = k > 0
+            history, k, followed, lower = own[used], k[used], followed[used], lower[used]
+            number = np.zeros(len(self.n[m - 1]) + 1, np.int64)
+            number[history] = made + np.arange(len(history))
+            n = self.n[m - 1][history]
+            left = (n - followed + discount * k) / n
             if m == 1:
-                below = 1 - (lower[history] + 0.5 * k) / norm
+                fail.append(np.zeros(len(history), np.int64))
+                below = 1 - (lower + 0.5 * k) / norm
             else:
-                shorter = self.n[m - 2][self.at[m - 2][at - 1]]
-                below = (shorter - lower[history] + discount * k) / shorter
-            gram = self.at[m][at]
-            seen = np.append(self.n[m], 0)[gram]
-            taken = np.log10(np.where(seen > 0, seen - discount, 1) / n)
-            failed = np.log10(np.maximum(left, 1e-12) / np.maximum(below, 1e-12))
-            score[has] = np.where(seen > 0, taken, failed + score[has])
-        return score
+                suffix = self.rest[m - 1][history]
+                fail.append(state[-1][suffix])
+                shorter = self.n[m - 2][suffix]
+                below = (shorter - lower + discount * k) / shorter
+            backoff.append(np.log10(np.maximum(left, 1e-12) / np.maximum(below, 1e-12)))
+            state.append(number)
+            made += len(history)
+        arcs: dict[int, tuple[float, int]] = {}
+        last = np.arange(width)  # the last word of each n-gram
+        behind = state[0][:width]  # the state of its longest suffix that is one
+        for m in range(1, len(self.n)):
+            suffix = self.rest[m]
+            last, behind = last[suffix], behind[suffix]
+            if m < len(state):
+                behind = np.where(state[m][:-1] > 0, state[m][:-1], behind)
+            kept = np.flatnonzero(self.n[m] > 0)
+            first = self.first[m][kept]
+            weight = np.log10((self.n[m][kept] - discount) / self.n[m - 1][first])
+            codes = state[m - 1][first] * width + last[kept]
+            arcs.update(zip(codes.tolist(), zip(weight.tolist(), behind[kept].tolist(), strict=True), strict=True))
+        fail, backoff = np.concatenate(fail), np.concatenate(backoff)
+        to_root, at = backoff.copy(), fail
+        while at.any():
+            to_root += backoff[at]
+            at = fail[at]
+        return Automaton(
+            width, arcs, fail.tolist(), backoff.tolist(), to_root.tolist(), state[0][:width].tolist(), self.begin
+        )
+
+    def scores(self, answers: list[bytes] | None, alone: np.ndarray, norm: float, discount: float) -> list[float]:
+        """log10 probability of each text; ``alone`` are those of the tokens by the unigram base."""
+        model = self.automaton(answers, norm, discount)
+        own = self.at[0] >= 0
+        own &= (self.n[0] > 0)[self.at[0]] if len(self.n[0]) else own
+        here = self.line != self.begin
+        tokens, base = np.where(own, self.line, -1)[here].tolist(), alone.tolist()
+        ends = np.cumsum(self.lengths).tolist()
+        return [model.score(tokens[a:b], base[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def spelt(codes: np.ndarray, width: int, kept: list[np.ndarray]) -> np.ndarray:
@@ -338,8 +400,9 @@ def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text", order
     sums = blocks.agg(F.sum("train_tokens").alias("tokens"), F.sum("train_texts").alias("texts")).first()
     total, texts = sums["tokens"] or 0, sums["texts"] or 0
     least_words, least_grams = max(LEAST, total * FREQUENT), max(LEAST, total * KEPT)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_TOKENS)
     asked = blocks.select("block", "words", "counts")
-    answers = [exchanged(asked, lambda row: (unpacked_keys(row["words"]), unpacked(row["counts"], np.int64)[None, :]))]
+    answers = [exchanged(asked, lambda row: (unpacked_keys(row["words"]), unpacked(row["counts"], np.int64)[None, :]), parts)]
     distinct = answers[0].filter("block IS NULL").agg(F.sum("distinct")).first()[0] or 0
     norm = total + 0.5 * (distinct + 1)
     texts_only = blocks.select("block", "held", "lengths", "tokens", "words")
@@ -360,8 +423,8 @@ def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text", order
         return ask
 
     for orders in range(1, order):
-        answers.append(exchanged(with_answers(texts_only, answers), ask_for(orders), least_grams))
-    answers.append(exchanged(with_answers(texts_only, answers), lambda row: grams_of(row, order).sums()[:2]))
+        answers.append(exchanged(with_answers(texts_only, answers), ask_for(orders), parts, least_grams))
+    answers.append(exchanged(with_answers(texts_only, answers), lambda row: grams_of(row, order).sums()[:2], parts))
     asked = with_answers(blocks.select("block", "ids", "held", "lengths", "tokens", "words"), answers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,10 +437,10 @@ def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text", order
                 grams = grams_of(row, order)
                 tokens = grams.line[grams.line != grams.begin]
                 alone = np.log10((grams.corpus + 0.5) / norm)[tokens]
-                scores = grams.scores(row[f"a{order}"], alone, norm, DISCOUNT)
+                score = grams.scores(row[f"a{order}"], alone, norm, DISCOUNT)
                 lengths = grams.lengths
                 starts = np.cumsum(lengths) - lengths
-                base, score = np.add.reduceat(alone, starts), np.add.reduceat(scores, starts)
+                base = np.add.reduceat(alone, starts)
                 known = np.add.reduceat((grams.corpus > 0)[tokens].astype(np.int64), starts)
                 columns = [row["ids"], row["held"], lengths, known, np.full(len(lengths), total), base, score]
                 yield pa.RecordBatch.from_arrays(
