@@ -28,8 +28,11 @@ half added to each count and one class for unknown words.
 
 Defined results: null, empty and blank texts are their end token alone. A row
 without an id is not held out. Repeated rows count and are scored as rows. With
-no training text every token has probability 1 in base and model. Words and
-n-grams are told apart by 64-bit hashes. An empty table gives an empty result.
+no training text every token has probability 1 in base and model. Words are told
+apart by 64-bit hashes, n-grams by as many bits as the corpus has training
+tokens and ``SPARE_BITS`` more, so the share of mistaken ones is alike at every
+size. A very long text is a block of its own, held whole by one task. A column
+of any name besides id and text does no harm. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,6 +64,8 @@ BLOCK_TOKENS, BLOCK_DOCUMENTS = 250_000, 4000
 CODES_AT_ONCE = 500_000
 #: Training tokens per range of hashes, about; more tokens make more ranges.
 RANGE_TOKENS = 4_000_000
+#: Bits of an n-gram's hash beyond those that number the training tokens.
+SPARE_BITS = 24
 #: Stand for the end and the beginning of a text; no word holds a line break.
 END_MARK, BEGIN_MARK = b"\n", b"\n\n"
 
@@ -157,7 +162,11 @@ def held_out_column(df: DataFrame, id: str):
 
 
 def exchanged(
-    rows: DataFrame, ask: Callable[[dict], tuple[np.ndarray, np.ndarray]], parts: int, least: float = 0.0
+    rows: DataFrame,
+    ask: Callable[[dict], tuple[np.ndarray, np.ndarray]],
+    parts: int,
+    least: float = 0.0,
+    unsent: int = 0,
 ) -> DataFrame:
     """Written answers (block, totals, distinct) to what ``ask`` makes of each row.
 
@@ -166,10 +175,10 @@ def exchanged(
     other, are the sums of the numbers over all blocks and, in a last row,
     whether the block owns the key; all are 0 where the first sum is below
     ``least``. A row without a block holds the number of keys whose first sum is
-    not 0.
+    not 0. The last ``unsent`` bits of a key stay with the block.
     """
     bounds = (np.arange(1, parts, dtype=object) * 2**64 // parts).astype(np.uint64)
-    at_once = CODES_AT_ONCE
+    at_once, low = CODES_AT_ONCE, np.uint64(unsent)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["part", "block", "keys", "numbers"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -181,7 +190,7 @@ def exchanged(
                 ends = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
                 for part, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
                     if b > a:
-                        out.append((part, row["block"], packed_keys(keys[a:b]), packed(numbers[:, a:b])))
+                        out.append((part, row["block"], packed_keys(keys[a:b] >> low), packed(numbers[:, a:b])))
                 size += len(keys)
                 if size >= at_once:
                     yield emit(names, kinds, out)
@@ -401,6 +410,7 @@ def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text", order
     total, texts = sums["tokens"] or 0, sums["texts"] or 0
     least_words, least_grams = max(LEAST, total * FREQUENT), max(LEAST, total * KEPT)
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_TOKENS)
+    unsent = max(0, 64 - SPARE_BITS - total.bit_length())
     asked = blocks.select("block", "words", "counts")
     answers = [exchanged(asked, lambda row: (unpacked_keys(row["words"]), unpacked(row["counts"], np.int64)[None, :]), parts)]
     distinct = answers[0].filter("block IS NULL").agg(F.sum("distinct")).first()[0] or 0
@@ -423,8 +433,8 @@ def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text", order
         return ask
 
     for orders in range(1, order):
-        answers.append(exchanged(with_answers(texts_only, answers), ask_for(orders), parts, least_grams))
-    answers.append(exchanged(with_answers(texts_only, answers), lambda row: grams_of(row, order).sums()[:2], parts))
+        answers.append(exchanged(with_answers(texts_only, answers), ask_for(orders), parts, least_grams, unsent))
+    answers.append(exchanged(with_answers(texts_only, answers), lambda row: grams_of(row, order).sums()[:2], parts, unsent=unsent))
     asked = with_answers(blocks.select("block", "ids", "held", "lengths", "tokens", "words"), answers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
