@@ -64,6 +64,8 @@ BLOCK_TOKENS, BLOCK_DOCUMENTS = 250_000, 4000
 CODES_AT_ONCE = 500_000
 #: Training tokens per range of hashes, about; more tokens make more ranges.
 RANGE_TOKENS = 4_000_000
+#: Whether the shuffle files behind a table go once it is written.
+LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits of an n-gram's hash beyond those that number the training tokens.
 SPARE_BITS = 24
 #: Stand for the end and the beginning of a text; no word holds a line break.
@@ -104,7 +106,12 @@ def bucketed(df: DataFrame, name: str) -> DataFrame:
     known = f"{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.write.option("compression", "zstd").option("path", fresh_path(spark, name)).format("parquet")
-    rows.bucketBy(buckets, "block").sortBy("block").saveAsTable(known)
+    before = spark.conf.get(LET_GO)
+    spark.conf.set(LET_GO, "true")
+    try:
+        rows.bucketBy(buckets, "block").sortBy("block").saveAsTable(known)
+    finally:
+        spark.conf.set(LET_GO, before)
     found = spark.table(known)
     spark.sql(f"DROP TABLE {known}")
     return found
