@@ -1,13 +1,26 @@
 """WARC archives as a Python data source, and pages written and read through it.
 
-Archives hold one gzip member per record. A member's header tells its
-compressed length (extra field "sl"), so a reader goes from record to record
-without inflating what lies between. It inflates a record's headers first; if
-they fail a pushed-down predicate, or payloads are not asked for, the rest of
-the record stays as it is. Files are planned as ranges of ``split_bytes``; a
-range begins at the first record that starts in it. Members without the extra
-field are inflated, in windows, to find their ends; a file that begins with
-one is planned as one range.
+Written archives hold one gzip member per record. A member's header tells its
+compressed and its full length (extra field "sl"), so a reader goes from record
+to record without inflating what lies between. It inflates a record's headers
+first; if they fail a pushed-down predicate, or payloads are not asked for, the
+rest of the record stays as it is.
+
+Files are planned as ranges of ``split_bytes``. Every member of a written file
+carries the file's own random mark (extra field "mk"). A range owns what lies
+from the first marked member that begins in it to the next range's first one,
+so bytes that only look like a member (an archive inside a payload) begin no
+range. Files without marks belong to their first range as a whole.
+
+Archives of other tools: members without lengths are inflated, in windows, to
+find their ends; a member may hold any number of records, a file may be plain,
+lines may end in ``\n`` alone. What is not a record is an error, never skipped.
+A path may be one file or a folder, read with its subfolders, but for names that
+begin with "_" or ".". SHA-1, SHA-256, SHA-512 and MD5 digests are verified in
+base32 or hexadecimal; others are passed on as they are.
+
+A payload lies in memory once as a whole where it is asked for, and in windows
+of some MB where it is not. Extra columns of pages are left out of the archives.
 
 Tasks write to files of their own below ``_tasks``; the driver moves them in
 place when all have succeeded, so lost tasks and repeated ones leave nothing.
@@ -17,10 +30,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -38,7 +54,13 @@ BATCH_BYTES = 8 << 20
 BROADCAST_BYTES = 16 << 20
 GZIP = b"\x1f\x8b\x08"
 MEMBER = GZIP + b"\x04"
+MARK = b"mk" + struct.pack("<H", 8)
+MARK_AT = 24
+HEAD_BYTES = 64
 WINDOW_BYTES = 4 << 20
+MOVES_AT_ONCE = 32
+BLANK_LINE = re.compile(rb"\r?\n\r?\n")
+DIGESTS = ("md5", "sha1", "sha256", "sha512")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: Columns read from headers alone, with the header each comes from.
@@ -59,12 +81,13 @@ def schema_of(with_payload: bool) -> T.StructType:
     return T.StructType(fields + [T.StructField("payload", T.BinaryType())] * with_payload)
 
 
-def member(content: bytes, level: int = 1) -> bytes:
-    """A gzip member whose header holds its compressed and its full length."""
+def member(content: bytes, level: int = 1, mark: bytes = b"") -> bytes:
+    """A gzip member whose header holds its compressed and its full length, and its file's mark of 8 bytes."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(content) + deflate.flush()
-    total = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, total & 0xFFFFFFFF, len(content) & 0xFFFFFFFF)
+    marked = MARK + mark if mark else b""
+    total = 10 + 2 + 12 + len(marked) + len(body) + 8
+    extra = b"sl" + struct.pack("<HII", 8, total & 0xFFFFFFFF, len(content) & 0xFFFFFFFF) + marked
     head = MEMBER + struct.pack("<IBB", 0, 0, 255) + struct.pack("<H", len(extra)) + extra
     return head + body + struct.pack("<II", zlib.crc32(content), len(content) & 0xFFFFFFFF)
 
@@ -89,55 +112,138 @@ def record_bytes(row: dict) -> bytes:
 
 
 def headers_of(lines: bytes) -> dict[str, str]:
-    pairs = (line.partition(":") for line in lines.decode("utf-8", "replace").split("\r\n")[1:])
+    """Headers by lower-cased name; a line that begins with white space continues the one before."""
+    text = re.sub(r"\r?\n[ \t]+", " ", lines.decode("utf-8", "replace"))
+    pairs = (line.partition(":") for line in re.split(r"\r?\n", text)[1:])
     return {name.strip().lower(): value.strip() for name, colon, value in pairs if colon}
 
 
 class Inflating:
-    """The content of a member, inflated as far as asked for.
+    """A gzip member, inflated as far as asked for.
 
     ``refill`` gives the data that follow what has been given (empty: none).
     """
 
-    def __init__(self, data: memoryview, at: int, refill: Callable[[int], bytes] = lambda passed: b""):
+    def __init__(self, data: memoryview, refill: Callable[[int], bytes] = lambda passed: b""):
         self.inflate = zlib.decompressobj(31)
-        self.data, self.at, self.content = data, at, bytearray()
-        self.refill, self.passed = refill, 0
+        self.data, self.at, self.passed, self.refill = data, 0, 0, refill
+
+    def pull(self, step: int) -> bytes:
+        """Some more of the content; empty at its end."""
+        while not self.inflate.eof:
+            if self.at >= len(self.data):
+                data = self.refill(self.passed + len(self.data))
+                if not data:
+                    raise ValueError("a member is cut short")
+                self.passed += len(self.data)
+                self.data, self.at = memoryview(data), 0
+            content = self.inflate.decompress(self.data[self.at : self.at + step])
+            self.at += step
+            if content:
+                return content
+        return b""
+
+    def end(self) -> int:
+        """Where the next member begins, counted from this one."""
+        while self.pull(1 << 16):
+            pass
+        return self.passed + min(self.at, len(self.data)) - len(self.inflate.unused_data)
 
-    def more(self, step: int = 2048) -> bool:
-        if self.inflate.eof:
-            return False
-        if self.at >= len(self.data):
-            data = self.refill(self.passed + len(self.data))
-            if not data:
-                return False
-            self.passed += len(self.data)
-            self.data, self.at = memoryview(data), 0
-        self.content += self.inflate.decompress(self.data[self.at : self.at + step])
-        self.at += step
-        return True
 
-    def until(self, mark: bytes, start: int = 0) -> int:
-        """Where ``mark`` begins; -1 if nowhere."""
-        while (found := self.content.find(mark, start)) < 0:
-            if not self.more():
-                return -1
-        return found
-
-    def end(self, keep: bool = True) -> int:
-        """Inflates all, to keep it or not; where the next member begins."""
-        while self.more(1 << 16):
-            if not keep:
-                self.content.clear()
-        return self.passed + min(self.at, len(self.data)) - len(self.inflate.unused_data)
+class Content:
+    """Records behind each other, taken from ``pull`` as far as asked for.
+
+    Positions count from the first byte. ``jump`` goes to a position without reading up to it.
+    """
+
+    def __init__(self, pull: Callable[[int], bytes], jump: Callable[[int], object] | None = None):
+        self.pull, self.jump = pull, jump
+        self.base, self.held = 0, bytearray()
+
+    def more(self, step: int = 2048) -> bool:
+        data = self.pull(step)
+        self.held += data
+        return bool(data)
+
+    def reach(self) -> int:
+        return self.base + len(self.held)
+
+    def part(self, start: int, stop: int) -> bytes:
+        """The bytes from start to stop, fewer at the end."""
+        while self.reach() < stop and self.more(2048 if stop - self.reach() < 1 << 14 else 1 << 16):
+            pass
+        return bytes(self.held[start - self.base : stop - self.base])
+
+    def blank_line(self, start: int, stop: int | None = None) -> tuple[int, int] | None:
+        """Where the first empty line behind start begins (with the end of the line before) and ends."""
+        seen = start
+        while True:
+            limit = self.reach() if stop is None else min(stop, self.reach())
+            found = BLANK_LINE.search(self.held, seen - self.base, limit - self.base)
+            if found:
+                return self.base + found.start(), self.base + found.end()
+            seen = max(start, limit - 3)
+            if limit == stop or not self.more():
+                return None
+
+    def drop(self, to: int) -> None:
+        """Lets go of what lies before a position."""
+        while self.reach() < to:
+            if self.jump:
+                self.jump(to)
+                self.base = to
+                self.held.clear()
+                return
+            self.base = self.reach()
+            self.held.clear()
+            if not self.more(1 << 16):
+                return
+        del self.held[: to - self.base]
+        self.base = to
+
+    def next_record(self, at: int) -> int | None:
+        """Where the record behind the empty lines at a position begins; None at the end."""
+        while byte := self.part(at, at + 1):
+            if byte not in b"\r\n":
+                return at
+            at += 1
+        return None
 
 
-def member_length(data: memoryview, at: int) -> int | None:
-    if bytes(data[at : at + 4]) == MEMBER and bytes(data[at + 12 : at + 14]) == b"sl":
-        return struct.unpack("<I", data[at + 16 : at + 20])[0]
+def member_lengths(head: memoryview) -> tuple[int, int] | None:
+    """The compressed and the full length in a member's header."""
+    if bytes(head[:4]) == MEMBER and bytes(head[12:14]) == b"sl":
+        return struct.unpack("<II", head[16:24])
     return None
 
 
+def mark_of(head: memoryview) -> bytes | None:
+    marked = bytes(head[MARK_AT : MARK_AT + 12])
+    return marked if member_lengths(head) and len(marked) == 12 and marked.startswith(MARK) else None
+
+
+def digest_holds(digest: str | None, payload: bytes) -> bool:
+    """Whether a labelled digest is the payload's; true where the algorithm is not known."""
+    algorithm, _, value = (digest or "").partition(":")
+    algorithm = algorithm.lower().replace("-", "")
+    if algorithm not in DIGESTS:
+        return True
+    made = hashlib.new(algorithm, payload).digest()
+    return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
+
+
+def archives_in(system: fs.FileSystem, root: str) -> list[fs.FileInfo]:
+    """The archives of a folder and its subfolders by path, or the file itself."""
+    info = system.get_file_info(root)
+    if info.type == fs.FileType.File:
+        return [info]
+    top = len(info.path.rstrip("/")) + 1
+    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
+    hidden = lambda path: any(name[:1] in ("_", ".") for name in path[top:].split("/"))
+    found = [f for f in found if f.type == fs.FileType.File and ".warc" in f.base_name and not hidden(f.path)]
+    return sorted(found, key=lambda f: f.path)
+
+
 @dataclass(frozen=True)
 class Predicate:
     """A test of one header column."""
@@ -216,15 +322,9 @@ class WarcReader(ds.DataSourceReader):
 
     def partitions(self):
         system, root = fs.FileSystem.from_uri(self.root)
-        found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        found = [f for f in found if f.type == fs.FileType.File and ".warc" in f.base_name]
         ranges = []
-        for file in sorted(found, key=lambda f: f.path):
+        for file in archives_in(system, root):
             step = self.split or file.size or 1
-            if file.size > step:
-                with system.open_input_file(file.path) as opened:
-                    if member_length(memoryview(opened.read(64)), 0) is None:
-                        step = file.size
             ranges += [FileRange(file.path, at, min(at + step, file.size)) for at in range(0, file.size, step)]
         return ranges or [FileRange("", 0, 0)]
 
@@ -247,7 +347,7 @@ class WarcReader(ds.DataSourceReader):
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
     def records(self, file, partition: FileRange) -> Iterator[dict]:
-        """Records that begin in the range; the last may end behind it."""
+        """Records of the range: up to the first marked member that begins behind it, or the file's end."""
         window, base = b"", partition.start
         total = file.size()
 
@@ -262,64 +362,75 @@ class WarcReader(ds.DataSourceReader):
             file.seek(at + passed)
             return file.read(WINDOW_BYTES)
 
-        at = self.first_member(file, partition) if partition.start else 0
-        while at < partition.stop:
-            data = load(at, min(64, total - at))
-            length = member_length(data, 0)
-            if length:
-                content = Inflating(load(at, min(length, total - at))[:length], 0)
+        file.seek(0)
+        first = file.read(HEAD_BYTES)
+        mark, at = mark_of(memoryview(first)), 0
+        if partition.start:
+            at = self.first_marked(file, partition, mark) if mark else total
+        elif not first.startswith(GZIP):
+            file.seek(0)
+            yield from self.rows_of(Content(lambda step: file.read(max(step, 1 << 16)), file.seek))
+            return
+        while at < total:
+            head = load(at, min(HEAD_BYTES, total - at))
+            if mark and at >= partition.stop and mark_of(head) == mark:
+                return
+            lengths = member_lengths(head)
+            if lengths:
+                data = load(at, min(lengths[0], total - at))[: lengths[0]]
+                yield from self.rows_of(Content(Inflating(data).pull), lengths[1])
+                at += lengths[0]
+            elif bytes(head[:3]) == GZIP:
+                inflating = Inflating(head, following)
+                yield from self.rows_of(Content(inflating.pull))
+                at += inflating.end()
             else:
-                content = Inflating(data, 0, following)
-            head_end = content.until(b"\r\n\r\n")
-            row = self.row_of(content, head_end)
-            if row is not None:
-                yield row
-            at += length or content.end(keep=False)
+                raise ValueError(f"no gzip member at byte {at} of {partition.path}")
 
-    def first_member(self, file, partition: FileRange) -> int:
-        """The first record in the range; its stop if there is none."""
-        at, overlap = partition.start, 64
+    def first_marked(self, file, partition: FileRange, mark: bytes) -> int:
+        """The first marked member that begins in the range; the file's end if there is none."""
+        at = partition.start
         while at < partition.stop:
             file.seek(at)
-            data = file.read(1 << 20)
-            place = data.find(GZIP)
-            while 0 <= place:
-                if at + place >= partition.stop:
-                    return partition.stop
-                file.seek(at + place)
-                probe = memoryview(file.read(4096))
-                try:
-                    if Inflating(probe, 0).until(b"WARC/") == 0:
-                        return at + place
-                except zlib.error:
-                    pass
-                place = data.find(GZIP, place + 1)
-            if len(data) < 1 << 20:
-                break
-            at += len(data) - overlap
-        return partition.stop
-
-    def row_of(self, content: Inflating, head_end: int) -> dict | None:
-        if head_end < 0:
-            return None
-        head = headers_of(bytes(content.content[:head_end]))
+            data = memoryview(file.read(min(WINDOW_BYTES, partition.stop - at) + HEAD_BYTES))
+            for found in re.finditer(re.escape(mark), data):
+                place = found.start() - MARK_AT
+                if place >= 0 and mark_of(data[place:]) == mark:
+                    return at + place if at + place < partition.stop else file.size()
+            at += max(1, len(data) - HEAD_BYTES)
+        return file.size()
+
+    def rows_of(self, content: Content, full: int | None = None) -> Iterator[dict]:
+        """The rows of records behind each other; ``full`` is the content's length where it is known."""
+        at = content.next_record(0)
+        while at is not None:
+            if content.part(at, at + 5) != b"WARC/" or not (ends := content.blank_line(at)):
+                raise ValueError("what follows a record is none")
+            row, stop = self.row_of(content, at, *ends)
+            if row is not None:
+                yield row
+            if stop is None or (full is not None and stop + 4 >= full):
+                return
+            content.drop(stop)
+            at = content.next_record(stop)
+
+    def row_of(self, content: Content, at: int, head_end: int, start: int) -> tuple[dict | None, int | None]:
+        """The row of a record, None where a predicate fails, and where its block ends (None: not told)."""
+        head = headers_of(content.part(at, head_end))
         row: dict = {column: head.get(name) for column, name in HEADERS.items()}
         row["content_length"] = int(head["content-length"]) if head.get("content-length", "").isdigit() else None
+        stop = None if row["content_length"] is None else start + row["content_length"]
         if not all(predicate.holds(row) for predicate in self.predicates):
-            return None
-        start = head_end + 4
-        http_end = content.until(b"\r\n\r\n", start) if "http" in (row["content_type"] or "") else -1
-        http = headers_of(bytes(content.content[start:http_end])) if http_end >= 0 else {}
-        body = http_end + 4 if http_end >= 0 else start
-        row["payload_length"] = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
-        if self.with_payload and row["record_type"] != "revisit" and row["content_length"] is not None:
-            content.end()
-            payload = bytes(content.content[body : start + row["content_length"]])
+            return None, stop
+        http = content.blank_line(start, stop) if "http" in (row["content_type"] or "") else None
+        fields = headers_of(content.part(start, http[0])) if http else {}
+        row["payload_length"] = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else None
+        if self.with_payload and row["record_type"] != "revisit" and stop is not None:
+            payload = content.part(http[1] if http else start, stop)
             row["payload"], row["payload_length"] = payload, len(payload)
-            algorithm, _, digest = (row["payload_digest"] or "").partition(":")
-            if self.verify and algorithm == "sha1" and digest != base32_sha1(payload):
+            if self.verify and not digest_holds(row["payload_digest"], payload):
                 raise ValueError(f"payload of {row['record_id']} does not match its digest")
-        return row
+        return row, stop
 
 
 class WarcWriter(ds.DataSourceArrowWriter):
@@ -331,11 +442,11 @@ class WarcWriter(ds.DataSourceArrowWriter):
         system, folder = fs.FileSystem.from_uri(self.tasks)
         system.create_dir(folder)
         path = f"{folder}/part-{uuid.uuid4().hex}.warc.gz"
-        n = 0
+        mark, n = os.urandom(8), 0
         with system.open_output_stream(path, compression=None) as out:
             for batch in iterator:
                 for row in batch.to_pylist():
-                    out.write(member(record_bytes(row)))
+                    out.write(member(record_bytes(row), mark=mark))
                     n += 1
         if not n:
             system.delete_file(path)
@@ -345,12 +456,11 @@ class WarcWriter(ds.DataSourceArrowWriter):
         system, root = fs.FileSystem.from_uri(self.root)
         system.create_dir(root)
         if self.overwrite:
-            for old in system.get_file_info(fs.FileSelector(root)):
-                if old.type == fs.FileType.File and ".warc" in old.base_name:
-                    system.delete_file(old.path)
-        for message in messages:
-            if message and message.path:
-                system.move(message.path, f"{root}/{message.path.rpartition('/')[2]}")
+            for old in archives_in(system, root):
+                system.delete_file(old.path)
+        paths = [message.path for message in messages if message and message.path]
+        with ThreadPoolExecutor(MOVES_AT_ONCE) as pool:
+            list(pool.map(lambda path: system.move(path, f"{root}/{path.rpartition('/')[2]}"), paths))
         self.abort(messages)
 
     def abort(self, messages: list[Moved | None]) -> None:
@@ -409,7 +519,9 @@ def page_records(df: DataFrame, id: str = "page_id", url: str = "url", html: str
     Payloads are compared by SHA-1. Only payloads that occur again are listed;
     the list is broadcast if its counted bytes are within a bound. Null html is
     an empty payload. A row without an id revisits the least id of its payload;
-    among rows without ids all respond, as do repeated rows of the least id.
+    among rows without ids all respond, as do repeated rows of the least id. An
+    empty table gives no records. Further columns are left out, whatever their
+    names; a payload of any length is one record.
     """
     payload = F.encode(F.coalesce(df[html], F.lit("")), "utf-8")
     pages = df.select(df[id].alias("page_id"), df[url].alias("target_uri"), payload.alias("payload")).select(

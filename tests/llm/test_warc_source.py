@@ -68,6 +68,15 @@ def test_predicates_reach_the_source_and_keep_their_meaning(spark, tmp_path):
     assert "Filter (" not in plan  # the source has taken the predicate
 
 
+def test_clashing_columns_and_a_long_payload(spark, tmp_path):
+    rows = [(i, f"u{i}", "é" * (3_000_000 if i == 1 else i)) for i in (1, 2, 3, 3)]
+    extra = {c: F.lit("z") for c in ("sha1", "first", "n", "payload", "record_type", "payload_length", "target_uri")}
+    path = f"file://{tmp_path}/l"
+    write_warc(page_records(spark.createDataFrame(rows, PAGES).withColumns(extra)), path)
+    got = sorted((r.record_id, r.record_type, r.target_uri, r.payload_length) for r in read_warc(spark, path).collect())
+    assert got == sorted((f"<urn:page:{i}>", "response", u, len(t.encode())) for i, u, t in rows)
+
+
 def test_members_of_other_tools(spark, tmp_path):
     record = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
     os.makedirs(f"{tmp_path}/b")
@@ -102,6 +111,97 @@ def test_ranges_lose_no_members_of_other_tools(spark, tmp_path, monkeypatch):
     assert {r["record_id"]: r["payload"] for r in rows} == dict(list(bodies.items())[:150])
 
 
+RECORD = "WARC/1.0\r\nWARC-Type: {type}\r\nWARC-Record-ID: <urn:{id}>\r\nContent-Length: {length}\r\n\r\n"
+
+
+def plain_record(id, body, type="resource"):
+    return RECORD.format(type=type, id=id, length=len(body)).encode() + body + b"\r\n\r\n"
+
+
+def read_files(spark, folder, files, **options):
+    """Rows of an archive folder that holds the files, by record id."""
+    for name, data in files.items():
+        os.makedirs(os.path.dirname(f"{folder}/{name}"), exist_ok=True)
+        with open(f"{folder}/{name}", "wb") as file:
+            file.write(data)
+    rows = read_warc(spark, f"file://{folder}", **options).collect()
+    assert len({r.record_id for r in rows}) == len(rows)
+    return {r.record_id: r for r in rows}
+
+
+def test_members_with_several_records(spark, tmp_path):
+    bodies = {f"<urn:{i}>": os.urandom(i * 40).hex().encode() + b"\r\n\r\nWARC/1.0\r\n" for i in range(90)}
+    records = [plain_record(i[5:-1], b, "resource" if n % 2 else "metadata") for n, (i, b) in enumerate(bodies.items())]
+    joined = [b"".join(records[at : at + 3]) for at in range(0, 90, 3)]
+    files = {"a.warc.gz": b"".join(map(gzip.compress, joined[:15])), "b.warc.gz": b"".join(map(member, joined[15:]))}
+    for split in ("500", "0"):
+        got = read_files(spark, f"{tmp_path}/f", files, split_bytes=split)
+        assert {i: bytes(r.payload) for i, r in got.items()} == bodies, split
+        assert read_warc(spark, f"file://{tmp_path}/f", payload=False, split_bytes=split).count() == 90
+        odd = read_warc(spark, f"file://{tmp_path}/f", split_bytes=split).filter("record_type = 'resource'").collect()
+        assert {r.record_id: bytes(r.payload) for r in odd} == dict(list(bodies.items())[1::2])
+
+
+def test_plain_files_line_ends_and_folded_headers(spark, tmp_path):
+    bodies = {f"<urn:{i}>": b"x" * (i * 3000) + b"\n\n" * (i % 3) for i in range(60)}
+    records = [plain_record(i[5:-1], b) for i, b in bodies.items()]
+    unix = [r.replace(b"\r\n", b"\n").replace(b"Content-Length", b"WARC-Target-URI: http://h/\n  a\nContent-Length") for r in records]
+    files = {"a.warc": b"".join(records[:30]), "b.warc.gz": b"".join(map(gzip.compress, unix[30:45])), "c.warc": b"".join(unix[45:])}
+    for split in ("10000", "0"):
+        got = read_files(spark, f"{tmp_path}/g", files, split_bytes=split)
+        assert {i: bytes(r.payload) for i, r in got.items()} == bodies, split
+        assert got["<urn:31>"].target_uri == "http://h/ a" and got["<urn:1>"].target_uri is None
+        assert read_warc(spark, f"file://{tmp_path}/g", payload=False, split_bytes=split).count() == 60
+
+
+def test_http_blocks_end_with_their_record(spark, tmp_path):
+    typed = lambda r: r.replace(b"Content-Length", b"Content-Type: application/http\r\nContent-Length", 1)
+    open_block, block = b"HTTP/1.1 304 Not Modified\r\nServer: s", b"HTTP/1.1 200 OK\nContent-Length: 3\n\nabc"
+    data = typed(plain_record("1", open_block)) + typed(plain_record("2", block)) + plain_record("3", b"")
+    got = read_files(spark, f"{tmp_path}/h", {"a.warc.gz": gzip.compress(data)})
+    assert [bytes(got[f"<urn:{i}>"].payload) for i in (1, 2, 3)] == [open_block, b"abc", b""]
+    assert got["<urn:2>"].payload_length == 3
+
+
+def test_digests_in_both_spellings(spark, tmp_path):
+    sha1 = hashlib.sha1(b"body").hexdigest()
+    kinds = ["sha1:" + sha1, "SHA1:" + sha1.upper(), "sha1:" + base32_sha1(b"body").lower(), "sha256:" + hashlib.sha256(b"body").hexdigest(), "x:y"]
+    records = [plain_record(n, b"body").replace(b"Content-L", f"WARC-Payload-Digest: {d}\r\nContent-L".encode()) for n, d in enumerate(kinds)]
+    got = read_files(spark, f"{tmp_path}/i", {"a.warc": b"".join(records)})
+    assert sorted(r.payload_digest for r in got.values()) == sorted(kinds)
+    assert not warc_source.digest_holds("sha1:" + sha1, b"other") and not warc_source.digest_holds("md5:00", b"body")
+
+
+def test_one_file_and_subfolders(spark, tmp_path):
+    files = {"a.warc.gz": gzip.compress(plain_record("1", b"a")), "2024/05/b.warc": plain_record("2", b"b"), "_tasks-x/c.warc": b"half", "2024/notes.txt": b"-", "empty.warc": b""}
+    assert set(read_files(spark, f"{tmp_path}/j", files)) == {"<urn:1>", "<urn:2>"}
+    assert [r.record_id for r in read_warc(spark, f"file://{tmp_path}/j/2024/05/b.warc").collect()] == ["<urn:2>"]
+
+
+def test_archives_inside_payloads_begin_no_range(spark, tmp_path):
+    inner = b"".join(member(plain_record(f"inner{i}", os.urandom(40)), mark=b"another!") for i in range(9))
+    rows = [("resource", f"<urn:{i}>", inner if i % 2 else os.urandom(300)) for i in range(6)]
+    path = f"file://{tmp_path}/k"
+    write_warc(spark.createDataFrame(rows, "record_type string, record_id string, payload binary").coalesce(1), path)
+    for split in ("150", "700", "0"):
+        got = read_warc(spark, path, split_bytes=split).collect()
+        assert sorted((r.record_id, bytes(r.payload)) for r in got) == sorted((i, bytes(p)) for _, i, p in rows), split
+
+
+def test_what_is_no_record_is_an_error(tmp_path):
+    reader = warc_source.WarcReader({"path": f"file://{tmp_path}"}, warc_source.schema_of(True))
+    whole = gzip.compress(plain_record("1", b"a" * 5000))
+    for n, data in enumerate((b"no archive", whole + b"junk", whole[:-30], gzip.compress(plain_record("1", b"a") + b"more"))):
+        with open(f"{tmp_path}/{n}.warc.gz", "wb") as file:
+            file.write(data)
+        with fs.LocalFileSystem().open_input_file(f"{tmp_path}/{n}.warc.gz") as file:
+            try:
+                list(reader.records(file, warc_source.FileRange("", 0, len(data))))
+                raise AssertionError(n)
+            except ValueError:
+                pass
+
+
 def test_damaged_payload_is_reported(spark, tmp_path):
     bad = spark.createDataFrame([("response", "<urn:1>", "sha1:" + base32_sha1(b"other"), b"x")], "record_type string, record_id string, payload_digest string, payload binary")
     write_warc(bad, f"file://{tmp_path}/c")
