@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markwise.llm.backoff_automaton import Automaton
+from markwise.llm.backoff_automaton import Automaton, automaton
 from markwise.llm.batches import emit, table, texts_of
 from markwise.llm.words import WordHashes, mixed
 from markwise.session import fresh_path
@@ -356,7 +356,7 @@ class Grams:
             backoff.append(np.log10(np.maximum(left, 1e-12) / np.maximum(below, 1e-12)))
             state.append(number)
             made += len(history)
-        arcs: dict[int, tuple[float, int]] = {}
+        codes, weights, targets = [], [], []
         last = np.arange(width)  # the last word of each n-gram
         behind = state[0][:width]  # the state of its longest suffix that is one
         for m in range(1, len(self.n)):
@@ -366,27 +366,23 @@ class Grams:
                 behind = np.where(state[m][:-1] > 0, state[m][:-1], behind)
             kept = np.flatnonzero(self.n[m] > 0)
             first = self.first[m][kept]
-            weight = np.log10((self.n[m][kept] - discount) / self.n[m - 1][first])
-            codes = state[m - 1][first] * width + last[kept]
-            arcs.update(zip(codes.tolist(), zip(weight.tolist(), behind[kept].tolist(), strict=True), strict=True))
-        fail, backoff = np.concatenate(fail), np.concatenate(backoff)
-        to_root, at = backoff.copy(), fail
-        while at.any():
-            to_root += backoff[at]
-            at = fail[at]
-        return Automaton(
-            width, arcs, fail.tolist(), backoff.tolist(), to_root.tolist(), state[0][:width].tolist(), self.begin
-        )
-
-    def scores(self, answers: list[bytes] | None, alone: np.ndarray, norm: float, discount: float) -> list[float]:
+            codes.append(state[m - 1][first] * width + last[kept])
+            weights.append(np.log10((self.n[m][kept] - discount) / self.n[m - 1][first]))
+            targets.append(behind[kept])
+        arcs = (np.concatenate(part) for part in (codes, weights, targets))
+        start, reach = state[0][:width], len(self.n) - 1
+        return automaton(width, *arcs, np.concatenate(fail), np.concatenate(backoff), start, reach, self.begin)
+
+    def scores(self, answers: list[bytes] | None, alone: np.ndarray, norm: float, discount: float) -> np.ndarray:
         """log10 probability of each text; ``alone`` are those of the tokens by the unigram base."""
         model = self.automaton(answers, norm, discount)
         own = self.at[0] >= 0
         own &= (self.n[0] > 0)[self.at[0]] if len(self.n[0]) else own
         here = self.line != self.begin
-        tokens, base = np.where(own, self.line, -1)[here].tolist(), alone.tolist()
-        ends = np.cumsum(self.lengths).tolist()
-        return [model.score(tokens[a:b], base[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        base = np.zeros(len(self.line))
+        base[here] = alone
+        gains = model.walk(np.where(own | ~here, self.line, -1), base)
+        return np.add.reduceat(gains[here], np.cumsum(self.lengths) - self.lengths)
 
 
 def spelt(codes: np.ndarray, width: int, kept: list[np.ndarray]) -> np.ndarray:

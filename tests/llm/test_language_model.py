@@ -133,3 +133,33 @@ def test_repeats_null_ids_no_training_texts_and_empty_table(spark, documents_of)
     assert (row.train_tokens, row.n_known, row.base_score, row.score) == (0, 0, 0.0, 0.0)
     clash = documents_of([(1, "a")]).withColumnRenamed("lang", "held").withColumnRenamed("source", "block")
     assert score_documents(clash).count() == 1 and score_documents(clash.limit(0)).count() == 0
+
+
+def test_pieces_of_a_line_are_walked_as_a_whole(monkeypatch):
+    rng = np.random.default_rng(8)
+    tokens = rng.integers(2, 7, 3000)
+    unigram, seen = np.full(8, 0.05), np.full(8, 900)
+    pairs = {(a, b) for a, b in rng.integers(2, 7, (18, 2)).tolist()} | {(0, 2), (0, 3)}
+    triples = {(a, b, c) for a, b in pairs for c in range(2, 7) if (b, c) in pairs and (a + b + c) % 3}
+    grams = lambda kept, n: (np.array(sorted(kept)), np.full(len(kept), n))
+    model = build(8, unigram, seen, [grams(pairs, 60), grams(triples, 9)], 0.75)
+    line = np.where(rng.random(3000) < 0.1, -1, tokens)
+    line[[0, 1, 127, 128, 129, 400, 2999]] = model.begin
+    alone = np.log10(rng.random(3000))
+    want, state, arcs = [], 0, model.arcs
+    for token, lone in zip(line.tolist(), alone.tolist(), strict=True):
+        gain, after = 0.0, 0
+        if token == model.begin:
+            after = model.start[token]
+        elif token < 0:
+            gain = model.weight_to_root[state] + lone
+        else:
+            while state and state * 8 + token not in arcs:
+                gain, state = gain + model.backoff[state], model.fail[state]
+            weight, after = arcs[state * 8 + token] if state else (lone, model.start[token])
+            gain += weight
+        want.append(gain)
+        state = after
+    for piece in (1, 7, 128, 5000):
+        monkeypatch.setattr("markwise.llm.backoff_automaton.PIECE", piece)
+        assert np.allclose(model.walk(line, alone), want, atol=1e-12), piece
