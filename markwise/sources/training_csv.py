@@ -9,9 +9,11 @@ from markwise import fixed_values as fixed
 from markwise import schemas
 
 # --- fixed values: the file format -----------------------------------------
+# files that the service keeps hold one byte a character
+SERVICE_ENCODING = "ISO-8859-1"
 CSV_OPTIONS = {
     "header": "true",
-    "encoding": "ISO-8859-1",
+    "encoding": "UTF-8",
     "quote": '"',
     "escape": '"',
     "ignoreLeadingWhiteSpace": "false",
@@ -19,14 +21,19 @@ CSV_OPTIONS = {
 }
 
 
-def read_training(spark: SparkSession, path: str, schema: str = schemas.TRAINING_CSV) -> DataFrame:
-    """(exp_num, text, label) as strings; quoted fields may hold newlines."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine="true").csv(path)
+def read_training(
+    spark: SparkSession, path: str, schema: str = schemas.TRAINING_CSV, encoding: str = CSV_OPTIONS["encoding"]
+) -> DataFrame:
+    """(exp_num, text, label) as strings; quoted fields may hold newlines.
+
+    What ``write_training`` wrote is UTF-8; files of the service are read with ``SERVICE_ENCODING``.
+    """
+    return spark.read.schema(schema).options(**{**CSV_OPTIONS, "encoding": encoding}, multiLine="true").csv(path)
 
 
-def read_default_training(spark: SparkSession, path: str) -> DataFrame:
+def read_default_training(spark: SparkSession, path: str, encoding: str = CSV_OPTIONS["encoding"]) -> DataFrame:
     """Rows pooled over lessons, with their question and ideal unpacked."""
-    return unpack_exp_data(read_training(spark, path, schemas.DEFAULT_TRAINING_CSV))
+    return unpack_exp_data(read_training(spark, path, schemas.DEFAULT_TRAINING_CSV, encoding))
 
 
 def unpack_exp_data(rows: DataFrame) -> DataFrame:

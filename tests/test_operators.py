@@ -221,3 +221,12 @@ expectations:
         a, b = table.orderBy("pos").collect()
         assert (a.good, a.featureLengthRatio, b.extras, b.good, b.exp_num) == (["on", "x"], True, {}, [], "b")
         assert a.extras == {"ideal": '"with \\"quotes\\", and: colons"', "weights": '{"a key":null,"b":[1,2.5]}'}
+
+
+def test_training_csv_keeps_every_character_and_reads_service_files(spark, tmp_path):
+    rows = [("0", "naïve “quoted” – 日本\nline", "good"), ("01", "Größe, ½", "bad")]
+    training_csv.write_training(spark.createDataFrame(rows, "exp_num string, text string, label string"), str(tmp_path / "u"))
+    assert sorted(map(tuple, training_csv.read_training(spark, str(tmp_path / "u")).collect())) == sorted(rows)
+    (tmp_path / "s.csv").write_bytes('exp_num,text,label\n01,"Größe, ½\nline",bad\n'.encode("latin-1"))
+    read = training_csv.read_training(spark, str(tmp_path / "s.csv"), encoding=training_csv.SERVICE_ENCODING)
+    assert [tuple(r) for r in read.collect()] == [("01", "Größe, ½\nline", "bad")]
