@@ -55,7 +55,7 @@ _TENS = ["", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eigh
 
 
 def spelled(n: str) -> str:
-    """SQL for the English words of an integer column below one million."""
+    """SQL for the English words of an integer column below a thousand billions."""
     small = "array(" + ", ".join(f"'{w}'" for w in _DIGITS) + ")"
     tens = "array(" + ", ".join(f"'{w}'" for w in _TENS) + ")"
 
@@ -67,8 +67,12 @@ def spelled(n: str) -> str:
         return (f"trim(concat(CASE WHEN {x} >= 100 THEN concat({small}[int({x} div 100)], ' hundred ') ELSE '' END, "
                 f"{below_hundred(f'({x} % 100)')}))")
 
-    return (f"CASE WHEN {n} = 0 THEN 'zero' ELSE trim(concat(CASE WHEN {n} >= 1000 THEN concat({below_thousand(f'({n} div 1000)')}, ' thousand ') ELSE '' END, "
-            f"{below_thousand(f'({n} % 1000)')})) END")
+    def scale(size: int, word: str) -> str:
+        group = f"({n} div {size} % 1000)"
+        return f"CASE WHEN {n} div {size} % 1000 > 0 THEN concat({below_thousand(group)}, ' {word} ') ELSE '' END"
+
+    scales = ", ".join(scale(size, word) for size, word in ((10**9, "billion"), (10**6, "million"), (10**3, "thousand")))
+    return f"CASE WHEN {n} = 0 THEN 'zero' ELSE trim(concat({scales}, {below_thousand(f'({n} % 1000)')})) END"
 
 
 def _shown(key: str) -> str:

@@ -135,3 +135,16 @@ def test_no_python_in_text_plan(spark):
     df = spark.createDataFrame([("x y",)], "v string").select(text.preprocess("v").alias("t"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_order_keys_beyond_a_million_are_spelled_and_read_back(spark, tmp_path):
+    from markwise.plans import catalog_text
+
+    keys = [0, 1, 2, 999_999, 1_000_000, 1_000_001, 2_345_678, 36_000_007, 118_000_020, 999_999_999, 5_000_000_011]
+    spark.createDataFrame([(k, 9_000_000 + k % 7) for k in keys], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    for r in catalog_text.number_words(spark, str(tmp_path)).collect():
+        shown = "one" if r.o_orderkey == 1 else str(r.o_orderkey)
+        assert r.text.lower() == f"order {shown} by customer {9_000_000 + r.o_orderkey % 7} then 7"
+    kinds = {r.o_orderkey: r.text for r in catalog_text.number_word_kinds(spark, str(tmp_path)).collect()}
+    assert kinds[2_345_678] == f"the 2345678th costs {9_000_000 + 2_345_678 % 7}.678 or {9_000_000 + 2_345_678 % 7}/{2_345_678 % 9 + 2} more"
+    assert kinds[1_000_000].startswith("the 1000000th costs") and kinds[118_000_020].startswith("the 118000020th costs")
