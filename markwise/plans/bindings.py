@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(splits, *TEXTS[name]) if splits and name in TEXTS else rows
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream of its rows, be it a file or a folder of files."""
+    # by a pattern, as a stream's path itself has to be a folder
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def raw_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(lesson, exp_num, row_id, text, label) with labels as people type them."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")

@@ -117,8 +117,7 @@ def resolved_evaluation(spark, sf_dir):
        "SELECT conv_id || '-' || turn, NULL, 'rejected', NULL FROM conversations WHERE role <> 'user'")
 def streaming_evaluation(spark, sf_dir):
     """The same as a stream over the turns; only user turns name a lesson."""
-    schema = b.table(spark, sf_dir, "conversations").schema
-    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    turns = b.table_stream(spark, sf_dir, "conversations")
     lesson = F.element_at(F.lit(b.LESSONS), (F.col("conv_id") % len(b.LESSONS) + 1).cast("int"))
     answers = turns.select(
         F.concat_ws("-", "conv_id", "turn").alias("answer_id"), F.when(F.col("role") == "user", lesson).alias("lesson"),
@@ -200,8 +199,7 @@ FROM owned GROUP BY job_id, began"""
 @query("streaming_job_ledger", _LEDGER)
 def streaming_job_ledger(spark, sf_dir):
     """All records that jobs ever had, the last ones with what has become of them."""
-    schema = b.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = b.table_stream(spark, sf_dir, "events")
     updates = ledger_stream(job_events(events).withColumn("at", F.col("at").cast("timestamp")))
     path = fresh_path(spark, "ledger")
     stream = (

@@ -170,3 +170,18 @@ def test_a_reader_between_two_writes_sees_one_version(spark, tmp_path):
         assert seen(after, table) == {("a", 2), ("b", 1)}
     versions.remove(rows("b", 0), root)
     assert seen(versions.pinned(spark, root), "truths") == {("a", 2)}
+
+
+def test_a_table_in_many_files_is_streamed_like_one_file(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from markwise.plans import bindings
+
+    pq.write_table(pa.table({"k": [1, 2, 3]}), tmp_path / "one.parquet")
+    spark.range(9).toDF("k").repartition(3).write.parquet(f"{tmp_path}/many.parquet")
+    for name, rows in (("one", [1, 2, 3]), ("many", list(range(9)))):
+        out = f"{tmp_path}/{name}-out"
+        bindings.table_stream(spark, str(tmp_path), name).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", f"{tmp_path}/{name}-state").trigger(availableNow=True).start().awaitTermination()
+        assert sorted(r.k for r in spark.read.parquet(out).collect()) == rows
