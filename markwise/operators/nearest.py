@@ -2,7 +2,7 @@
 
 A few points of each group are pivots. A point lies in a block by its nearest
 and second nearest pivot and by how far it is from them, so a block is a small
-region. Per block the least and greatest distance to every pivot is kept.
+region, or a run of regions with few points. Per block the least and greatest distance to every pivot is kept.
 By the triangle inequality two points within the radius have distances to any
 pivot that differ by no more than the radius. So two blocks whose ranges are further
 apart for one pivot hold no such pair, and that is known from the ranges alone:
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markwise.functions.vectors import norm
@@ -22,7 +22,7 @@ from markwise.operators.skew import salted_join
 from markwise.session import written
 
 PIVOTS = 16
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 2048
 #: Steps that the range of distances is cut into to find block pairs.
 STEPS = 64
 #: Distances are sums of rounded numbers; ranges are widened by this share.
@@ -54,12 +54,22 @@ def blocked(points: DataFrame, group: list[str], radius: float, block_rows: int
     ordered = F.array_sort(F.transform("far", lambda d, k: F.struct(d.alias("d"), k.alias("k"))))
     placed = points.withColumn("_o", ordered)
     ring = [F.floor(F.get("_o", F.lit(i))["d"] / radius).cast("long") for i in (0, 1)]
-    region = F.xxhash64(*[F.get("_o", F.lit(i))["k"] for i in (0, 1)], *ring)
-    placed = placed.withColumn("region", region).withColumn("cell", F.get("_o", F.lit(0))["k"]).drop("_o")
-    sizes = placed.groupBy(*group, "region").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("parts"))
-    joined = salted_join(placed, sizes, [*group, "region"], "id", "inner")
-    block = F.xxhash64("region", F.pmod(F.xxhash64("id"), F.col("parts")))
-    return written(joined.withColumn("block", block).drop("region", "parts"), "blocked")
+    region = [F.get("_o", F.lit(i))["k"] for i in (0, 1)] + ring
+    names = ["_r0", "_r1", "_r2", "_r3"]
+    placed = placed.withColumns(dict(zip(names, region, strict=True))).withColumn("cell", F.get("_o", F.lit(0))["k"]).drop("_o")
+    placed = placed.withColumn("region", F.xxhash64(*names))
+    sizes = placed.groupBy(*group, "region", *names).agg(F.count(F.lit(1)).alias("n"))
+    # small regions next to each other share a block, or the pairs of blocks would be as many as those of points
+    small = F.col("n") < block_rows
+    before = Window.partitionBy(*group).orderBy(*names, "region").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = F.floor(F.sum(F.when(small, F.col("n")).otherwise(0)).over(before) / F.lit(block_rows))
+    sizes = sizes.select(
+        *group, "region", F.when(small, F.xxhash64(F.lit("run"), run)).otherwise(F.col("region")).alias("_block"),
+        F.when(small, 1).otherwise(F.ceil(F.col("n") / F.lit(block_rows))).alias("parts"),
+    )
+    joined = salted_join(placed.drop(*names), sizes, [*group, "region"], "id", "inner")
+    block = F.xxhash64("_block", F.pmod(F.xxhash64("id"), F.col("parts")))
+    return written(joined.withColumn("block", block).drop("region", "parts", "_block"), "blocked")
 
 
 def block_pairs(points: DataFrame, group: list[str], radius: float, n_pivots: int = PIVOTS) -> DataFrame:

@@ -51,3 +51,19 @@ def test_clusters_are_sent_far_from_all_to_all(spark):
     # all block pairs would send each point to about every block
     assert sent < 8 * len(vectors) < len(vectors) * n_blocks / 6
     assert pairs.filter(F.col("one") == F.col("other")).count() == n_blocks
+
+
+def test_few_points_make_few_blocks(spark):
+    rng = np.random.default_rng(3)
+    made = rng.normal(size=(900, 24))
+    made /= np.linalg.norm(made, axis=1)[:, None]
+    points = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(made)], "g string, id bigint, vector array<double>")
+    own = nearest.blocked(nearest.with_pivots(points, ["g"]), ["g"], 0.5, 200)
+    sizes = [r["count"] for r in own.groupBy("block").count().collect()]
+    assert sum(sizes) == 900 and len(sizes) <= 9 and max(sizes) <= 400
+    got = {r.id: (r.neighbour, r.distance) for r in nearest.nearest_within(points, ["g"], 1.2, 200).collect()}
+    far = np.sqrt(((made[:, None] - made[None]) ** 2).sum(-1))
+    np.fill_diagonal(far, np.inf)
+    want = {i: (int(far[i].argmin()), far[i].min()) for i in range(900) if far[i].min() <= 1.2}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
