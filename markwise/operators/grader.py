@@ -92,9 +92,14 @@ def lesson_prompts(expectations: DataFrame, truth: DataFrame | None = None) -> D
     return concepts.join(truths, "lesson", "left")
 
 
-def prompts(answers: DataFrame, lessons: DataFrame) -> DataFrame:
-    """(answer_id, lesson, n_concepts, messages): the ordered message array."""
-    joined = salted_join(answers.select("answer_id", "lesson", "text"), lessons, ["lesson"], "answer_id", "inner")
+def prompts(answers: DataFrame, lessons: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(answer_id, lesson, n_concepts, messages, keep…): the ordered message array.
+
+    A message array holds up to a hundred texts of its lesson, so what else is
+    wanted of an answer (``keep``) should come along rather than be joined on later.
+    """
+    keep = keep or []
+    joined = salted_join(answers.select("answer_id", "lesson", "text", *keep), lessons, ["lesson"], "answer_id", "inner")
     answer = F.to_json(F.create_map(F.lit("Answer 0"), F.struct(F.col("text").alias("Answer Text"))))
 
     def message(role: str, content):
@@ -109,7 +114,7 @@ def prompts(answers: DataFrame, lessons: DataFrame) -> DataFrame:
         message("user", F.concat(F.lit(fixed.PROMPT_GROUND_TRUTH + "\n"), F.col("truth_json"))),
     )
     present = F.filter(messages, lambda m: m["content"].isNotNull())
-    return joined.select("answer_id", "lesson", "n_concepts", present.alias("messages"))
+    return joined.select("answer_id", "lesson", "n_concepts", present.alias("messages"), *keep)
 
 
 def route(rows: DataFrame, chars_per_token: float = 4.0, limit: int = fixed.PROMPT_TOKEN_LIMIT) -> DataFrame:

@@ -40,7 +40,7 @@ def _prompts(spark, sf_dir):
     lessons = written(grader.lesson_prompts(expectations, grader.ground_truth(training, expectations)), "lesson_prompts")
     answers = b.answers(spark, sf_dir)
     named = answers.select("answer_id", F.when(F.col("lesson") == "fr", "lesson-model").alias("llm_model_name"))
-    return grader.prompts(answers, lessons).join(named, "answer_id")
+    return grader.prompts(answers.join(named, "answer_id"), lessons, ["llm_model_name"])
 
 
 @query("prompt_messages", o.with_(o.RAW, o.EXPECT, o.ASKED, TRUTH) + f"""SELECT answer_id, lesson, 6 AS n_messages, 'system,user,user,user,user,user' AS roles,
