@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markwise import fixed_values as fixed
+from markwise.operators.skew import salted_join
 from markwise.plans import bindings as b
 from markwise.plans import oracle as o
 from markwise.plans.registry import query
-from markwise.session import fresh_path
+from markwise.session import fresh_path, written
 from markwise.sources import lesson_config, lesson_json, model_store, training_csv, versions
 
 
@@ -43,7 +44,9 @@ def lesson_export_scan(spark, sf_dir):
 @query("all_lessons_scan", o.with_(o.RAW, o.EXPECT) + "SELECT r.exp_num, r.label, md5(r.text) AS text, md5(e.question) AS question, "
        "md5(e.ideal) AS ideal FROM raw r JOIN expect e USING (lesson, exp_num)")
 def all_lessons_scan(spark, sf_dir):
-    rows = b.raw_training(spark, sf_dir).join(b.expectations(spark, sf_dir), ["lesson", "exp_num"])
+    # a lesson may hold most of the rows
+    expectations = written(b.expectations(spark, sf_dir), "expectations")
+    rows = salted_join(b.raw_training(spark, sf_dir), expectations, ["lesson", "exp_num"], "row_id", "inner")
     path = fresh_path(spark, "all-lessons")
     data = F.to_json(F.struct("question", "ideal")).alias("exp_data")
     training_csv.write_training(rows.select("exp_num", "text", "label", data), path)

@@ -19,6 +19,8 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
+# a file with newlines in its fields is read by one task as a whole
+FILE_ROWS = 20_000
 
 
 def read_training(
@@ -42,8 +44,8 @@ def unpack_exp_data(rows: DataFrame) -> DataFrame:
 
 
 def write_training(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """One CSV set per lesson (or as ``partition_by`` says), readable by the scan."""
-    writer = rows.write.mode("overwrite").options(**CSV_OPTIONS, quoteAll="true")
+    """One CSV set per lesson (or as ``partition_by`` says), readable by the scan, in files of bounded size."""
+    writer = rows.write.mode("overwrite").options(**CSV_OPTIONS, quoteAll="true", maxRecordsPerFile=FILE_ROWS)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 

@@ -230,3 +230,21 @@ def test_training_csv_keeps_every_character_and_reads_service_files(spark, tmp_p
     (tmp_path / "s.csv").write_bytes('exp_num,text,label\n01,"Größe, ½\nline",bad\n'.encode("latin-1"))
     read = training_csv.read_training(spark, str(tmp_path / "s.csv"), encoding=training_csv.SERVICE_ENCODING)
     assert [tuple(r) for r in read.collect()] == [("01", "Größe, ½\nline", "bad")]
+
+
+def test_training_files_are_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(training_csv, "FILE_ROWS", 100)
+    rows = spark.range(450).repartition(1).selectExpr("'0' AS exp_num", "concat('a\n', id) AS text", "'good' AS label")
+    training_csv.write_training(rows, str(tmp_path / "t"))
+    sizes = [training_csv.read_training(spark, str(f)).count() for f in (tmp_path / "t").glob("*.csv")]
+    assert sum(sizes) == 450 and max(sizes) == 100
+
+
+def test_prompts_bring_along_what_is_kept(spark):
+    from markwise.operators import grader
+
+    answers = spark.createDataFrame([("1-1", "l", "it floats", "own"), ("1-2", "l", "it sinks", None)], "answer_id string, lesson string, text string, llm_model_name string")
+    lessons = spark.createDataFrame([("l", 1, "{}", None)], "lesson string, n_concepts int, concepts_json string, truth_json string")
+    found = grader.prompts(answers, lessons, ["llm_model_name"])
+    assert {r.answer_id: r.llm_model_name for r in found.collect()} == {"1-1": "own", "1-2": None}
+    assert all(len(r.messages) == 5 for r in found.collect())
