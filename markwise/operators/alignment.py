@@ -164,7 +164,7 @@ def alignment_certificates(
 
 def _check_block(width: int, keys: list[str], tolerance: float):
     def checked(answer, ideal, partner, answer_price, ideal_price, places, matrix):
-        """(primal, dual, feasible) of one certificate."""
+        """Weight, sums of both sides' prices and feasibility of one certificate."""
         weight = np.zeros((len(answer), len(ideal)))
         rows = [i for i, w in enumerate(answer) if w in places]
         columns = [j for j, w in enumerate(ideal) if w in places]
@@ -177,17 +177,17 @@ def _check_block(width: int, keys: list[str], tolerance: float):
         feasible &= bool((weight <= answer_price[:, None] + ideal_price[None, :] + tolerance).all())
         if len(answer) != len(ideal):
             feasible &= bool((answer_price if len(answer) > len(ideal) else ideal_price).min() >= -tolerance)
-        return float(weight[own, partner[own]].sum()), float(answer_price.sum() + ideal_price.sum()), feasible
+        return float(weight[own, partner[own]].sum()), float(answer_price.sum()), float(ideal_price.sum()), feasible
 
     def check(rows: pa.Table, known: pa.Table) -> pa.Table:
         places, matrix = _places(known, width)
         names = [field.split()[0] for field in CERTIFICATE.split(", ")]
         found = [checked(*row, places, matrix) for row in zip(*[rows[n].to_pylist() for n in names], strict=True)]
-        columns = zip(*found, strict=True) if found else [()] * 3
-        types = [pa.float64(), pa.float64(), pa.bool_()]
+        columns = zip(*found, strict=True) if found else [()] * 4
+        types = [pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
         return pa.table(
             [*[rows[k] for k in keys], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]],
-            [*keys, "primal", "dual", "feasible"],
+            [*keys, "primal", "answer_sum", "ideal_sum", "feasible"],
         )
 
     return check
@@ -211,6 +211,11 @@ def checked_certificates(
     names = [field.split()[0] for field in CERTIFICATE.split(", ")]
     rows = certificates.select(*keys, *names)
     types = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", primal double, dual double, feasible boolean"
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", primal double, answer_sum double, ideal_sum double, feasible boolean"
     work = _check_block(vector_width(vocabulary), keys, tolerance)
-    return by_block(rows, ["answer_words", "ideal_words"], vocabulary, work, schema, PAIR_WORDS)
+    checked = by_block(rows, ["answer_words", "ideal_words"], vocabulary, work, schema, PAIR_WORDS)
+    # several certificates of one pair use a partner twice
+    return checked.groupBy(*keys).agg(
+        F.sum("primal").alias("primal"), (F.sum("answer_sum") + F.first("ideal_sum")).alias("dual"),
+        (F.every("feasible") & (F.count(F.lit(1)) == 1)).alias("feasible"),
+    )

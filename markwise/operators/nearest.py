@@ -159,9 +159,10 @@ def nearest_within(
     smallest id of equally near ones; no row for points without one in the radius.
 
     ``points``: (group…, id bigint, vector array<double>). Equal vectors are
-    one point with its two smallest ids, so copies cost nothing.
+    one point with its two smallest ids, so copies cost nothing. Points without
+    a vector are near nothing.
     """
-    points = written(points.select(*group, "id", "vector"), "points")
+    points = written(points.select(*group, "id", "vector").filter("vector IS NOT NULL"), "points")
     merged = points.groupBy(*group, "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     merged = written(merged, "merged")
     own = blocked(with_pivots(merged, group, n_pivots), group, radius, block_rows)

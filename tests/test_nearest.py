@@ -67,3 +67,9 @@ def test_few_points_make_few_blocks(spark):
     want = {i: (int(far[i].argmin()), far[i].min()) for i in range(900) if far[i].min() <= 1.2}
     assert got.keys() == want.keys()
     assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
+
+
+def test_points_without_a_vector_are_near_nothing(spark):
+    rows = [("a", i, [float(i), 0.0]) for i in range(6)] + [("a", 9, None), ("b", 10, None)]
+    got = nearest.nearest_within(spark.createDataFrame(rows, SCHEMA), ["g"], 1.5).collect()
+    assert sorted(r.id for r in got) == list(range(6))
