@@ -12,6 +12,8 @@ from markwise.session import fresh_path
 
 #: Rows that are made per output batch where an operator makes its own rows.
 ROWS_OUT = 2000
+#: Rows that a helper works on at a time; what it holds meanwhile grows with them.
+SLICE_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +63,7 @@ def add_columns(
 
         work = make()
         types = [to_arrow_type(kind) for kind in kinds]
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE_ROWS) for whole in batches for i in range(0, whole.num_rows, SLICE_ROWS)):
             made = work(*[batch.column(n_kept + i) for i in range(n_inputs)])
             arrays = [batch.column(i) for i in range(n_kept)]
             arrays += [
@@ -69,6 +71,8 @@ def add_columns(
                 for column, kind in zip(made, types, strict=True)
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        # the worker lives on for other stages
+        pa.default_memory_pool().release_unused()
 
     return sent.mapInArrow(run, schema)
 
