@@ -47,6 +47,28 @@ def test_density_against_brute_force(spark, block_rows):
         assert [found[name][i] for i in range(len(labels))] == labels
 
 
+def test_dense_points_are_settled_by_pivots_and_not_compared(spark):
+    rng = np.random.default_rng(8)
+    centres = np.array([[0.0, 0, 0], [0.9, 0, 0], [5, 5, 5]])
+    vectors = np.concatenate(
+        [centre + rng.normal(size=(n, 3)) * 0.08 for centre, n in zip(centres, (1500, 400, 200))]
+        + [[[x, 0, 0] for x in np.linspace(0.2, 0.7, 9)], rng.uniform(-1.5, 1.5, size=(60, 3)), centres + 0.3]
+    )
+    rows = [("g", i, v.tolist()) for i, v in enumerate(rng.permutation(vectors))] + [("few", i, [float(i), 0.0, 0.0]) for i in range(3)]
+    points = spark.createDataFrame(rows, "g string, id bigint, vector array<double>")
+    found = {(r.g, r.id): r.cluster for r in density.density_clusters(points, ["g"], 0.4, 5, 100).collect()}
+    expected = brute_dbscan(np.array([v for g, _, v in rows if g == "g"]), 0.4, 5)
+    assert [found["g", i] for i in range(len(expected))] == expected
+    assert [found["few", i] for i in range(3)] == [-1] * 3
+
+    settled = density._settled(density._merged(points, ["g"]), ["g"], 0.4, 5)
+    assert settled.filter("part IS NOT NULL").count() > 2000
+    blocked, pairs = density._open_blocks(settled, ["g"], 0.4, 100)
+    sizes = {r.block: r["count"] for r in blocked.groupBy("block").count().collect()}
+    compared = sum(sizes[r.one] * sizes[r.other] for r in pairs.collect())
+    assert compared < len(vectors) ** 2 / 4  # all pairs of these near cells were, before
+
+
 def test_components_on_a_long_path(spark):
     edges = spark.createDataFrame([("g", i, i + 1) for i in range(60)] + [("g", 100, 101)], "g string, a bigint, b bigint")
     nodes = spark.createDataFrame([("g", i) for i in [*range(61), 100, 101, 200]], "g string, id bigint")
