@@ -56,7 +56,7 @@ WORDS, PERCENT = 4, 85
 #: Bits of a hash that n-grams are counted and joined by.
 KEY_BITS = 48
 #: N-grams and classes of a block, and n-grams of a range.
-BLOCK_GRAMS, BLOCK_CLASSES, RANGE_GRAMS = 1 << 20, 1 << 16, 2_000_000
+BLOCK_GRAMS, BLOCK_CLASSES, RANGE_GRAMS = 1 << 19, 1 << 16, 1_000_000
 #: Characters to an n-gram, to estimate the number of ranges.
 CHARACTERS = 6
 #: Buckets of the suffix filter.
@@ -141,6 +141,18 @@ def unpacked_keys(high: bytes, low: bytes) -> np.ndarray:
     return np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(32) | np.frombuffer(low, "<u4")
 
 
+def occurrences(keys: np.ndarray) -> np.ndarray:
+    """How often each key occurs, at its place, up to the largest unsigned 32-bit number."""
+    order = np.argsort(keys, kind="stable").astype(np.uint32 if len(keys) < 2**32 else np.int64)
+    ordered = keys[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))[: len(keys)]
+    del ordered
+    runs = np.diff(np.append(starts, len(keys)))
+    count = np.empty(len(keys), np.uint32)
+    count[order] = np.repeat(np.minimum(runs, 2**32 - 1).astype(np.uint32), runs)
+    return count
+
+
 def shared_grams(asked: pa.Table) -> pa.Table:
     """The n-grams of a range that occur twice or more, per block, with their counts;
     rows that describe a block's owners as they are."""
@@ -149,8 +161,7 @@ def shared_grams(asked: pa.Table) -> pa.Table:
     out = []
     if rows:
         keys = [unpacked_keys(r["high"], r["low"]) for r in rows]
-        every, first, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        count = np.minimum(count, 2**32 - 1)[first]
+        count = occurrences(np.concatenate(keys))
         at = 0
         for row, own in zip(rows, keys, strict=True):
             n = count[at : at + len(own)]
@@ -160,9 +171,12 @@ def shared_grams(asked: pa.Table) -> pa.Table:
                 out.append(
                     (row["block"], row["part"], np.frombuffer(row["high"], "<u2")[kept].tobytes(),
                      np.frombuffer(row["low"], "<u4")[kept].tobytes(), np.frombuffer(row["owners"], "<u2")[kept].tobytes(),
-                     n[kept].astype("<u4").tobytes(), None, None, None)
+                     n[kept].astype("<u4", copy=False).tobytes(), None, None, None)
                 )
-    return pa.concat_tables([owners_rows, pa.Table.from_batches([emit(asked.schema.names, asked.schema.types, out)])])
+    made = pa.concat_tables([owners_rows, pa.Table.from_batches([emit(asked.schema.names, asked.schema.types, out)])])
+    # the worker goes on to other ranges
+    pa.default_memory_pool().release_unused()
+    return made
 
 
 POSTINGS = T.StructType(

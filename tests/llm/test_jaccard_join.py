@@ -126,3 +126,10 @@ def test_long_texts(spark, documents_of):
     texts = {1: " ".join(words), 2: " ".join(words[:140_000]), 3: " ".join(words[:100_000])}
     got = jaccard_groups(documents_of(list(texts.items()))).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {1: (149_997, 1), 2: (139_997, 1), 3: (99_997, 3)}
+
+
+def test_occurrences_are_counted_at_their_places():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 50, 400).astype(np.uint64) << np.uint64(40)
+    assert module.occurrences(keys).tolist() == [int((keys == k).sum()) for k in keys]
+    assert module.occurrences(keys[:0]).tolist() == []
