@@ -45,7 +45,23 @@ PLAIN_ORDINALS = 3
 
 _GAP = r"[\s\-]+"
 _CARDINAL = "|".join(NUMBERS)
-_WORD = "|".join([*NUMBERS, *ORDINALS])
+
+
+def _alternatives(words: list[str]) -> str:
+    """A pattern for the words that tries a letter once for all words that begin with it."""
+    letters: dict[str, list[str]] = {}
+    for word in words:
+        letters.setdefault(word[0], []).append(word[1:])
+    found = []
+    for letter, ends in letters.items():
+        longer = [e for e in ends if e]
+        rest = f"(?:{_alternatives(longer)})" if longer else ""
+        found.append(letter + rest + ("?" if longer and len(longer) < len(ends) else ""))
+    return "|".join(found)
+
+
+# which of these words is tried first makes no difference, as only a whole one can be followed by what has to follow
+_WORD = _alternatives([*NUMBERS, *ORDINALS])
 _FOLLOWING = "|".join([*NUMBERS, *ORDINALS])
 _PARTS = "|".join(DENOMINATORS)
 _LINKED = "|".join(word for word, value in NUMBERS.items() if value >= 100)

@@ -97,17 +97,17 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, in_slim, vector): every word, with a vector picked by hash."""
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     n_vectors = embeddings.count()
-    words = (
-        table(spark, sf_dir, "documents")
-        .select(F.explode(F.expr(text.tokens_sql(text.punctuation_sql("lower(text)")))).alias("word"))
-        .distinct()
-    )
-    part = F.conv(F.substring(F.md5("word"), 8, 2), 16, 10).cast("int")
-    vec_id = F.conv(F.substring(F.md5("word"), 1, 7), 16, 10).cast("bigint") % n_vectors
+    # nothing of the normalisation reaches across a space, so each run between spaces goes through it once
+    runs = table(spark, sf_dir, "documents").select(F.explode(F.expr(r"split(replace(text, '\n', ' '), ' ')")).alias("run")).distinct()
+    spaced = f'regexp_replace({text.punctuation_sql("lower(run)")}, r"{text.SPACE}+", " ")'
+    words = runs.select(F.explode(F.expr(f"split({spaced}, ' ')")).alias("word")).filter("word <> ''").distinct()
+    code = F.md5("word")
+    part = F.conv(F.substring(code, 8, 2), 16, 10).cast("int")
+    vec_id = F.conv(F.substring(code, 1, 7), 16, 10).cast("bigint") % n_vectors
     return (
-        words.withColumn("vec_id", vec_id)
+        words.select("word", (part < SLIM_PARTS).alias("in_slim"), vec_id.alias("vec_id"))
         .join(embeddings, "vec_id")
-        .select("word", (part < SLIM_PARTS).alias("in_slim"), "vector")
+        .select("word", "in_slim", "vector")
     )
 
 

@@ -148,3 +148,25 @@ def test_order_keys_beyond_a_million_are_spelled_and_read_back(spark, tmp_path):
     kinds = {r.o_orderkey: r.text for r in catalog_text.number_word_kinds(spark, str(tmp_path)).collect()}
     assert kinds[2_345_678] == f"the 2345678th costs {9_000_000 + 2_345_678 % 7}.678 or {9_000_000 + 2_345_678 % 7}/{2_345_678 % 9 + 2} more"
     assert kinds[1_000_000].startswith("the 1000000th costs") and kinds[118_000_020].startswith("the 118000020th costs")
+
+
+def test_vocabulary_is_normalised_once_a_run_between_spaces(spark, tmp_path):
+    from markwise.plans import bindings
+
+    texts = ["Can't STOP-now  won't", "a\tb\u00a0c\nd=e 5%", " \n", None, "", "\u039f\u0394\u039f\u03a3 x\u03a3 '\u03a3", "it's ~(ok)~\x1cgo\u2003on.", "isn't can't"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i)]) for i in range(5)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = bindings.vocabulary(spark, str(tmp_path))
+    whole = F.explode(F.expr(text.tokens_sql(text.punctuation_sql("lower(text)"))))
+    expected = spark.read.parquet(f"{tmp_path}/documents.parquet").select(whole.alias("word")).distinct()
+    assert sorted(r.word for r in found.collect()) == sorted(r.word for r in expected.collect())
+    # the patterns go over distinct runs, not over whole texts
+    assert "lower(run" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_number_words_are_tried_letter_by_letter():
+    from markwise.functions import numbers
+
+    for word in [*numbers.NUMBERS, *numbers.ORDINALS]:
+        assert re.fullmatch(numbers._alternatives([*numbers.NUMBERS, *numbers.ORDINALS]), word)
+    assert numbers._alternatives(["six", "sixth", "ten"]) == "s(?:i(?:x(?:t(?:h))?))|t(?:e(?:n))"
