@@ -19,6 +19,8 @@ from markwise.session import written
 BROADCAST_BYTES = 64 << 20
 #: Words of the texts that share one copy of their words' vectors.
 BLOCK_WORDS = 1 << 20
+#: Words of the texts that a task lays out with their vectors at a time.
+PACKED_WORDS = 1 << 18
 #: Words whose vectors are summed at a time.
 SUMMED_WORDS = 1 << 15
 
@@ -147,24 +149,51 @@ def mean_vectors(
     return sums.select(*key, "n_known", F.when(F.col("n_known") > 0, mean).otherwise(zero).alias("vector"))
 
 
-def _words(texts: DataFrame, key: list[str], tokens: str) -> DataFrame:
-    """(key…, word) of the distinct words; a text without words keeps one null."""
-    return texts.select(*key, F.explode_outer(F.array_distinct(tokens)).alias("word"))
+def _block_words(key: list[str], width: int):
+    def pack(rows: pa.Table, known: pa.Table) -> pa.Table:
+        words, matrix = block_vectors(known, width)
+        order = pc.sort_indices(words).to_numpy()
+        if pc.count_distinct(words).as_py() < len(words):  # several vectors of a word are in their order, too
+            order = np.array(sorted(order.tolist(), key=lambda k: (words[k].as_py(), matrix[k].tolist())))
+        coded = words.take(pa.array(order)).dictionary_encode()
+        times = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+        starts = np.cumsum(times) - times
+        lists = rows["_words"].combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=coded.dictionary), -1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lengths)), lengths)[at >= 0]
+        at = at[at >= 0]
+        sort = np.lexsort((at, row))
+        row, at = row[sort], at[sort]
+        n = times[at]
+        place = order[np.repeat(starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        ends = np.r_[0, np.cumsum(np.bincount(row, n, minlength=len(lengths)).astype(np.int64))]
+        vectors = pa.array(matrix[place].astype(np.float32).reshape(-1))
+        return pa.table(
+            [
+                *[rows[k] for k in key],
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(place))),
+                pa.ListArray.from_arrays(pa.array(ends * width, pa.int32()), vectors),
+            ],
+            [*key, "known_words", "known_vectors"],
+        )
+
+    return pack
 
 
 def known_words(
     texts: DataFrame, vocabulary: DataFrame, key: list[str], tokens: str = "tokens"
 ) -> DataFrame:
     """(key…, known_words, known_vectors): the known distinct words of each
-    text, sorted, with their vectors laid end to end."""
-    known = join_vocabulary(_words(texts, key, tokens), vocabulary, key, how="left")
-    entry = F.when(F.col("vector").isNotNull(), F.struct("word", "vector"))
-    packed = known.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("known"))
-    return packed.select(
-        *key,
-        F.col("known.word").alias("known_words"),
-        F.flatten("known.vector").cast("array<float>").alias("known_vectors"),
-    )
+    text, sorted, with their vectors laid end to end.
+
+    ``key`` is unique per row of ``texts``. A block of texts gets the vectors of
+    its distinct words once, so that the vocabulary is not repeated for frequent words.
+    """
+    rows = texts.select(*key, F.array_distinct(tokens).alias("_words"))
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", known_words array<string>, known_vectors array<float>"
+    return by_block(rows, ["_words"], vocabulary, _block_words(key, vector_width(vocabulary)), schema, PACKED_WORDS)
 
 
 def archetype_similarities(vector: Column, archetypes: Column) -> Column:

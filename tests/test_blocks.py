@@ -54,3 +54,15 @@ def test_alignments_in_blocks(spark, monkeypatch):
     for k, _, tokens in texts:
         weight = units[sorted(int(w[1:]) for w in tokens)] @ units[20:29].T
         assert abs(got[k] - best_assignment(weight) / 9) < 1e-9
+
+
+def test_known_words_send_a_vector_once_a_block(spark, monkeypatch):
+    rows = [("a", 1, ["wax", "heat", "wax", "nowhere"]), ("a", 2, []), (None, 3, ["heat"]), ("b", 1, None), ("b", 2, ["zinc", "heat"])]
+    texts = spark.createDataFrame(rows, "g string, seat bigint, tokens array<string>").repartition(1)
+    vectors = [("heat", [1.0, 2.0]), ("wax", [5.0, 0.5]), ("wax", [3.0, 4.0]), ("zinc", [7.0, 8.0]), ("void", None)]
+    vocabulary = spark.createDataFrame(vectors, "word string, vector array<float>")
+    found = embedding.known_words(texts, vocabulary, ["g", "seat"])
+    assert "_salt" not in found._jdf.queryExecution().toString()
+    assert {(r.g, r.seat): (r.known_words, r.known_vectors) for r in found.collect()} == {
+        ("a", 1): (["heat", "wax", "wax"], [1.0, 2.0, 3.0, 4.0, 5.0, 0.5]), ("a", 2): ([], []), (None, 3): (["heat"], [1.0, 2.0]),
+        ("b", 1): ([], []), ("b", 2): (["heat", "zinc"], [1.0, 2.0, 7.0, 8.0])}
