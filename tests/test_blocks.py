@@ -66,3 +66,16 @@ def test_known_words_send_a_vector_once_a_block(spark, monkeypatch):
     assert {(r.g, r.seat): (r.known_words, r.known_vectors) for r in found.collect()} == {
         ("a", 1): (["heat", "wax", "wax"], [1.0, 2.0, 3.0, 4.0, 5.0, 0.5]), ("a", 2): ([], []), (None, 3): (["heat"], [1.0, 2.0]),
         ("b", 1): ([], []), ("b", 2): (["heat", "zinc"], [1.0, 2.0, 7.0, 8.0])}
+
+
+def test_vocabulary_joined_by_hash_is_the_one_joined_by_word(spark):
+    rows = [(i, w) for i in range(40) for w in ("heat", "wax", None, f"made{i}")]
+    words = spark.createDataFrame(rows, "id bigint, word string")
+    vectors = [("heat", [1.0]), ("wax", [2.0]), ("wax", [3.0]), (None, [4.0]), ("made7", [5.0])]
+    vocabulary = spark.createDataFrame(vectors, "word string, vector array<float>")
+    for how in ("inner", "left"):
+        joined = [embedding.join_vocabulary(words, vocabulary, "id", limit, how) for limit in (1 << 20, 0)]
+        assert joined[0].columns == joined[1].columns
+        assert sorted(map(str, joined[0].collect())) == sorted(map(str, joined[1].collect()))
+    plan = joined[1]._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64(word" in plan
