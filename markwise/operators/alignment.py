@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markwise.operators.assignment import alignment_score, leftover_matrix, priced_assignment, unit_rows
+from markwise.operators.assignment import alignment_scores, leftover_matrix, priced_assignments, unit_rows
 from markwise.operators.embedding import block_vectors, by_block, summed_vectors, vector_width
 from markwise.operators.skew import salted_join
 
@@ -31,8 +31,8 @@ def _vectors(column: pa.ListArray, width: int) -> list[np.ndarray]:
     return [unit_rows(flat[a:b].reshape(-1, width).astype(np.float64)) for a, b in zip(offsets, offsets[1:])]
 
 
-#: Words of the answers that are aligned in one task at a time.
-PAIR_WORDS = 1 << 19
+#: Words of the answers that are aligned in one task at a time, and pairs that are laid out at a time.
+PAIR_WORDS, PAIRS_AT_ONCE = 1 << 17, 256
 CERTIFICATE = (
     "answer_words array<string>, ideal_words array<string>, partner array<int>, answer_prices array<double>, ideal_prices array<double>"
 )
@@ -49,22 +49,19 @@ def _places(known: pa.Table, width: int) -> tuple[dict[str, int], np.ndarray]:
     return order, matrix
 
 
-def _side(words: set[str], places: dict[str, int], matrix: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-    found = [w for w in words if w in places]
-    return {w: k for k, w in enumerate(found)}, unit_rows(matrix[[places[w] for w in found]].astype(np.float64))
-
-
-def _sides(rows: pa.Table, known: pa.Table, width: int) -> Iterator[tuple]:
-    """Arguments of ``alignment_score``, a row at a time."""
+def _sides(rows: pa.Table, known: pa.Table, width: int) -> Iterator[list[tuple]]:
+    """Arguments of ``alignment_scores``, some rows at a time."""
     places, matrix = _places(known, width)
-    for answer, ideal in zip(rows["tokens"].to_pylist(), rows["ideal_tokens"].to_pylist(), strict=True):
-        answer, ideal = set(answer), set(ideal)
-        yield answer, ideal, *_side(answer - ideal, places, matrix), *_side(ideal - answer, places, matrix)
+    units = unit_rows(matrix.astype(np.float64))
+    for start in range(0, rows.num_rows, PAIRS_AT_ONCE):
+        some = rows.slice(start, PAIRS_AT_ONCE)
+        pairs = zip(some["tokens"].to_pylist(), some["ideal_tokens"].to_pylist(), strict=True)
+        yield [(set(answer), set(ideal), places, units, places, units) for answer, ideal in pairs]
 
 
 def _score_block(width: int, keys: list[str]):
     def score(rows: pa.Table, known: pa.Table) -> pa.Table:
-        scores = [alignment_score(*sides) for sides in _sides(rows, known, width)]
+        scores = [x for sides in _sides(rows, known, width) for x in alignment_scores(sides)]
         return pa.table([*[rows[k] for k in keys], pa.array(scores, pa.float64())], [*keys, "alignment"])
 
     return score
@@ -75,11 +72,12 @@ def _compare_block(width: int, keys: list[str]):
         words, sums, times = summed_vectors(*block_vectors(known, width))
         summed = {w: k for k, w in enumerate(words.to_pylist())}
         scores, means = [], np.zeros((rows.num_rows, width))
-        for i, sides in enumerate(_sides(rows, known, width)):
-            scores.append(alignment_score(*sides))
-            at = [summed[w] for w in sorted(sides[0]) if w in summed]
-            if at:
-                means[i] = sums[at].sum(axis=0, dtype=np.float64) / times[at].sum()
+        for sides in _sides(rows, known, width):
+            for i, (answer, *_) in enumerate(sides, len(scores)):
+                at = [summed[w] for w in sorted(answer) if w in summed]
+                if at:
+                    means[i] = sums[at].sum(axis=0, dtype=np.float64) / times[at].sum()
+            scores.extend(alignment_scores(sides))
         ends = pa.array(np.arange(rows.num_rows + 1) * width, pa.int32())
         return pa.table(
             [*[rows[k] for k in keys], pa.array(scores, pa.float64()), pa.ListArray.from_arrays(ends, pa.array(means.reshape(-1)))],
@@ -93,9 +91,9 @@ def _certify_block(width: int, keys: list[str]):
     def certify(rows: pa.Table, known: pa.Table) -> pa.Table:
         made = []
         for sides in _sides(rows, known, width):
-            answer, ideal, weight = leftover_matrix(*sides)
-            found = priced_assignment(weight)
-            made.append((answer, ideal, found.partner.tolist(), found.row_price.tolist(), found.column_price.tolist()))
+            answers, ideals, weights = zip(*[leftover_matrix(*side) for side in sides], strict=True)
+            for answer, ideal, found in zip(answers, ideals, priced_assignments(list(weights)), strict=True):
+                made.append((answer, ideal, found.partner.tolist(), found.row_price.tolist(), found.column_price.tolist()))
         columns = zip(*made, strict=True) if made else [()] * 5
         names = [field.split()[0] for field in CERTIFICATE.split(", ")]
         return pa.table(

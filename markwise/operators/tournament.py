@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from markwise import fixed_values as fixed
 from markwise.operators.alignment import _vectors
-from markwise.operators.assignment import alignment_score
+from markwise.operators.assignment import alignment_scores
 from markwise.operators.embedding import known_words
 from markwise.operators.skew import rank_rows, salted_join
 from markwise.session import written
@@ -23,17 +23,16 @@ def _winner(tokens: list[list[str]], known: list[list[str]], units: list[np.ndar
     sets = [set(t) for t in tokens]
     places = [{w: k for k, w in enumerate(words)} for words in known]
     score = np.zeros(len(tokens))
-    for i in range(len(tokens)):
-        for j in range(i + 1, len(tokens)):
-            if tokens[i] == tokens[j]:
-                continue
-            total = len(tokens[i]) + len(tokens[j])
-            forth = alignment_score(sets[i], sets[j], places[i], units[i], places[j], units[j])
-            back = alignment_score(sets[j], sets[i], places[j], units[j], places[i], units[i])
-            # an answer aligned with an ideal weighs by the answer's length
-            both = (len(tokens[i]) * forth + len(tokens[j]) * back) / total
-            score[i] += both
-            score[j] += both
+    pairs = [(i, j) for i in range(len(tokens)) for j in range(i + 1, len(tokens)) if tokens[i] != tokens[j]]
+    ways = [way for i, j in pairs for way in ((i, j), (j, i))]
+    aligned = iter(alignment_scores([(sets[i], sets[j], places[i], units[i], places[j], units[j]) for i, j in ways]))
+    for i, j in pairs:
+        total = len(tokens[i]) + len(tokens[j])
+        forth, back = next(aligned), next(aligned)
+        # an answer aligned with an ideal weighs by the answer's length
+        both = (len(tokens[i]) * forth + len(tokens[j]) * back) / total
+        score[i] += both
+        score[j] += both
     return int(score.argmax())
 
 

@@ -79,3 +79,12 @@ def test_vocabulary_joined_by_hash_is_the_one_joined_by_word(spark):
         assert sorted(map(str, joined[0].collect())) == sorted(map(str, joined[1].collect()))
     plan = joined[1]._jdf.queryExecution().analyzed().toString()
     assert "xxhash64(word" in plan
+
+
+def test_pairs_of_a_block_are_laid_out_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(alignment, "PAIRS_AT_ONCE", 4)
+    rows = pa.table({"tokens": [["wax", "heat"]] * 10, "ideal_tokens": [["zinc"]] * 10})
+    known = pa.table({"word": ["wax", "zinc"], "vector": [[1.0, 0.0], [0.6, 0.8]]})
+    assert [len(some) for some in alignment._sides(rows, known, 2)] == [4, 4, 2]
+    scored = alignment._score_block(2, [])(rows, known)["alignment"].to_pylist()
+    assert np.allclose(scored, [0.6] * 10)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from markwise.operators import newton
+from markwise.operators import assignment
 from markwise.operators.assignment import alignment_score, best_assignment, priced_assignment
 
 
@@ -94,3 +95,18 @@ def test_prices_prove_every_assignment():
         if weight.shape[0] != weight.shape[1]:
             longer = found.row_price if weight.shape[0] > weight.shape[1] else found.column_price
             assert (longer >= -1e-9).all()
+
+
+def test_matrices_solved_together_equal_those_alone(monkeypatch):
+    rng = np.random.default_rng(11)
+    weights = [rng.normal(size=(rng.integers(0, 7), rng.integers(0, 7))).round(int(rng.integers(0, 3))) for _ in range(200)]
+    for cells in (1, 100, 1 << 17):
+        monkeypatch.setattr(assignment, "CELLS_AT_ONCE", cells)
+        found = assignment.priced_assignments(weights)
+        for weight, solved, best in zip(weights, found, assignment.best_assignments(weights), strict=True):
+            few = weight if weight.shape[0] <= weight.shape[1] else weight.T
+            brute = max(
+                sum(few[i, j] for i, j in enumerate(order)) for order in itertools.permutations(range(few.shape[1]), few.shape[0])
+            )
+            assert solved.total == pytest.approx(brute, abs=1e-9) and best == pytest.approx(brute, abs=1e-9)
+            assert solved.row_price.shape + solved.column_price.shape == weight.shape
