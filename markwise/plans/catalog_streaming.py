@@ -162,21 +162,38 @@ def as_stream(rows, name):
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
+#: Answers whose state a partition of a stream holds, at least.
+STATE_ROWS = 20_000
+
+
+def started(writer, rows):
+    """Starts a stream whose state is as many partitions as the table ``rows`` asks for, within those the session has:
+    a partition's stores write files in every batch, however little they hold."""
+    spark, name = rows.sparkSession, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), max(spark.sparkContext.defaultParallelism, rows.count() // STATE_ROWS + 1))))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
+
+
 @query("composite_stream", _COMPOSITE)
 def composite_streaming(spark, sf_dir):
     """Regression scores of all answers joined with a stream of grader responses, half of which come too late."""
     answers = b.answers(spark, sf_dir)
-    scores = evaluate(answers, *tables(spark, sf_dir))
+    configs, models, vocabulary = tables(spark, sf_dir)
+    scores = evaluate(answers, configs, models, vocabulary)
     asked = timed(answers.select("answer_id")).select("answer_id", "asked")
     came = timed(responses(spark, sf_dir)).select("answer_id", "lesson", "came", "response", "n_concepts")
-    masks = written(grader.concept_masks(b.expectations(spark, sf_dir)), "masks")
+    masks = written(grader.concept_masks(configs), "masks")
     joined = composite_stream(as_stream(regression_results(scores, asked), "answers"), as_stream(came, "responses"), masks)
     path = fresh_path(spark, "composite")
-    stream = (
+    writer = (
         joined.writeStream.format("parquet").option("path", path)
-        .option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start()
+        .option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True)
     )
-    stream.awaitTermination()
+    started(writer, asked).awaitTermination()
     rows = spark.read.schema(joined.schema).parquet(path).filter("answer_id <> ''")
     return rows.select("answer_id", F.explode("results").alias("r"), "source").select(
         "answer_id", "r.exp_num", "r.evaluation", F.round("r.score", 6).alias("score"), "source")

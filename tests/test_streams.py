@@ -6,6 +6,7 @@ import json
 import pytest
 
 from markwise.sources import versions
+from markwise.plans import catalog_streaming
 from markwise.streaming.composite import composite_stream
 from markwise.streaming.evaluate import evaluate_stream
 from markwise.streaming.ledger import ledger_stream
@@ -185,3 +186,22 @@ def test_a_table_in_many_files_is_streamed_like_one_file(spark, tmp_path):
         bindings.table_stream(spark, str(tmp_path), name).writeStream.format("parquet").option("path", out).option(
             "checkpointLocation", f"{tmp_path}/{name}-state").trigger(availableNow=True).start().awaitTermination()
         assert sorted(r.k for r in spark.read.parquet(out).collect()) == rows
+
+
+def test_state_is_dealt_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(catalog_streaming, "STATE_ROWS", 1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "500")
+        seen = []
+
+        class Writer:
+            def start(self):
+                seen.append(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+        for n in (10, 300_000, 10_000_000):
+            catalog_streaming.started(Writer(), spark.range(n))
+        assert seen == [spark.sparkContext.defaultParallelism, 301, 500]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "500"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from markwise.functions import config_values, text
+from markwise.plans import bindings
 
 
 def one(spark, value, expr, schema="v string"):
@@ -170,3 +171,15 @@ def test_number_words_are_tried_letter_by_letter():
     for word in [*numbers.NUMBERS, *numbers.ORDINALS]:
         assert re.fullmatch(numbers._alternatives([*numbers.NUMBERS, *numbers.ORDINALS]), word)
     assert numbers._alternatives(["six", "sixth", "ten"]) == "s(?:i(?:x(?:t(?:h))?))|t(?:e(?:n))"
+
+
+def test_runs_of_texts_once_each(spark, monkeypatch):
+    monkeypatch.setattr(bindings, "CUT_BYTES", 40)
+    monkeypatch.setattr(bindings, "RUNS_AT_ONCE", 6)
+    monkeypatch.setattr(bindings, "HASHED_AT_ONCE", 2)
+    texts = [None, "", " ", "a b\nc", "\n", "one two  one\n", "\u00e4 \u00f6\tx", "a" * 100, None, *[f"w{i} w{i % 7}" for i in range(60)]]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
+    got = [r.run for r in bindings.distinct_runs(rows).collect() if r.run]
+    want = {run for t in texts if t for run in t.replace("\n", " ").split(" ")} - {""}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert bindings.distinct_runs(rows.filter("text = 'nowhere'")).count() == 0
