@@ -13,9 +13,9 @@ its texts as numbers of those words. From then on work is done on numbers.
    the parts of the n-gram are kept. One of the blocks that hold a kept n-gram
    is told that it owns it.
 3. A history's failure arc needs sums over all its kept followers. The blocks
-   add up the n-grams they own and ask for the sums of their histories, again
-   by hash ranges; a history, however frequent, sends one row of numbers per
-   block. No task and no driver holds the model, and it grows with the corpus.
+   add up the n-grams they own and ask for the sums of their histories, by the
+   numbers that came with the counts and take fewer bits than hashes; a history,
+   however frequent, sends one row of numbers per block. No task and no driver holds the model, and it grows with the corpus.
 4. Every block then knows all arcs its texts can take. It lays them out as a
    weighted automaton with failure arcs (``backoff_automaton``) and walks it once
    over each text, carrying the state.
@@ -68,6 +68,8 @@ RANGE_TOKENS = 4_000_000
 LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits of an n-gram's hash beyond those that number the training tokens.
 SPARE_BITS = 24
+#: Numbers of histories lie so far apart that their orders have room, and the beginning of a text has the last one.
+ORDERS, BEGIN_NUMBER = 8, np.uint64(2**64 - 1)
 #: Stand for the end and the beginning of a text; no word holds a line break.
 END_MARK, BEGIN_MARK = b"\n", b"\n\n"
 
@@ -174,17 +176,22 @@ def exchanged(
     parts: int,
     least: float = 0.0,
     unsent: int = 0,
+    owners: bool = True,
+    numbered: float | None = None,
 ) -> DataFrame:
     """Written answers (block, totals, distinct) to what ``ask`` makes of each row.
 
     ``ask`` gives sorted keys and a matrix of numbers, a column per key. The
     answers of a block, by range of hashes (``parts`` of them) one behind the
-    other, are the sums of the numbers over all blocks and, in a last row,
-    whether the block owns the key; all are 0 where the first sum is below
-    ``least``. A row without a block holds the number of keys whose first sum is
-    not 0. The last ``unsent`` bits of a key stay with the block.
+    other, are the sums of the numbers over all blocks and, with ``owners``, in a
+    row whether the block owns the key; all are 0 where the first sum is below
+    ``least``. With ``numbered``, a last row numbers the keys whose first sum is
+    not below it, by steps: a range counts on from its first key, so numbers are
+    keys that lie close together. A row without a block holds the number of keys whose
+    first sum is not 0. The last ``unsent`` bits of a key stay with the block.
     """
     bounds = (np.arange(1, parts, dtype=object) * 2**64 // parts).astype(np.uint64)
+    starts = np.append(np.uint64(0), bounds)
     at_once, low = CODES_AT_ONCE, np.uint64(unsent)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +220,19 @@ def exchanged(
         numbers = np.concatenate(numbers, axis=1)
         total = np.stack([np.bincount(place, row, len(known)) for row in numbers]).astype(np.int64)
         total[:, total[0] < least] = 0
-        owned = np.zeros(len(place), np.int64)
-        owned[first] = total[0] >= max(least, 1)
-        answers = np.split(np.vstack([total[:, place], owned]), ends, axis=1)
+        told = [total[:, place]]
+        if owners:
+            owned = np.zeros(len(place), np.int64)
+            owned[first] = total[0] >= max(least, 1)
+            told.append(owned)
+        answers = np.split(np.vstack(told), ends, axis=1)
+        if numbered is not None:
+            kept = total[0] >= numbered
+            number = starts[part] + np.cumsum(kept).astype(np.uint64) * np.uint64(ORDERS)
+            for i, own in enumerate(np.split(place, ends)):
+                steps, mine = np.zeros(len(own), np.uint64), kept[own]
+                steps[mine] = np.diff(number[own[mine]], prepend=np.uint64(0))
+                answers[i] = np.vstack([answers[i], steps.view(np.int64)])
         return pa.table(
             {
                 "block": pa.array([*asked.column("block").to_pylist(), None], pa.int64()),
@@ -247,6 +264,12 @@ def totals_in(answers: list[bytes] | None, height: int) -> np.ndarray:
     return np.concatenate(found, axis=1) if found else np.zeros((height, 0), np.int64)
 
 
+def numbers_in(answers: list[bytes] | None, height: int) -> np.ndarray:
+    """The numbers in a block's answers, the last of their rows; of keys without one, any."""
+    found = [np.cumsum(unpacked(a, np.int64).reshape(height, -1)[-1].view(np.uint64)) for a in answers or ()]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 class Grams:
     """The kept n-grams of a block.
 
@@ -255,6 +278,7 @@ class Grams:
     its parts is not kept), ``keys`` are their sorted hashes, ``first`` the
     numbers of their first parts, ``rest`` of their last ones, ``n`` their
     counts in the corpus (0: not kept) and ``owned`` tells which are the block's.
+    Below the last order ``number`` are their numbers in the corpus, for the kept ones.
     """
 
     def __init__(self, row: dict, texts: int, least: float):
@@ -267,6 +291,7 @@ class Grams:
         self.line = np.insert(tokens, starts, self.begin)
         self.train = np.repeat(~self.held, self.lengths + 1)
         self.corpus = totals_in(row["a0"], 2)[0]
+        self.number = [np.append(numbers_in(row["a0"], 2), BEGIN_NUMBER)]
         n = np.append(np.where(self.corpus >= least, self.corpus, 0), texts)
         own = np.append(self.corpus >= least, True)
         self.at = [np.where(own[self.line], self.line, -1)]
@@ -300,10 +325,13 @@ class Grams:
         at = self.at[-1][self.train]
         return self.keys[-1], np.bincount(at[at >= 0], minlength=len(self.keys[-1])).astype(np.int64)[None, :]
 
-    def answered(self, answers: list[bytes] | None) -> None:
-        total, owned = totals_in(answers, 2)
+    def answered(self, answers: list[bytes] | None, numbered: bool) -> None:
+        height = 3 if numbered else 2
+        total, owned = totals_in(answers, height)[:2]
         self.n.append(total)
         self.owned.append(owned > 0)
+        if numbered:
+            self.number.append(numbers_in(answers, height))
 
     def histories(self) -> list[np.ndarray]:
         """The kept n-grams of each order below the last, by their numbers."""
@@ -317,7 +345,7 @@ class Grams:
             mine = np.flatnonzero(self.owned[m])
             numbers = np.ones(len(mine)), self.n[m][mine], self.n[m - 1][self.rest[m][mine]]
             added = [np.bincount(self.first[m][mine], x, len(self.n[m - 1]))[own] for x in numbers]
-            keys.append(self.keys[m - 1][own])
+            keys.append(self.number[m - 1][own] + np.uint64(m - 1))
             sums.append(np.stack(added).astype(np.int64))
         keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
@@ -331,13 +359,13 @@ class Grams:
         so the probabilities behind a history sum to 1.
         """
         _, _, order = self.sums()
-        total = np.empty((4, len(order)), np.int64)
-        total[:, order] = totals_in(answers, 4)
+        total = np.empty((3, len(order)), np.int64)
+        total[:, order] = totals_in(answers, 3)
         width, done, made = len(self.hashes), 0, 1
         state: list[np.ndarray] = []  # of each n-gram; 0 where nothing follows it
         fail, backoff = [np.zeros(1, np.int64)], [np.zeros(1)]
         for m, own in enumerate(self.histories(), 1):
-            k, followed, lower = total[:3, done : done + len(own)]
+            k, followed, lower = total[:, done : done + len(own)]
             done += len(own)
             used = k > 0
             history, k, followed, lower = own[used], k[used], followed[used], lower[used]
@@ -415,7 +443,8 @@ def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text", order
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_TOKENS)
     unsent = max(0, 64 - SPARE_BITS - total.bit_length())
     asked = blocks.select("block", "words", "counts")
-    answers = [exchanged(asked, lambda row: (unpacked_keys(row["words"]), unpacked(row["counts"], np.int64)[None, :]), parts)]
+    ask_words = lambda row: (unpacked_keys(row["words"]), unpacked(row["counts"], np.int64)[None, :])
+    answers = [exchanged(asked, ask_words, parts, owners=False, numbered=least_words)]
     distinct = answers[0].filter("block IS NULL").agg(F.sum("distinct")).first()[0] or 0
     norm = total + 0.5 * (distinct + 1)
     texts_only = blocks.select("block", "held", "lengths", "tokens", "words")
@@ -424,7 +453,7 @@ def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text", order
         grams = Grams(row, texts, least_words)
         for m in range(1, orders):
             grams.next_order()
-            grams.answered(row[f"a{m}"])
+            grams.answered(row[f"a{m}"], m < order - 1)
         return grams
 
     def ask_for(orders: int):
@@ -436,8 +465,9 @@ def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text", order
         return ask
 
     for orders in range(1, order):
-        answers.append(exchanged(with_answers(texts_only, answers), ask_for(orders), parts, least_grams, unsent))
-    answers.append(exchanged(with_answers(texts_only, answers), lambda row: grams_of(row, order).sums()[:2], parts, unsent=unsent))
+        numbered = least_grams if orders < order - 1 else None
+        answers.append(exchanged(with_answers(texts_only, answers), ask_for(orders), parts, least_grams, unsent, numbered=numbered))
+    answers.append(exchanged(with_answers(texts_only, answers), lambda row: grams_of(row, order).sums()[:2], parts, owners=False))
     asked = with_answers(blocks.select("block", "ids", "held", "lengths", "tokens", "words"), answers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

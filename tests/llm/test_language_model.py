@@ -163,3 +163,29 @@ def test_pieces_of_a_line_are_walked_as_a_whole(monkeypatch):
     for piece in (1, 7, 128, 5000):
         monkeypatch.setattr("markwise.llm.backoff_automaton.PIECE", piece)
         assert np.allclose(model.walk(line, alone), want, atol=1e-12), piece
+
+
+def test_histories_go_by_numbers_that_lie_close_together(spark, monkeypatch):
+    """The sums of histories are asked for by keys of a few bits, alike in all blocks and apart for each history."""
+    monkeypatch.setattr(module, "BLOCK_DOCUMENTS", 3)
+    asked = []
+    exchanged = module.exchanged
+
+    def seen(rows, ask, *rest, **more):
+        if more.get("owners") is False and "numbered" not in more:
+            for row in rows.collect():
+                asked.append(ask(row.asDict())[0])
+        return exchanged(rows, ask, *rest, **more)
+
+    monkeypatch.setattr(module, "exchanged", seen)
+    texts = [(i, f"a b c d{i % 5} e f{i % 3} a b g{i}") for i in range(40)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    module.score_documents(rows).collect()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(asked) > 5
+    width = 2**64 // parts + 1
+    for keys in asked:
+        assert len(set(keys.tolist())) == len(keys) and (np.diff(keys.astype(object)) > 0).all()
+        inside = [key % width for key in keys.tolist() if key != int(module.BEGIN_NUMBER)]
+        # hashes would lie all over the range
+        assert all(min(x, width - x) < 2**20 for x in inside)
