@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markwise import fixed_values as fixed
@@ -45,16 +45,26 @@ STEPS = (
     "CAST(array(struct(0L, 0L), struct(0L, 1L), struct(1L, -1L), struct(1L, 0L), struct(1L, 1L))"
     " AS array<struct<dx: bigint, dy: bigint>>)"
 )
+CODE = ["_code", "_check"]
 TILE = ["hx", "hy", "nx", "ny", "left_block", "right_block"]
 
 
-def _projections(points: DataFrame, radius: float) -> DataFrame:
+def _directions(width: int) -> np.ndarray:
+    """What the vectors are projected on for the two axes of the grid."""
     rng = np.random.default_rng(20)
-    width = vector_width(points)
+    found = [rng.normal(size=width) for _ in range(2)]
+    return np.stack([direction / np.linalg.norm(direction) for direction in found])
+
+
+def _cells(vectors: np.ndarray, radius: float) -> np.ndarray:
+    """The grid's cells of vectors, a row each; they need not be those of ``_projections`` to the last digit."""
+    places = np.floor(vectors @ _directions(vectors.shape[1]).T / (radius * (1 + 1e-9)))
+    return np.nan_to_num(places, nan=0, posinf=0, neginf=0).astype(np.int64)
+
+
+def _projections(points: DataFrame, radius: float) -> DataFrame:
     cells = []
-    for axis in ("cx", "cy"):
-        direction = rng.normal(size=width)
-        direction /= np.linalg.norm(direction)
+    for axis, direction in zip(("cx", "cy"), _directions(vector_width(points)), strict=True):
         numbers = ", ".join(f"CAST({value!r} AS double)" for value in direction.tolist())
         projected = f"aggregate(zip_with(vector, array({numbers}), (a, b) -> a * b), 0D, (s, v) -> s + v)"
         # a hair wider than the radius, so rounding cannot part neighbours
@@ -192,6 +202,12 @@ def _forest(group: list[str], radius: float):
     return run
 
 
+def _codes() -> list[Column]:
+    """Two hashes of a vector that equal vectors share, with the places of its nulls, which hashes pass over."""
+    nulls = F.transform("vector", lambda v: v.isNull())
+    return [F.xxhash64(F.lit(k), "vector", nulls).alias(name) for k, name in enumerate(CODE)]
+
+
 def _merged(points: DataFrame, group: list[str]) -> DataFrame:
     """One row per distinct vector: its smallest id and its number of copies."""
     return written(
@@ -272,9 +288,9 @@ def _smallest_reached(linked: np.ndarray) -> np.ndarray:
 
 
 def _settle(group: list[str], radius: float):
-    """Per point its pivot, if one settles it, and its distance to the first; then
-    rows that join pivots (``home`` and ``link``)."""
-    columns = [*group, "id", "weight", "vector", "home", "far", "link"]
+    """Per point its cell, its pivot, if one settles it, and its distance to the first;
+    then rows that join pivots (``home`` and ``link``)."""
+    columns = [*group, "id", "weight", "vector", "cx", "cy", "home", "far", "link"]
 
     def run(points: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         if points.empty or pivots.empty:
@@ -288,10 +304,13 @@ def _settle(group: list[str], radius: float):
         seen = ((apart <= radius - SLACK) & (pivots["reach"].to_numpy() >= 0)[None, :])[settled].astype(np.float32)
         joined = _smallest_reached(seen.T @ seen > 0)
         none = [None] * len(joined)
+        cells = np.concatenate([_cells(vectors, radius), np.zeros((len(joined), 2), np.int64)])
         return pd.DataFrame(
             {
                 **_head(points, group, len(points) + len(joined)),
                 **{name: pd.Series([*points[name], *none], dtype=object) for name in ("id", "weight", "vector")},
+                "cx": cells[:, 0],
+                "cy": cells[:, 1],
                 "home": np.concatenate([np.where(settled, home, -1), np.arange(len(joined))]),
                 "far": np.concatenate([np.sqrt(((vectors - centres[0]) ** 2).sum(axis=1)), np.zeros(len(joined))]),
                 "link": np.concatenate([np.full(len(points), -1), joined]),
@@ -313,7 +332,7 @@ def _join_parts(group: list[str]):
 
 
 def _settled(merged: DataFrame, group: list[str], radius: float, min_samples: int) -> DataFrame:
-    """Written (group…, id, weight, vector, far, part): part is the smallest id of
+    """Written (group…, id, weight, vector, cx, cy, far, part): part is the smallest id of
     the settled points that a point is known to hang together with, else null."""
     usable = merged.filter(F.expr("vector IS NOT NULL AND NOT exists(vector, v -> v IS NULL)"))
     for name in group:
@@ -337,7 +356,7 @@ def _settled(merged: DataFrame, group: list[str], radius: float, min_samples: in
         dealt.select(*group, "_chunk", "id", "weight", "vector")
         .groupBy(*group, "_chunk")
         .cogroup(sent.groupBy(*group, "_chunk"))
-        .applyInPandas(_settle(group, radius), f"{schema}, id bigint, weight bigint, vector array<double>, home bigint, far double, link bigint")
+        .applyInPandas(_settle(group, radius), f"{schema}, id bigint, weight bigint, vector array<double>, cx bigint, cy bigint, home bigint, far double, link bigint")
     )
     placed = written(placed, "placed")
     links = placed.filter("link >= 0").select(*group, "home", "link").distinct()
@@ -355,7 +374,7 @@ def _open_blocks(points: DataFrame, group: list[str], radius: float, block_rows:
     """Written: points with the block they lie in, and the pairs of blocks (one, other)
     whose points have to be compared. Settled points go by the id of their part."""
     ring = F.floor(F.col("far") / (radius / RINGS)).alias("ring")
-    gridded = _projections(points, radius).select("*", ring, F.col("part").isNotNull().alias("settled"), F.coalesce("part", F.lit(0)).alias("kind"))
+    gridded = points.select("*", ring, F.col("part").isNotNull().alias("settled"), F.coalesce("part", F.lit(0)).alias("kind"))
     place = [*group, "settled", "kind", "cx", "cy"]
     counted = gridded.groupBy(*place, "ring").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*place).orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)
@@ -410,7 +429,7 @@ def density_clusters(
     -1 is noise. A point that is near cores of several clusters belongs to the
     lowest numbered one. ``points``: (group…, id bigint, vector array<double>).
     """
-    points = written(points.select(*group, "id", "vector"), "points")
+    points = written(points.select(*group, "id", "vector", *_codes()), "points")
     merged = _merged(points, group)
     settled = _settled(merged, group, radius, min_samples)
     blocked, pairs = _open_blocks(settled, group, radius, block_rows)
@@ -448,7 +467,12 @@ def density_clusters(
     order = Window.partitionBy(*group).orderBy("root")
     numbers = roots.select(*group, "root").distinct().withColumn("cluster", F.row_number().over(order) - 1)
     labelled = roots.unionByName(borders).join(numbers, [*group, "root"]).select(*group, "id", "cluster")
-    by_vector = merged.join(labelled, [*group, "id"], "left").select(
-        *group, "vector", F.coalesce("cluster", F.lit(-1)).alias("cluster")
-    )
-    return salted_join(points, by_vector, [*group, "vector"], "id", "inner").select(*group, "id", "cluster")
+    labelled = written(labelled, "labelled")
+    # vectors meet by 128 bits of their hashes, so they are not sent again; a row a
+    # point is small as a file and large in a driver that broadcasts it
+    codes = merged.select(*group, "id", *_codes())
+    by_vector = codes.join(labelled.hint("merge"), [*group, "id"], "left").select(
+        *group, *CODE, F.coalesce("cluster", F.lit(-1)).alias("cluster")
+    ).hint("merge")
+    points = points.filter("vector IS NOT NULL").select(*group, "id", *CODE)
+    return salted_join(points, by_vector, [*group, *CODE], "id", "inner").select(*group, "id", "cluster")

@@ -112,7 +112,9 @@ def summed_vectors(words: pa.Array, matrix: np.ndarray) -> tuple[pa.Array, np.nd
     return coded.dictionary, sums, np.bincount(at)
 
 
-def _block_sums(key: list[str], width: int):
+def _block_sums(key: list[str], width: int, mean: bool = False):
+    """Per row how many vectors its words have and their sum, or mean."""
+
     def sums(rows: pa.Table, known: pa.Table) -> pa.Table:
         words, matrix, times = summed_vectors(*block_vectors(known, width))
         lists = rows["_words"].combine_chunks()
@@ -126,28 +128,34 @@ def _block_sums(key: list[str], width: int):
             first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             found[part[first]] += np.add.reduceat(matrix[at[start : start + SUMMED_WORDS]].astype(np.float64), first, axis=0)
         n_known = np.bincount(row, times[at], minlength=len(lengths)).astype(np.int64)
+        if mean:
+            found /= np.maximum(n_known, 1)[:, None]
         ends = pa.array(np.arange(len(lengths) + 1) * width, pa.int32())
         return pa.table(
             [*[rows[k] for k in key], pa.array(n_known), pa.ListArray.from_arrays(ends, pa.array(found.reshape(-1)))],
-            [*key, "n_known", "_sums"],
+            [*key, "n_known", "vector" if mean else "_sums"],
         )
 
     return sums
 
 
 def mean_vectors(
-    texts: DataFrame, vocabulary: DataFrame, key: list[str], tokens: str = "tokens"
+    texts: DataFrame, vocabulary: DataFrame, key: list[str], tokens: str = "tokens", unique: bool = False
 ) -> DataFrame:
     """Mean over the distinct known words of each text: (key…, n_known, vector).
 
     ``key`` is unique per row of ``texts``. Sums are made in blocks of texts,
-    and one row per text is shuffled. Texts without a known word get the zero
-    vector.
+    and one row per text is shuffled; with ``unique``, which says that no key can
+    come twice, the means are made in the blocks and nothing is shuffled after them.
+    Texts without a known word get the zero vector.
     """
     width = vector_width(vocabulary)
     rows = texts.select(*key, F.array_distinct(tokens).alias("_words"))
     types = dict(rows.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", n_known bigint, _sums array<double>"
+    schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", n_known bigint, "
+    if unique:
+        return by_block(rows, ["_words"], vocabulary, _block_sums(key, width, mean=True), schema + "vector array<double>")
+    schema += "_sums array<double>"
     found = by_block(rows, ["_words"], vocabulary, _block_sums(key, width), schema)
     sums = found.groupBy(*key).agg(
         F.sum("n_known").alias("n_known"), *[F.expr(f"sum(_sums[{i}]) AS s{i}") for i in range(width)]

@@ -39,7 +39,8 @@ def density_clusters(spark, sf_dir):
 
 def _said(spark, sf_dir):
     training, expectations = inputs(spark, sf_dir)
-    return written(t.sentences(t.training_set(training, expectations)), "said")
+    rows = written(t.training_set(training, expectations), "training")
+    return written(t.sentences(rows), "said")
 
 
 @query("answer_clusters")

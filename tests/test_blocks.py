@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from markwise.operators import alignment, embedding
 from markwise.operators.assignment import best_assignment, unit_rows
+from markwise.session import written
 
 
 def _vocabulary(spark, n=30, width=4):
@@ -88,3 +89,14 @@ def test_pairs_of_a_block_are_laid_out_some_at_a_time(monkeypatch):
     assert [len(some) for some in alignment._sides(rows, known, 2)] == [4, 4, 2]
     scored = alignment._score_block(2, [])(rows, known)["alignment"].to_pylist()
     assert np.allclose(scored, [0.6] * 10)
+
+
+def test_means_of_unique_keys_are_those_of_any_keys(spark):
+    rows = spark.createDataFrame(
+        [(1, ["a", "b", "a"]), (2, ["x"]), (3, []), (4, None), (5, ["c", "b"])], "id long, tokens array<string>")
+    vocabulary = written(spark.createDataFrame(
+        [("a", [1.0, -0.0]), ("b", [0.1, 2.0]), ("c", [3.0, 4.0]), ("c", [5.0, 6.0])], "word string, vector array<float>"), "vocabulary")
+    found = embedding.mean_vectors(rows, vocabulary, ["id"], unique=True)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, embedding.mean_vectors(rows, vocabulary, ["id"]).collect()))
+    # what follows the blocks deals out no vectors
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]

@@ -130,3 +130,15 @@ def test_tournament_against_brute_force(spark):
     got = {r.c: r.tokens for r in tournament.representatives(sentences, vocabulary, ["c"], 5).collect()}
     expected = {c: brute_winner(s, vector) for c, s in clusters.items()}
     assert got == {c: w for c, w in expected.items() if w is not None}
+
+
+def test_points_find_their_cluster_without_their_vectors(spark):
+    """Copies, repeated ids, nulls in a vector and null vectors; vectors are not sent to be compared."""
+    rows = [("g", i, [0.1 * (i % 3), 0.0]) for i in range(9)] + [("g", 3, [0.0, 0.0]), ("g", 20, [None, 9.0]), ("g", 21, [9.0, None]), ("g", 22, None)]
+    points = spark.createDataFrame(rows, "g string, id bigint, vector array<double>")
+    found = density.density_clusters(points, ["g"], 0.4, 5)
+    got = sorted((r.id, r.cluster) for r in found.collect())
+    assert got == sorted([(i, 0) for i in range(9)] + [(3, 0), (20, -1), (21, -1)])
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("vector#" in line for line in joins)
+    assert "strategy=merge" in joins[0]
