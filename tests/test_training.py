@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from markwise import fixed_values as fixed
+from markwise.functions import text
 from markwise.operators import alignment, assembly, evaluation
 from markwise.plans import architectures, training
 from markwise.plans.evaluate import evaluate
@@ -184,3 +185,25 @@ def test_vocabulary_beyond_the_broadcast_limit(lesson):
     joined = [embedding.join_vocabulary(words, lesson["vocabulary"], "sentence", limit) for limit in (1 << 20, 0)]
     assert joined[0].count() == joined[1].count() > 0
     assert assembly.KEYS == ["lesson", "exp_num"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_training_set_is_planned_from_few_sources(lesson):
+    """Expectations and keys to keep are tables; their sources are not planned again for each use."""
+    found = lesson["training"].groupBy("lesson", "exp_num").agg(F.min("text").alias("ideal"))
+    expectations = found.withColumns({"pos": F.lit(0), "question": F.lit("why"), "good": F.array(F.lit("a")), "bad": F.array(F.lit("b"))})
+    rows = training.training_set(lesson["training"], expectations)
+    sources = [line for line in _plan(rows).splitlines() if "Relation" in line and "label#" in line]
+    assert len(sources) == 1
+    assert rows.filter("place = 2").count() > 0
+
+
+def test_labels_are_not_lowered_by_the_planner(spark):
+    """The driver's first use of lower takes hundreds of MB for tables of all letters."""
+    label = F.when(F.col("id") == 0, " GOOD ").otherwise("Bad ")
+    labels = spark.range(2).select(text.normalise_label(label).alias("label"))
+    assert "lower(" in _plan(labels)
+    assert sorted(r.label for r in labels.collect()) == ["bad", "good"]
